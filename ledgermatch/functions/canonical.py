@@ -16,6 +16,7 @@ NULL_TEXT = "__NULL__"
 
 _PLAIN = (T.StringType, T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.BooleanType,
           T.DateType, T.TimestampType, T.TimestampNTZType, T.DecimalType, T.BinaryType)
+_WHOLE = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 _FLOAT = (T.FloatType, T.DoubleType)
 _NESTED = (T.StructType, T.ArrayType, T.MapType, T.VariantType)
 
@@ -33,7 +34,7 @@ def float_text(value: Column) -> Column:
     """Shortest decimal text in Python's layout (plain from 1e-4 up to 1e16)."""
     text = value.cast("string")
     mantissa = F.substring_index(text, "E", 1)
-    digits = F.replace(F.ltrim(F.lit("-"), mantissa), F.lit("."), F.lit(""))
+    digits = F.regexp_replace(mantissa, "[-.]", "")
     exponent = F.when(F.contains(text, F.lit("E")), F.substring_index(text, "E", -1).cast("int"))
     sign = F.when(F.startswith(text, F.lit("-")), "-").otherwise("")
     # "1.0" has the digits "10": drop the filler zero before moving the point.
@@ -102,7 +103,7 @@ def json_text(value: Column, dtype: T.DataType) -> Column:
         body = F.to_json(value)
     elif isinstance(dtype, T.BooleanType):
         body = value.cast("string")
-    elif isinstance(dtype, (T.ByteType, T.ShortType, T.IntegerType, T.LongType, *_FLOAT)):
+    elif isinstance(dtype, _WHOLE + _FLOAT):
         body = canonical_text(value, dtype)
     elif isinstance(dtype, T.NullType):
         body = F.lit(None).cast("string")
@@ -126,12 +127,17 @@ def canonical_text(value: Column, dtype: T.DataType) -> Column:
     return value.cast("string")
 
 
-def comparable_pair(src: T.DataType, trg: T.DataType) -> bool:
-    """True when both sides can be grouped as they are, without going through text.
+def comparison_key(value: Column, dtype: T.DataType, other: T.DataType) -> Column:
+    """``value`` in a form that can be grouped with a value of type ``other``.
 
-    Strings must share a collation; nested values always go through text.
+    Equal simple types (for text: with equal collation) are grouped as they are,
+    whole numbers as BIGINT; everything else goes through its canonical text.
     """
-    return src == trg and isinstance(src, _PLAIN + _FLOAT)
+    if dtype == other and isinstance(dtype, _PLAIN + _FLOAT):
+        return fold_nan(value, dtype)
+    if isinstance(dtype, _WHOLE) and isinstance(other, _WHOLE):
+        return value.cast("bigint")
+    return canonical_text(value, dtype)
 
 
 def sort_text(value: Column, dtype: T.DataType) -> Column:
