@@ -91,17 +91,13 @@ def contains_words(left: DataFrame, code: str, right: DataFrame, text: str) -> D
     before the join, so a word that all texts share is one row.
     """
     word_counts = left.agg(F.collect_set(F.size(F.split(code, " ")))).scalar()
-    words = F.split(F.col(text), " ")
-
-    def runs(n: Column) -> Column:
-        starts = F.when(F.size(words) >= n, F.sequence(F.lit(1), F.size(words) - n + 1)).otherwise(
-            F.array().cast("array<int>")
-        )
-        return F.transform(starts, lambda i: F.array_join(F.slice(words, i, n), " "))
-
+    words, n = F.col("__words"), F.col("__n")
+    starts = F.sequence(F.lit(1), F.size(words) - n + 1)
     phrases = (
         right.where(F.col(text).isNotNull())
-        .select(F.explode(F.flatten(F.transform(word_counts, runs))).alias("__phrase"))
+        .select(F.split(text, " ").alias("__words"), F.explode(word_counts).alias("__n"))
+        .where(F.size(words) >= n)
+        .select(F.explode(F.transform(starts, lambda i: F.array_join(F.slice(words, i, n), " "))).alias("__phrase"))
         .distinct()
     )
     return left.join(phrases, F.col(code) == F.col("__phrase"), "left_semi")
