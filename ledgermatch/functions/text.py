@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def _quoted(text: str) -> str:
@@ -73,3 +74,13 @@ def length_without_trailing_blanks(value: Column) -> Column:
 def null_text() -> Column:
     """A NULL with a type: an untyped NULL column cannot be written to Parquet."""
     return F.lit(None).cast("string")
+
+
+def collated(df: DataFrame, collation: str) -> DataFrame:
+    """Give every text column a collation, such as the source database's.
+
+    Equality, grouping, joins and order then follow it. ``UTF8_LCASE`` ignores
+    case, ``UTF8_BINARY_RTRIM`` trailing blanks; the default compares bytes.
+    """
+    texts = [f.name for f in df.schema if isinstance(f.dataType, T.StringType)]
+    return df.withColumns({name: F.collate(F.col(f"`{name}`"), collation) for name in texts})

@@ -92,5 +92,5 @@ def last_row(df: DataFrame, keys: list[str], order: str, columns: list[str]) ->
     A maximum over a struct combines on the map side, where a window would sort
     every row of a key in one task. Ties go to the greater remaining columns.
     """
-    best = F.max(F.struct(order, *columns)).alias("__best")
+    best = F.max(F.struct(F.col(order).alias("__order"), *columns)).alias("__best")
     return df.groupBy(*keys).agg(best).select(*keys, *[F.col(f"__best.{c}").alias(c) for c in columns])

@@ -3,7 +3,20 @@
 from __future__ import annotations
 
 from ledgermatch.fixtures import with_clause
-from ledgermatch.workload import derived
+from ledgermatch.workload import checks, derived, estate, relational
 
-QUERIES = {**derived.QUERIES}
-ORACLE = {name: with_clause(sql.strip()) for name, sql in {**derived.ORACLE}.items()}
+QUERIES = {
+    **checks.registry.queries,
+    **relational.registry.queries,
+    **derived.QUERIES,
+    **estate.QUERIES,
+}
+ORACLE = {
+    name: with_clause(sql.strip())
+    for name, sql in {
+        **checks.registry.sql,
+        **relational.registry.sql,
+        **derived.ORACLE,
+        **estate.ORACLE,
+    }.items()
+}
