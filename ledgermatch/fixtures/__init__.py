@@ -1,7 +1,8 @@
 """Test data: the input relations of the derived datasets, made from the test tables.
 
 ``relations.sql`` holds one ``name := query`` per line in dependency order. The
-same text runs on Spark and on the DuckDB oracle.
+same text runs on Spark and on the DuckDB oracle; only ``each(...)``, one output
+row per listed value, is spelled differently.
 """
 
 from __future__ import annotations
@@ -44,12 +45,20 @@ def needed(names: list[str]) -> list[str]:
     return [n for n in RELATIONS if n in found]
 
 
+def for_spark(query: str) -> str:
+    return re.sub(r"\beach\(([^()]*)\)", r"explode(array(\1))", query)
+
+
+def for_duckdb(query: str) -> str:
+    return re.sub(r"\beach\(([^()]*)\)", r"unnest([\1])", query)
+
+
 def with_clause(query: str) -> str:
     """Put the relations a DuckDB query mentions in front of it."""
     names = needed(_mentions(query, RELATIONS))
     if not names:
         return query
-    parts = ",\n".join(f"{n} AS ({RELATIONS[n]})" for n in names)
+    parts = ",\n".join(f"{n} AS ({for_duckdb(RELATIONS[n])})" for n in names)
     return f"WITH {parts}\nSELECT * FROM (\n{query}\n) AS answer"
 
 
@@ -73,7 +82,7 @@ class TestRelations(Mapping[str, DataFrame]):
             for other in (*_mentions(query, TABLES), *_mentions(query, RELATIONS)):
                 if other != name:
                     self[other].createOrReplaceTempView(other)
-            frame = self._spark.sql(query)
+            frame = self._spark.sql(for_spark(query))
         self._frames[name] = frame
         return frame
 

@@ -1,23 +1,26 @@
 -- Input relations of the derived datasets, built from the test tables; one per line.
+-- each(a,b,..) repeats a row per listed value; it is written out for the engine that runs it.
+-- Remainders of keys choose attribute values and leave some keys without a partner on
+-- purpose, so that outer joins, anti joins and NULL rules have something to do.
 t_dm_consolidation := select * from (values (653,'N','COMPLETED'),(654,'Y','COMPLETED')) v(consolidation_id,latest,status)
 t_dm_in_data_snapshot := select * from (values (1946,'S:UCDP','ALL','N'),(1947,'S:UCDP','ALL','Y'),(2001,'S:NR','ALL','Y'),(2101,'S:RDS','RDS_PRODUCTS','Y'),(2201,'S:PS2','PE_PDP','Y'),(2202,'S:PS2','PE_PLI','Y'),(2301,'S:UCDP','MRN','Y')) v(snapshot_id,supplier_id,data_type,latest)
 t_content_collection := select * from (values ('HV','High Value'),('NW','News Wires'),('WN','Web News'),('NR','News Room')) v(content_collection_id,content_collection)
-t_all_product_code := select 'NP:P'||cast(p_partkey as string) product_code,'P'||cast(p_partkey as string) mnemonic,p_name name,case p_size%5 when 0 then 'HV' when 1 then 'NW' when 2 then 'WN' when 3 then 'NR' end content_collection_id,case when p_partkey%2=0 then 'S:RCS' else 'S:RDS' end supplier_id,c.consolidation_id from part cross join t_dm_consolidation c
-t_all_source_code := select 'NS:S'||cast(c_custkey as string) source_code,'S'||cast(c_custkey as string) mnemonic,c_name name,c_mktsegment descr,'ACTIVE' status,'No Data' availability,case c_nationkey%5 when 0 then 'HV' when 1 then 'NW' when 2 then 'WN' when 3 then 'NR' end content_collection_id,'S:NR' supplier_id,case when c_acctbal<0 then null else 'Pub '||cast(c_nationkey as string) end publisher,case when c_custkey%2=0 then '' else 'http://s.example.com' end url,c.consolidation_id from customer cross join t_dm_consolidation c
-t_ref_country := select n_nationkey id,case when n_nationkey=24 then null else n_name end country,c.consolidation_id from nation cross join t_dm_consolidation c
-t_ref_region := select r_regionkey id,r_name region,c.consolidation_id from region cross join t_dm_consolidation c
-t_ref_publication_type := select v.*,c.consolidation_id from (values (0,'Wire'),(1,'Web'),(2,'Paper'),(3,'Blog'),(4,'Web')) v(id,publication_type) cross join t_dm_consolidation c
-t_ref_language := select v.*,c.consolidation_id from (values (0,'en'),(1,'fr'),(2,'de'),(3,'es')) v(id,language) cross join t_dm_consolidation c
-t_ref_industry := select v.*,c.consolidation_id from (values (0,'AUTOMOBILE'),(1,'BUILDING'),(2,'FURNITURE'),(3,'HOUSEHOLD'),(4,'MACHINERY')) v(id,industry) cross join t_dm_consolidation c
-t_ref_data_relations := select r.*,c.consolidation_id from (select 'NP:P'||cast(l_partkey as string) code,'NP' code_type,t.ref_type,case t.ref_type when 'COUNTRY' then l_suppkey%25 when 'LANGUAGE' then l_orderkey%4 else l_orderkey%5 end ref_id from lineitem cross join (values ('COUNTRY'),('REGION'),('PUBLICATION'),('LANGUAGE'),('INDUSTRY')) t(ref_type) where l_partkey%3<>0 and l_linenumber<3 union all select 'NS:S'||cast(o_custkey as string),'NS',t.ref_type,case t.ref_type when 'COUNTRY' then o_orderkey%25 when 'LANGUAGE' then o_orderkey%4 else o_orderkey%5 end from orders cross join (values ('COUNTRY'),('REGION'),('PUBLICATION'),('LANGUAGE'),('INDUSTRY')) t(ref_type) where o_custkey%4<>0) r cross join t_dm_consolidation c
+t_all_product_code := select 'NP:P'||cast(p_partkey as string) product_code,'P'||cast(p_partkey as string) mnemonic,p_name name,case p_size%5 when 0 then 'HV' when 1 then 'NW' when 2 then 'WN' when 3 then 'NR' end content_collection_id,case when p_partkey%2=0 then 'S:RCS' else 'S:RDS' end supplier_id,each(653,654) consolidation_id from part
+t_all_source_code := select 'NS:S'||cast(c_custkey as string) source_code,'S'||cast(c_custkey as string) mnemonic,c_name name,c_mktsegment descr,'ACTIVE' status,'No Data' availability,case c_nationkey%5 when 0 then 'HV' when 1 then 'NW' when 2 then 'WN' when 3 then 'NR' end content_collection_id,'S:NR' supplier_id,case when c_acctbal<0 then null else 'Pub '||cast(c_nationkey as string) end publisher,case when c_custkey%2=0 then '' else 'http://s.example.com' end url,each(653,654) consolidation_id from customer
+t_ref_country := select n_nationkey id,case when n_nationkey=24 then null else n_name end country,each(653,654) consolidation_id from nation
+t_ref_region := select r_regionkey id,r_name region,each(653,654) consolidation_id from region
+t_ref_publication_type := select v.*,each(653,654) consolidation_id from (values (0,'Wire'),(1,'Web'),(2,'Paper'),(3,'Blog'),(4,'Web')) v(id,publication_type)
+t_ref_language := select v.*,each(653,654) consolidation_id from (values (0,'en'),(1,'fr'),(2,'de'),(3,'es')) v(id,language)
+t_ref_industry := select v.*,each(653,654) consolidation_id from (values (0,'AUTOMOBILE'),(1,'BUILDING'),(2,'FURNITURE'),(3,'HOUSEHOLD'),(4,'MACHINERY')) v(id,industry)
+t_ref_data_relations := select code,code_type,ref_type,case ref_type when 'COUNTRY' then a%25 when 'LANGUAGE' then b%4 else b%5 end ref_id,each(653,654) consolidation_id from (select 'NP:P'||cast(l_partkey as string) code,'NP' code_type,each('COUNTRY','REGION','PUBLICATION','LANGUAGE','INDUSTRY') ref_type,l_suppkey a,l_orderkey b from lineitem where l_partkey%3<>0 and l_linenumber<3 union all select 'NS:S'||cast(o_custkey as string),'NS',each('COUNTRY','REGION','PUBLICATION','LANGUAGE','INDUSTRY') ref_type,o_orderkey,o_orderkey from orders where o_custkey%4<>0) r
 ucdp_v_feed := select 'news_'||cast(user_id as string) feed_code,event_id feed_index,cast(event_id%2 as string) isnative,'1' isinternal,cast(user_id as string) feedid,'visible' visibility,event_type state,case event_type when 'error' then null when 'view' then '' else 'Owner' end copyrightOwner,event_type description,'parsn_'||event_type parser,case event_type when 'error' then null else 'Parser '||event_type end parser_descr,case event_type when 'click' then null else 'onbdn_'||event_type end onboarder,case event_type when 'click' then null else 'Onboarder '||event_type end onboarder_descr,case when event_id%10=0 then 1946 else 1947 end snapshot_id from events where user_id%3<>0 or event_type in ('view','error')
 ucdp_feed_to_sc := select distinct 'news_'||cast(user_id as string) feed_code,'S'||cast(event_id%2000 as string) source_code,case when event_id%10=0 then 1946 else 1947 end snapshot_id from events where user_id%10<>9 and event_id%4=0
-t_feeds := select f.*,c.consolidation_id from (select feed_code,max(description) description,max(parser) parser,max(parser_descr) parser_descr,max(onboarder) onboarder,max(onboarder_descr) onboarder_descr,max(copyrightOwner) copyrightOwner,count(*) feed_instance_count from ucdp_v_feed where snapshot_id=1947 group by feed_code) f cross join t_dm_consolidation c
+t_feeds := select f.*,each(653,654) consolidation_id from (select feed_code,max(description) description,max(parser) parser,max(parser_descr) parser_descr,max(onboarder) onboarder,max(onboarder_descr) onboarder_descr,max(copyrightOwner) copyrightOwner,count(*) feed_instance_count from ucdp_v_feed where snapshot_id=1947 group by feed_code) f
 t_mapped_source_code := select source_code,mnemonic,name,content_collection_id,consolidation_id from t_all_source_code
 t_feed_source_code := select distinct u.feed_code,s.source_code,s.content_collection_id sc_content_collection_id,s.consolidation_id from ucdp_feed_to_sc u join t_all_source_code s on s.mnemonic=u.source_code where u.snapshot_id=1947
-t_product_code_source_code := select distinct 'NP:P'||cast(l_partkey as string) product_code,'NS:S'||cast(o_custkey as string) source_code,c.consolidation_id from lineitem join orders on l_orderkey=o_orderkey cross join t_dm_consolidation c where l_linenumber=1
+t_product_code_source_code := select distinct 'NP:P'||cast(l_partkey as string) product_code,'NS:S'||cast(o_custkey as string) source_code,each(653,654) consolidation_id from lineitem join orders on l_orderkey=o_orderkey where l_linenumber=1
 t_feed_product_code := select distinct f.feed_code,p.product_code,f.consolidation_id from t_feed_source_code f join t_product_code_source_code p on p.source_code=f.source_code and p.consolidation_id=f.consolidation_id
-t_feed_pe_code := select 'news_'||cast(user_id as string) feed_code,cast(event_id%97 as string) pe_code,c.consolidation_id from events cross join t_dm_consolidation c where event_id%5=0
+t_feed_pe_code := select 'news_'||cast(user_id as string) feed_code,cast(event_id%97 as string) pe_code,each(653,654) consolidation_id from events where event_id%5=0
 t_feed_codes := select feed_code,source_code code,consolidation_id from t_feed_source_code union select feed_code,product_code,consolidation_id from t_feed_product_code
 nsa_v_code_country := select r.code,v.country,r.consolidation_id from t_ref_data_relations r join t_ref_country v on v.id=r.ref_id and v.consolidation_id=r.consolidation_id where r.ref_type='COUNTRY'
 nsa_v_code_region := select r.code,v.region,r.consolidation_id from t_ref_data_relations r join t_ref_region v on v.id=r.ref_id and v.consolidation_id=r.consolidation_id where r.ref_type='REGION'
@@ -40,13 +43,13 @@ rcs_v_product_code := select case when p_partkey%4=0 then 'NP:P' else 'P' end||c
 rds_v_product_code := select 'NP:P'||cast(p_partkey as string) product_code,p_name product_name from part where p_partkey%3=0 union all select 'No Product Code','none'
 rcs_v_product_code_source_code := select 'NP:P'||cast(l_partkey as string) product_code,case when l_orderkey%2=0 then 'NS:S' else 'S' end||cast(o_custkey as string) source_code from lineitem join orders on l_orderkey=o_orderkey where l_linenumber=3
 rds_product_code := select 'NP:P'||cast(p_partkey as string) product_code,p_name product_name,'S'||cast(p_size as string) source_codes,case when p_partkey%6=0 then 1 else 0 end not_product_code,case when p_partkey%10=0 then 1 else 0 end exclude_from_eikon,case when p_partkey%8=0 then 2100 else 2101 end snapshot_id from part
-rds_reference_data := select 'NP:P'||cast(p_partkey as string) code,'NP' code_type,'RUN_PE' data_type,case p_partkey%6 when 0 then 'N/A' when 1 then cast(p_partkey%200 as string)||'M' when 2 then null when 3 then 'M' else cast(p_partkey%200 as string) end value,2101 snapshot_id from part union all select 'NP:P'||cast(p_partkey as string),'NP','LANGUAGE',v.l,2101 from part cross join (values ('en'),('fr'),(null)) v(l) where p_partkey%3=0 union all select 'NP:P'||cast(p_partkey as string),'NP','IS_NOT_PROD_CODE',case when p_partkey%2=0 then 'N' else 'Y' end,2101 from part union all select 'NS:S'||cast(c_custkey as string),'NS','EXCLUDE_FROM_EIKON',case when c_custkey%3=0 then 'true' else 'false' end,case when c_custkey%9=0 then 2100 else 2101 end from customer
+rds_reference_data := select 'NP:P'||cast(p_partkey as string) code,'NP' code_type,'RUN_PE' data_type,case p_partkey%6 when 0 then 'N/A' when 1 then cast(p_partkey%200 as string)||'M' when 2 then null when 3 then 'M' else cast(p_partkey%200 as string) end value,2101 snapshot_id from part union all select 'NP:P'||cast(p_partkey as string),'NP','LANGUAGE',each('en','fr',null),2101 from part where p_partkey%3=0 union all select 'NP:P'||cast(p_partkey as string),'NP','IS_NOT_PROD_CODE',case when p_partkey%2=0 then 'N' else 'Y' end,2101 from part union all select 'NS:S'||cast(c_custkey as string),'NS','EXCLUDE_FROM_EIKON',case when c_custkey%3=0 then 'true' else 'false' end,case when c_custkey%9=0 then 2100 else 2101 end from customer
 rds_v_reference_data := select code,code_type,data_type,value from rds_reference_data where snapshot_id=2101
 t_ps2_pdp_pe := select cast(s_suppkey as string) pe_code,case s_suppkey%4 when 0 then 'WWEIKON' when 1 then 'WWRFTW' else 'PDP' end||cast(s_suppkey%20 as string) pdp_code,2201 snapshot_id from supplier
 t_ps2_pdp := select distinct pdp_code,case when pe_code like '%1%' then 'Specialist' else 'General' end pdp_type,case when pe_code like '%2%' then 'LUCY CHAPLE' else 'OTHER' end owner,snapshot_id from t_ps2_pdp_pe
 t_ps2_pli := select case when s_suppkey%3=0 then 'XXX' else 'RRG' end product_status,'K1 '||p.pdp_code||' K2' permissioning_key,2202 snapshot_id from supplier join t_ps2_pdp_pe p on p.pe_code=cast(s_suppkey as string)
 t_ps2_pe := select cast(s_suppkey as string) pe_code,s_name pe_name,2201 snapshot_id from supplier
 t_mrn_pe_rules := select cast(s_suppkey as string) pe_code,case when s_suppkey%5=0 then 2300 else 2301 end snapshot_id from supplier
-t_mrn_rule_details := select cast(s_suppkey as string) pe_code,t.type,t.type||cast(t.n as string) value,2301 snapshot_id from supplier cross join (values ('PROVIDER',1),('PROVIDER',2),('LANGUAGE',1),('LANGUAGE',2),('URGENCY',1),('AUDIENCE',1),('SUBJECT',1),('INSTANCE',1),('FULL_LANGUAGE',1)) t(type,n) where (s_suppkey+t.n)%3<>0
+t_mrn_rule_details := select cast(s_suppkey as string) pe_code,left(v,length(v)-1) type,v value,2301 snapshot_id from (select s_suppkey,each('PROVIDER1','PROVIDER2','LANGUAGE1','LANGUAGE2','URGENCY1','AUDIENCE1','SUBJECT1','INSTANCE1','FULL_LANGUAGE1') v from supplier) x where (s_suppkey+cast(right(v,1) as int))%3<>0
 nsa_v_mrn_pe_pc := select distinct 'NP:P'||cast(l_partkey as string) product_code,l_suppkey pe_code from lineitem where l_linenumber=4
 nsa_v_mrn_pe_sc := select distinct 'NS:S'||cast(o_custkey as string) source_code,o_orderkey%50 pe_code from orders

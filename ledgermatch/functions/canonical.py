@@ -66,9 +66,8 @@ def float_text(value: Column) -> Column:
 
 def timestamp_text(value: Column) -> Column:
     """ISO text with a blank; six fraction digits or none."""
-    return F.when(
-        F.date_trunc("second", value) == value, F.date_format(value, "yyyy-MM-dd HH:mm:ss")
-    ).otherwise(F.date_format(value, "yyyy-MM-dd HH:mm:ss.SSSSSS"))
+    text = value.cast("string")  # leaves out the zeros at the end of a fraction
+    return F.when(F.contains(text, F.lit(".")), F.rpad(text, 26, "0")).otherwise(text)
 
 
 def _json_string(value: Column) -> Column:

@@ -86,18 +86,22 @@ def contains_words(left: DataFrame, code: str, right: DataFrame, text: str) -> D
     """Left rows whose code stands between blanks in some right text.
 
     Same result as a nested loop over ``' ' + text + ' ' LIKE '% ' + code + ' %'``,
-    as an equality semi join: every run of words of a text, for each word count
-    that occurs among the codes, becomes a join key. Runs are made distinct
-    before the join, so a word that all texts share is one row.
+    as equality semi joins: every run of words of a text, for each word count that
+    occurs among the codes, is looked up among the codes. A text gives each run
+    once, and runs that are no code are dropped where they are made when Spark can
+    broadcast the codes; otherwise runs are shuffled and a hot one can be split.
     """
     word_counts = left.agg(F.collect_set(F.size(F.split(code, " ")))).scalar()
     words, n = F.col("__words"), F.col("__n")
     starts = F.sequence(F.lit(1), F.size(words) - n + 1)
+    runs = F.array_distinct(F.transform(starts, lambda i: F.array_join(F.slice(words, i, n), " ")))
+    codes = left.select(F.col(code).alias("__phrase"))
     phrases = (
         right.where(F.col(text).isNotNull())
         .select(F.split(text, " ").alias("__words"), F.explode(word_counts).alias("__n"))
         .where(F.size(words) >= n)
-        .select(F.explode(F.transform(starts, lambda i: F.array_join(F.slice(words, i, n), " "))).alias("__phrase"))
+        .select(F.explode(runs).alias("__phrase"))
+        .join(codes, "__phrase", "left_semi")
         .distinct()
     )
     return left.join(phrases, F.col(code) == F.col("__phrase"), "left_semi")

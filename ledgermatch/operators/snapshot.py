@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -47,3 +49,19 @@ def write_consolidation(df: DataFrame, path: str, consolidation_id: int) -> None
         .partitionBy("consolidation_id")
         .parquet(path)
     )
+
+
+def distinct_across_versions(
+    build: Callable[[DataFrame], DataFrame], base: DataFrame, versions: DataFrame
+) -> DataFrame:
+    """Distinct rows of ``build(base)`` when only versions can repeat a row.
+
+    ``build`` must give distinct rows for the distinct rows of one version. With a
+    single version in force, its wide result needs no shuffle to make it distinct;
+    with several it does. The number of versions is known when the query runs: the
+    branch that does not apply starts from no rows.
+    """
+    n = versions.agg(F.count_distinct(versions.columns[0])).scalar()
+    one = build(base.where(n == 1))
+    several = build(base.where(n > 1)).distinct()
+    return one.unionByName(several)

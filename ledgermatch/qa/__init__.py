@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Mapping
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,13 +10,21 @@ from pyspark.sql import functions as F
 from ledgermatch.functions.text import string_agg
 
 
+def _stacked(frames: list[DataFrame]) -> DataFrame:
+    """Union in halves: Spark analyses the plan at each union, so keep the tree flat."""
+    if len(frames) == 1:
+        return frames[0]
+    middle = len(frames) // 2
+    return _stacked(frames[:middle]).unionByName(_stacked(frames[middle:]))
+
+
 def row_counts(datasets: Mapping[str, DataFrame], names: Iterable[str]) -> DataFrame:
     """view_name, row_count; counting reads no column that a dataset can do without."""
     counts = [
         datasets[name].agg(F.count("*").alias("row_count")).select(F.lit(name).alias("view_name"), "row_count")
         for name in names
     ]
-    return reduce(DataFrame.unionByName, counts).orderBy("view_name")
+    return _stacked(counts).orderBy("view_name")
 
 
 def column_lists(spark: SparkSession, datasets: Mapping[str, DataFrame], names: Iterable[str]) -> DataFrame:
