@@ -50,14 +50,15 @@ def timed(make) -> float:
 
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
-    spark = local_session(os.environ.get("BENCH_CPUS", "8"), memory="16g")
+    cpus = int(os.environ.get("BENCH_CPUS", "8"))
+    spark = local_session(cpus, memory="16g")
     tables = relations(spark, sf_dir)
 
     start = time.perf_counter()
     landing = tempfile.mkdtemp(prefix="ledgermatch-bench-")
     landed = {}
     for name in RELATIONS:
-        tables[name].write.mode("overwrite").parquet(f"{landing}/{name}")
+        tables[name].repartition(cpus).write.mode("overwrite").parquet(f"{landing}/{name}")
         landed[name] = spark.read.parquet(f"{landing}/{name}")
     landing_seconds = time.perf_counter() - start
 

@@ -6,6 +6,8 @@ comparison the checks define: the integer 1 equals the text '1', but not '1.0'.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -30,37 +32,71 @@ def fold_nan(value: Column, dtype: T.DataType) -> Column:
     return F.when(~F.isnan(value), value) if isinstance(dtype, _FLOAT) else value
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Compute ``value`` once and use it several times in ``body``."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def float_text(value: Column) -> Column:
-    """Shortest decimal text in Python's layout (plain from 1e-4 up to 1e16)."""
+    """Shortest decimal text in Python's layout (plain from 1e-4 up to 1e16).
+
+    A short text without exponent is already right. The rest is written with the
+    fewest of 15, 16 or 17 digits that give the same number, since older Java
+    versions may write one digit too many. With such a version the last of 17
+    digits can, very rarely, be the neighbouring one that gives the same number.
+    This only matters where a number meets text on the other side.
+    """
+    value = value.cast("string").cast("double")  # a FLOAT by its own digits
     text = value.cast("string")
-    mantissa = F.substring_index(text, "E", 1)
-    digits = F.regexp_replace(mantissa, "[-.]", "")
-    exponent = F.when(F.contains(text, F.lit("E")), F.substring_index(text, "E", -1).cast("int"))
-    sign = F.when(F.startswith(text, F.lit("-")), "-").otherwise("")
-    # "1.0" has the digits "10": drop the filler zero before moving the point.
-    digits = F.when(F.endswith(mantissa, F.lit(".0")), F.left(digits, F.length(digits) - 1)).otherwise(digits)
-    padded = F.when(F.length(digits) > exponent + 1, digits).otherwise(F.rpad(digits, exponent + 1, "0"))
-    fraction = F.substr(padded, exponent + 2)
-    plain_large = F.concat(
-        sign, F.left(padded, exponent + 1), F.lit("."), F.when(fraction == "", "0").otherwise(fraction)
-    )
-    plain_small = F.concat(sign, F.lit("0."), F.repeat(F.lit("0"), -exponent - 1), digits)
-    scientific = F.concat(
-        sign,
-        F.left(digits, F.lit(1)),
-        F.when(F.length(digits) > 1, F.concat(F.lit("."), F.substr(digits, F.lit(2)))).otherwise(""),
-        F.when(exponent < 0, "e-").otherwise("e+"),
-        F.when(F.abs(exponent) < 10, F.lpad(F.abs(exponent).cast("string"), 2, "0"))
-        .otherwise(F.abs(exponent).cast("string")),
+
+    def in_digits(n: int) -> Column:
+        return F.format_string(f"%.{n - 1}e", value)
+
+    def same(candidate: Column) -> Column:
+        return candidate.cast("double") == value
+
+    fewest = (
+        F.when(same(in_digits(15)), in_digits(15)).when(same(in_digits(16)), in_digits(16)).otherwise(in_digits(17))
     )
+
+    def parts(scientific: Column) -> Column:
+        digits = F.regexp_replace(F.substring_index(scientific, "e", 1), "[-.]", "")
+        return F.struct(
+            F.regexp_replace(digits, "(?<=.)0+$", "").alias("digits"),
+            F.substring_index(scientific, "e", -1).cast("int").alias("exponent"),
+        )
+
+    def laid_out(p: Column) -> Column:
+        digits, exponent = p["digits"], p["exponent"]
+        whole = F.rpad(digits, exponent + 1, "0")  # also cuts longer digits
+        fraction = F.substr(digits, exponent + 2)
+        power = F.abs(exponent).cast("string")
+        return (
+            F.when(
+                (exponent >= 0) & (exponent < 16),
+                F.concat(whole, F.lit("."), F.when(fraction == "", "0").otherwise(fraction)),
+            )
+            .when(
+                (exponent < 0) & (exponent >= -4),
+                F.concat(F.lit("0."), F.repeat(F.lit("0"), -exponent - 1), digits),
+            )
+            .otherwise(
+                F.concat(
+                    F.left(digits, F.lit(1)),
+                    F.when(F.length(digits) > 1, F.concat(F.lit("."), F.substr(digits, F.lit(2)))).otherwise(""),
+                    F.when(exponent < 0, "e-").otherwise("e+"),
+                    F.when(F.length(power) < 2, F.lpad(power, 2, "0")).otherwise(power),
+                )
+            )
+        )
+
+    sign = F.when(value < 0, "-").otherwise("")
     return (
         F.when(value.isNull() | F.isnan(value), None)
         .when(text == "Infinity", "inf")
         .when(text == "-Infinity", "-inf")
-        .when(exponent.isNull(), text)
-        .when((exponent >= 0) & (exponent < 16), plain_large)
-        .when((exponent < 0) & (exponent >= -4), plain_small)
-        .otherwise(scientific)
+        .when((F.length(text) <= 17) & ~F.contains(text, F.lit("E")), text)
+        .otherwise(F.concat(sign, _let(fewest, lambda s: _let(parts(s), laid_out))))
     )
 
 

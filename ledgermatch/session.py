@@ -17,6 +17,9 @@ SCALE_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # Text lists are built in object buffers; a map task may hold this many keys
+    # before it falls back to sorting. The default of 128 sorts almost always.
+    "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "10000",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.ansi.enabled": "true",
     "spark.scheduler.mode": "FAIR",
