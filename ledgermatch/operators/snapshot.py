@@ -51,17 +51,16 @@ def write_consolidation(df: DataFrame, path: str, consolidation_id: int) -> None
     )
 
 
-def distinct_across_versions(
-    build: Callable[[DataFrame], DataFrame], base: DataFrame, versions: DataFrame
-) -> DataFrame:
-    """Distinct rows of ``build(base)`` when only versions can repeat a row.
-
-    ``build`` must give distinct rows for the distinct rows of one version. With a
-    single version in force, its wide result needs no shuffle to make it distinct;
-    with several it does. The number of versions is known when the query runs: the
-    branch that does not apply starts from no rows.
+def distinct_across_versions(build: Callable[[DataFrame], DataFrame], versions: DataFrame) -> DataFrame:
+    """Distinct rows of ``build(versions)`` when only several versions can repeat a row.
+
+    ``build`` restricts its data to the versions it is given and must give distinct
+    rows for a single one. Then a wide result needs no shuffle to make it distinct
+    while one version is in force; with several it does. Their number is known when
+    the query runs, and the branch that does not apply starts from no versions, so
+    adaptive execution drops it.
     """
     n = versions.agg(F.count_distinct(versions.columns[0])).scalar()
-    one = build(base.where(n == 1))
-    several = build(base.where(n > 1)).distinct()
+    one = build(versions.where(n == 1))
+    several = build(versions.where(n > 1)).distinct()
     return one.unionByName(several)

@@ -66,7 +66,7 @@ def _feed_sources(rel: Relations, columns: list[str]) -> DataFrame:
 
     Feeds only filter here, so they are a semi join after the distinct step.
     """
-    mapped = rel["t_mapped_source_code"].select("mnemonic", "consolidation_id", *columns).distinct()
+    mapped = rel["t_mapped_source_code"].select("mnemonic", "consolidation_id", *columns)
     used = rel["ucdp_v_feed_to_sc"].select("feed_code", F.col("source_code").alias("mnemonic_used")).distinct()
     return (
         used.join(mapped, used["mnemonic_used"] == mapped["mnemonic"])
@@ -100,9 +100,10 @@ def _feed_reference(rel: Relations, kind: str) -> DataFrame:
     """Ids of one kind of reference per feed, through the feed's codes.
 
     Codes are resolved to distinct ids before they meet the feeds, so repeated
-    relations and repeated labels do not multiply the large join.
+    relations and repeated labels do not multiply the large join. Labels are
+    looked up first: the list of them is short and the lookup keeps its rows.
     """
-    named = rel[f"nsa_v_code_{kind}"].select("code", F.col(kind).alias("label"), "consolidation_id").distinct()
+    named = rel[f"nsa_v_code_{kind}"].select("code", F.col(kind).alias("label"), "consolidation_id")
     ids = rel[f"t_ref_{kind}"].select(F.col(kind).alias("label"), F.col("id").alias(f"{kind}_id"), "consolidation_id").distinct()
     code_ids = named.join(ids, ["label", "consolidation_id"]).select("code", f"{kind}_id", "consolidation_id").distinct()
     codes = rel["t_feed_codes"].select("feed_code", "code", "consolidation_id").distinct()

@@ -13,12 +13,14 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ledgermatch.functions.canonical import comparison_key, sort_text
 from ledgermatch.recon.spec import CheckSpec
 
 SRC_COPIES = "__src_copies"
 TRG_COPIES = "__trg_copies"
+DIGEST = "__digest"
 
 
 def column(name: str) -> Column:
@@ -76,26 +78,75 @@ def compare_columns(src: DataFrame, trg: DataFrame) -> ColumnComparison:
     )
 
 
-def row_groups(src: DataFrame, trg: DataFrame) -> DataFrame:
-    """Distinct rows of both sides, in source column order, with copies per side."""
+def comparable(src: DataFrame, trg: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both sides in source column order, with values that can be grouped together."""
     src_types = {f.name: f.dataType for f in src.schema}
     trg_types = {f.name: f.dataType for f in trg.schema}
-    names = src.columns
 
-    def side(df: DataFrame, own: dict, other: dict, is_src: int) -> DataFrame:
-        keys = [comparison_key(column(c), own[c], other[c]).alias(c) for c in names]
+    def side(df: DataFrame, own: dict, other: dict) -> DataFrame:
+        return df.select(*[comparison_key(column(c), own[c], other[c]).alias(c) for c in src.columns])
+
+    return side(src, src_types, trg_types), side(trg, trg_types, src_types)
+
+
+def _copies(src: DataFrame, trg: DataFrame) -> DataFrame:
+    """Distinct rows of two comparable sides with their copies per side."""
+
+    def side(df: DataFrame, is_src: int) -> DataFrame:
         return df.select(
-            *keys,
+            "*",
             F.lit(is_src).cast("bigint").alias(SRC_COPIES),
             F.lit(1 - is_src).cast("bigint").alias(TRG_COPIES),
         )
 
-    stacked = side(src, src_types, trg_types, 1).union(side(trg, trg_types, src_types, 0))
-    return stacked.groupBy(*[column(c) for c in names]).agg(
+    stacked = side(src, 1).union(side(trg, 0))
+    return stacked.groupBy(*[column(c) for c in src.columns]).agg(
         F.sum(SRC_COPIES).alias(SRC_COPIES), F.sum(TRG_COPIES).alias(TRG_COPIES)
     )
 
 
+def row_groups(src: DataFrame, trg: DataFrame) -> DataFrame:
+    """Distinct rows of both sides, in source column order, with copies per side."""
+    return _copies(*comparable(src, trg))
+
+
+def row_digest(df: DataFrame) -> Column:
+    """SHA-256 of a comparable row.
+
+    The digested text names each column that is not NULL, so it is different for
+    different rows. Times are digested as text, because their JSON form ends at
+    milliseconds. Adding zero makes -0.0 the 0.0 it equals.
+    """
+
+    def exact(f: T.StructField) -> Column:
+        if isinstance(f.dataType, (T.FloatType, T.DoubleType)):
+            return column(f.name) + F.lit(0.0).cast(f.dataType)
+        if isinstance(f.dataType, (T.DateType, T.TimestampType, T.TimestampNTZType)):
+            return column(f.name).cast("string")
+        return column(f.name)
+
+    values = [exact(f).alias(f"c{i}") for i, f in enumerate(df.schema)]
+    return F.unhex(F.sha2(F.to_json(F.struct(*values)), 256)) if values else F.lit(b"")
+
+
+def digest_groups(src: DataFrame, trg: DataFrame) -> DataFrame:
+    """As ``row_groups``, with a digest in place of the row."""
+    s, t = comparable(src, trg)
+    return _copies(s.select(row_digest(s).alias(DIGEST)), t.select(row_digest(t).alias(DIGEST)))
+
+
+def differing_rows(src: DataFrame, trg: DataFrame, bag: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Both sides reduced to the rows whose digests do not agree."""
+    src_only, trg_only = side_excess(bag)
+    wanted = digest_groups(src, trg).where((src_only > 0) | (trg_only > 0)).select(DIGEST)
+
+    def reduced(df: DataFrame) -> DataFrame:
+        return df.withColumn(DIGEST, row_digest(df)).join(wanted, DIGEST, "left_semi").drop(DIGEST)
+
+    s, t = comparable(src, trg)
+    return reduced(s), reduced(t)
+
+
 def side_excess(bag: bool) -> tuple[Column, Column]:
     """How many copies of a group are only in src / only in trg."""
     s, t = F.col(SRC_COPIES), F.col(TRG_COPIES)

@@ -16,7 +16,8 @@ class CheckSpec:
     ``mapping`` renames columns on both sides to the target's name; ``exclude``
     drops columns afterwards, so it uses the names after mapping. ``bag`` counts
     a row as different when only its number of copies differs (EXCEPT ALL); by
-    default rows are compared as a set.
+    default rows are compared as a set. ``digest`` compares SHA-256 digests of the
+    rows: for wide rows it shuffles 32 bytes per row in place of the row.
     """
 
     name: str
@@ -24,6 +25,7 @@ class CheckSpec:
     exclude: tuple[str, ...] = ()
     sample_rows: int = DEFAULT_SAMPLE_ROWS
     bag: bool = False
+    digest: bool = False
 
 
 @dataclass

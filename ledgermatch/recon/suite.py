@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from ledgermatch.recon import report
-from ledgermatch.recon.diff import prepare, sample_rows
+from ledgermatch.recon.diff import differing_rows, prepare, sample_rows
 from ledgermatch.recon.spec import CheckSpec, CheckSuite
 from ledgermatch.recon.verdict import BAG_MISMATCH, MISMATCH, RESULT_SCHEMA, error_verdict, verdict
 
@@ -51,7 +51,10 @@ def check_dataset(
     row = verdict(src, trg, spec).first()
     if row["data"]["reason"] not in (MISMATCH, BAG_MISMATCH):
         return row, []
-    sample = sample_rows(prepare(src, spec), prepare(trg, spec), spec.sample_rows, spec.bag)
+    sides = prepare(src, spec), prepare(trg, spec)
+    if spec.digest:
+        sides = differing_rows(*sides, spec.bag)
+    sample = sample_rows(*sides, spec.sample_rows, spec.bag)
     return row, sample.select(F.lit(spec.name).alias("name"), "side", "rank", "row_json").collect()
 
 

@@ -9,6 +9,7 @@ from ledgermatch.recon.diff import (
     SRC_COPIES,
     TRG_COPIES,
     compare_columns,
+    digest_groups,
     prepare,
     require_unique_columns,
     row_groups,
@@ -71,7 +72,8 @@ def verdict(src: DataFrame, trg: DataFrame, spec: CheckSpec) -> DataFrame:
 
     if names.passed:
         src_only, trg_only = side_excess(spec.bag)
-        totals = row_groups(s, t).agg(
+        groups = digest_groups(s, t) if spec.digest else row_groups(s, t)
+        totals = groups.agg(
             _total(SRC_COPIES).alias("n_src"),
             _total(TRG_COPIES).alias("n_trg"),
             _total(src_only).alias("src_only"),

@@ -49,7 +49,13 @@ def write_json(df: DataFrame, path: str) -> None:
         else canonical_text(column(f.name), f.dataType).alias(f.name)
         for f in df.schema
     ]
-    df.select(*plain).write.mode("overwrite").option("ignoreNullFields", "false").json(path)
+    times = "yyyy-MM-dd HH:mm:ss.SSSSSS"  # of times inside nested values
+    (
+        df.select(*plain)
+        .write.mode("overwrite")
+        .options(ignoreNullFields="false", timestampFormat=times, timestampNTZFormat=times)
+        .json(path)
+    )
 
 
 def _is_rows(dtype: T.DataType) -> bool:

@@ -86,6 +86,12 @@ def recon_summary_orders(t: Tables) -> DataFrame:
     return flat(verdict(t["orders"], altered_orders(t["orders"]), CheckSpec("orders")))
 
 
+@query(_ORDERS_VERDICT)
+def recon_summary_digest(t: Tables) -> DataFrame:
+    """The same verdict from digests of the rows."""
+    return flat(verdict(t["orders"], altered_orders(t["orders"]), CheckSpec("orders", digest=True)))
+
+
 @query(f"SELECT * FROM {_SRC_ONLY}")
 def recon_src_only(t: Tables) -> DataFrame:
     return subtract(t["orders"], altered_orders(t["orders"]))

@@ -334,7 +334,7 @@ def case_no_else(t: Tables) -> DataFrame:
 
 
 @query("""
-SELECT c_custkey, length(c_mktsegment) AS trimmed, length(c_mktsegment) + 2 AS counted, left(c_mktsegment, 3) AS head,
+SELECT c_custkey, CAST(length(c_mktsegment) AS INTEGER) AS trimmed, CAST(length(c_mktsegment) + 2 AS INTEGER) AS counted, left(c_mktsegment, 3) AS head,
        right(c_mktsegment, 3) AS tail, substring(c_mktsegment, 2, 3) AS middle FROM customer
 """)
 def text_lengths(t: Tables) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from ledgermatch.recon import report
-from ledgermatch.recon.diff import apply_mapping, except_rows, sample_rows, subtract
+from ledgermatch.recon.diff import apply_mapping, differing_rows, except_rows, sample_rows, subtract
 from ledgermatch.recon.spec import CheckSpec, CheckSuite
 from ledgermatch.recon.suite import run_suite
 from ledgermatch.recon.verdict import RESULT_SCHEMA, verdict
@@ -223,3 +223,24 @@ def test_verdict_schema(spark, base):
         [], RESULT_SCHEMA
     ).schema.simpleString()
     assert isinstance(check(base, base), Row)
+
+
+@pytest.mark.parametrize("bag", [False, True])
+def test_digests_give_the_same_verdict_and_samples(spark, base, bag):
+    rows = [(1, "a", -0.0), (2, '{"c1":"b"}', None), (3, None, float("nan")), (3, "", 0.0), (1, "a", 0.0)]
+    src = base.union(spark.createDataFrame(rows, SCHEMA))
+    trg = base.union(spark.createDataFrame(rows[1:] + rows[3:4] + [(9, "z", 2.0)], SCHEMA))
+    plain, digest = (check(src, trg, bag=bag, digest=d) for d in (False, True))
+    assert plain == digest and outcome(plain)[2] >= 1
+    expected = sample_rows(src, trg, 5, bag).orderBy("side", "rank").collect()
+    assert sample_rows(*differing_rows(src, trg, bag), 5, bag).orderBy("side", "rank").collect() == expected
+
+
+def test_digests_see_microseconds_and_every_type(spark):
+    columns = "timestamp_ntz'2024-01-02 03:04:05.{0}' n, timestamp'2024-01-02 03:04:05.{1}' z, X'0{2}' b, 1.{3}BD d, 0.1D + {4} f"
+    base = [100001, 200001, 1, 10, 0]
+    src = spark.sql("select " + columns.format(*base))
+    assert check(src, src, digest=True)["data"]["passed"]
+    for i in range(len(base)):
+        other = spark.sql("select " + columns.format(*[v + 1 if i == j else v for j, v in enumerate(base)]))
+        assert check(src, other, digest=True)["data"]["src_only_count"] == 1
