@@ -94,7 +94,8 @@ def contains_words(left: DataFrame, code: str, right: DataFrame, text: str) -> D
     word_counts = left.agg(F.collect_set(F.size(F.split(code, " ")))).scalar()
     words, n = F.col("__words"), F.col("__n")
     starts = F.sequence(F.lit(1), F.size(words) - n + 1)
-    runs = F.array_distinct(F.transform(starts, lambda i: F.array_join(F.slice(words, i, n), " ")))
+    longer = F.transform(starts, lambda i: F.array_join(F.slice(words, i, n), " "))
+    runs = F.array_distinct(F.when(n == 1, words).otherwise(longer))
     codes = left.select(F.col(code).alias("__phrase"))
     phrases = (
         right.where(F.col(text).isNotNull())
