@@ -5,12 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Code prefixes and the suffix of permission numbers.
-SOURCE_PREFIX = "NS:"
-PRODUCT_PREFIX = "NP:"
-NUMBER_SUFFIX = "M"
-
-
 def strip_prefix(code: Column, prefix: str) -> Column:
     """Remove ``prefix`` once, only at the start."""
     return F.when(
@@ -23,7 +17,7 @@ def remove_all(code: Column, token: str) -> Column:
     return F.replace(code, F.lit(token), F.lit(""))
 
 
-def strip_suffix(value: Column, suffix: str = NUMBER_SUFFIX) -> Column:
+def strip_suffix(value: Column, suffix: str = "M") -> Column:
     """Remove one trailing ``suffix``; a repeated suffix loses only the last one."""
     return F.when(
         F.endswith(value, F.lit(suffix)), F.left(value, F.length(value) - len(suffix))

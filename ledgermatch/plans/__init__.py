@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping
+from string import Formatter
+from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from ledgermatch.plans import entitlements, feeds, news_map, product_codes, source_codes
 
@@ -66,6 +68,14 @@ class Catalog(Mapping[str, DataFrame]):
     def __len__(self) -> int:
         return len(set(self._inputs) | set(DATASETS))
 
+    def sql(self, spark: SparkSession, query: str, args: dict[str, Any] | None = None) -> DataFrame:
+        """Run a read query; relations are written ``{name}``, parameters ``:name``.
+
+        Parameters are bound as literals, never pasted into the text.
+        """
+        names = {field for _, field, _, _ in Formatter().parse(query) if field}
+        return spark.sql(query, args=args, **{name: self[name] for name in names})
+
     def register(self) -> None:
         """Offer the derived datasets to SQL as temporary views."""
         for name in DATASETS:

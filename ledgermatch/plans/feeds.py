@@ -11,13 +11,14 @@ from ledgermatch.functions.text import distinct_text_agg, joined_or_null
 from ledgermatch.operators.lookup import unmatched_or_null
 from ledgermatch.operators.rollup import Rollup, attach, labels, roll_up
 from ledgermatch.operators.snapshot import in_latest
+from ledgermatch.plans import constants as const
 
 Relations = Mapping[str, DataFrame]
 
 
 def feed_to_source_code(rel: Relations) -> DataFrame:
     """Mapping of feeds to source codes in the latest snapshot."""
-    return in_latest(rel["ucdp_feed_to_sc"], rel["t_dm_in_data_snapshot"], "S:UCDP", "ALL").select(
+    return in_latest(rel["ucdp_feed_to_sc"], rel["t_dm_in_data_snapshot"], const.FEEDS, const.ALL_DATA).select(
         "feed_code", "source_code", "snapshot_id"
     )
 
@@ -32,14 +33,14 @@ def feeds(rel: Relations) -> DataFrame:
     texts: dict[str, Column] = {
         "description": F.col("description"),
         "parser": F.col("parser"),
-        "parser_descr": joined_or_null(" - ", F.col("parser"), F.col("parser_descr")),
+        "parser_descr": joined_or_null(const.CODE_AND_TEXT, F.col("parser"), F.col("parser_descr")),
         "onboarder": F.col("onboarder"),
-        "onboarder_descr": joined_or_null(" - ", F.col("onboarder"), F.col("onboarder_descr")),
+        "onboarder_descr": joined_or_null(const.CODE_AND_TEXT, F.col("onboarder"), F.col("onboarder_descr")),
     }
     keys = ["feed_code", "snapshot_id"]
     grouped = rel["ucdp_v_feed"].groupBy(*keys).agg(
         F.max(F.struct("feed_index", *flags)).alias("last"),
-        *[distinct_text_agg(text, "|").alias(name) for name, text in texts.items()],
+        *[distinct_text_agg(text, const.VARIANTS).alias(name) for name, text in texts.items()],
         F.count("feed_index").alias("feed_instance_count"),
     )
     # Instances are looked up by equality, so a NULL key finds none of them.
@@ -135,7 +136,7 @@ def feed_to_codes(rel: Relations) -> DataFrame:
     def arm(df: DataFrame, code: str, code_type: str) -> DataFrame:
         return df.select(F.col(code).alias("code"), F.lit(code_type).alias("code_type"), "feed_code", "consolidation_id")
 
-    return arm(sources, "source_code", "NS").unionByName(arm(products, "product_code", "NP")).distinct()
+    return arm(sources, "source_code", const.SOURCE).unionByName(arm(products, "product_code", const.PRODUCT)).distinct()
 
 
 def not_covered_feeds(rel: Relations) -> DataFrame:
@@ -149,7 +150,7 @@ def not_covered_feeds(rel: Relations) -> DataFrame:
         "__code", rel["t_all_source_code"], "mnemonic", "source_code",
     )
     listed = roll_up(
-        [labels(unknown, "SC", ["feed_code"], "__code")], ["feed_code"], [Rollup("SC", "codes", "n")]
+        [labels(unknown, "SC", ["feed_code"], "__code")], ["feed_code"], [Rollup("SC", "codes", "n", const.LIST)]
     )
     # A feed is in this list because it has at least one unknown code.
     source_check = listed.select(
@@ -157,8 +158,8 @@ def not_covered_feeds(rel: Relations) -> DataFrame:
         F.col("feed_code").alias("Feed To Source Code"),
         F.col("codes").alias("UCDP Source Code"),
         F.col("n").cast("string").alias("Count Source Codes mapped"),
-        F.lit("Source Code Check").alias("Check Type"),
-        F.lit("No UCDP Source Code in RCS/RDS/NewsRoom").alias("Reason"),
+        F.lit(const.SOURCE_CODE_CHECK).alias("Check Type"),
+        F.lit(const.SOURCE_CODE_REASON).alias("Reason"),
     )
     unmapped = rel["t_feeds"].select("feed_code").join(mapping.select("feed_code"), "feed_code", "left_anti")
     feed_check = unmapped.select(
@@ -166,8 +167,8 @@ def not_covered_feeds(rel: Relations) -> DataFrame:
         F.lit(None).cast("string").alias("Feed To Source Code"),
         F.lit("").alias("UCDP Source Code"),
         F.lit("").alias("Count Source Codes mapped"),
-        F.lit("Feed Check").alias("Check Type"),
-        F.lit("Feed exists but not mapped to any Source Code").alias("Reason"),
+        F.lit(const.FEED_CHECK).alias("Check Type"),
+        F.lit(const.FEED_REASON).alias("Reason"),
     )
     return source_check.unionByName(feed_check)
 
@@ -190,10 +191,10 @@ def feed_all_grouped(rel: Relations) -> DataFrame:
         ],
         keys,
         [
-            Rollup("SC", "sc", "sc_count"),
-            Rollup("PC", "pc", "pc_count"),
-            Rollup("PE", "pe_code", "pe_count"),
-            Rollup("CC", "content_collection", "cc_count"),
+            Rollup("SC", "sc", "sc_count", const.LIST),
+            Rollup("PC", "pc", "pc_count", const.LIST),
+            Rollup("PE", "pe_code", "pe_count", const.LIST),
+            Rollup("CC", "content_collection", "cc_count", const.LIST),
         ],
     )
     counts = ["sc_count", "pc_count", "pe_count", "cc_count"]

@@ -38,8 +38,24 @@ def qa_table_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def qa_column_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Columns of every table, in order."""
-    return column_lists(spark, relations(spark, sf_dir), TABLES)
+    """Columns of every table, in order, next to its number of rows."""
+    tables = relations(spark, sf_dir)
+    return column_lists(spark, tables, TABLES).join(row_counts(tables, TABLES), "view_name")
+
+
+def adhoc_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A read query with parameters over derived datasets and inputs."""
+    return Catalog(relations(spark, sf_dir)).sql(
+        spark,
+        """
+        SELECT s.content_collection_id, count(*) AS n_codes, count(DISTINCT f.feed_code) AS n_feeds
+        FROM {nsa_v_mapped_source_code} s JOIN {nsa_v_feed_source_code} f
+        ON f.source_code = s.source_code AND f.consolidation_id = s.consolidation_id
+        WHERE s.consolidation_id = :consolidation AND s.status = :status
+        GROUP BY s.content_collection_id
+        """,
+        {"consolidation": 654, "status": "ACTIVE"},
+    )
 
 
 def landing_suite(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,6 +85,7 @@ QUERIES = {
     "qa_row_counts": qa_row_counts,
     "qa_table_counts": qa_table_counts,
     "qa_column_lists": qa_column_lists,
+    "adhoc_query": adhoc_query,
     "landing_suite": landing_suite,
     "landing_json_log": landing_json_log,
 }
@@ -76,16 +93,25 @@ QUERIES = {
 _KEPT = "NOT (o_orderstatus = 'F' AND o_totalprice < 20000)"
 _CHANGED = "o_totalprice > 450000 AND o_orderstatus <> 'X'"
 
+_TABLE_COUNTS = "\nUNION ALL ".join(
+    f"SELECT '{name}' AS view_name, count(*) AS row_count FROM {name}" for name in TABLES
+)
+
 ORACLE = {
     "qa_row_counts": "\nUNION ALL ".join(
         f"SELECT '{name}' AS view_name, count(*) AS row_count FROM ({sql})" for name, sql in DERIVED_SQL.items()
     ),
-    "qa_table_counts": "\nUNION ALL ".join(
-        f"SELECT '{name}' AS view_name, count(*) AS row_count FROM {name}" for name in TABLES
-    ),
+    "qa_table_counts": _TABLE_COUNTS,
     "qa_column_lists": f"""
-SELECT table_name AS view_name, string_agg(column_name, ', ' ORDER BY ordinal_position) AS columns_list
-FROM information_schema.columns WHERE table_name IN ({", ".join(f"'{n}'" for n in TABLES)}) GROUP BY 1
+SELECT c.table_name AS view_name, string_agg(c.column_name, ', ' ORDER BY c.ordinal_position) AS columns_list,
+       any_value(r.row_count) AS row_count
+FROM information_schema.columns c JOIN ({_TABLE_COUNTS}) r ON r.view_name = c.table_name GROUP BY 1
+""",
+    "adhoc_query": f"""
+SELECT s.content_collection_id, count(*) AS n_codes, count(DISTINCT f.feed_code) AS n_feeds
+FROM ({DERIVED_SQL["nsa_v_mapped_source_code"]}) s
+JOIN ({DERIVED_SQL["nsa_v_feed_source_code"]}) f USING (source_code, consolidation_id)
+WHERE consolidation_id = 654 AND s.status = 'ACTIVE' GROUP BY 1
 """,
     "landing_suite": f"""
 SELECT 'orders' AS name, if(lost = 0, 'PASS', 'FAIL') AS rows_count, 'PASS' AS columns,

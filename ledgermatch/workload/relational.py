@@ -622,7 +622,7 @@ def priority_union(t: Tables) -> DataFrame:
     return s.union(c.join(s, "number", "left_anti")).union(p.join(known, "number", "left_anti"))
 
 
-@query("SELECT n_nationkey, n_name FROM nation ORDER BY n_name")
+@query("SELECT c_custkey, c_name, c_nationkey FROM customer ORDER BY c_nationkey, c_name")
 def ordered_result(t: Tables) -> DataFrame:
     """Order is asked for by the caller, never part of a dataset."""
-    return t["nation"].select("n_nationkey", "n_name").orderBy("n_name")
+    return t["customer"].select("c_custkey", "c_name", "c_nationkey").orderBy("c_nationkey", "c_name")

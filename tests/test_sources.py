@@ -7,6 +7,8 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from ledgermatch.plans import Catalog
+from ledgermatch.qa import column_lists
 from ledgermatch.recon.spec import CheckSuite
 from ledgermatch.recon.suite import run_suite
 from ledgermatch.sources.extract import FrameSource, check_sources, extract
@@ -152,3 +154,15 @@ def test_jdbc_scan_options():
     assert "numPartitions" not in whole and whole["fetchsize"] == "10000"
     assert JdbcSource("jdbc:mysql://h").read(Recorder(), "t").asked["dbtable"] == "t"
     assert source.query(Recorder(), "SELECT 2").asked["query"] == "SELECT 2"
+
+
+def test_catalog_sql_and_column_lists(spark):
+    feeds = spark.createDataFrame([("f1", "s1", 7), ("f2", "s2", 8)], "feed_code string, source_code string, snapshot_id int")
+    registry = spark.createDataFrame([(7, "S:UCDP", "ALL", "Y")], "snapshot_id int, supplier_id string, data_type string, latest string")
+    catalog = Catalog({"ucdp_feed_to_sc": feeds, "t_dm_in_data_snapshot": registry})
+    query = "SELECT feed_code FROM {ucdp_v_feed_to_sc} WHERE source_code = :code"
+    assert catalog.sql(spark, query, {"code": "s1"}).collect() == [("f1",)]
+    assert catalog.sql(spark, query, {"code": "s1' OR 'a' = 'a"}).collect() == []
+    lists = column_lists(spark, catalog, ["ucdp_v_feed_to_sc", "t_dm_in_data_snapshot"]).collect()
+    assert lists[1]["columns_list"] == "feed_code, source_code, snapshot_id"
+    assert "nsa_v_feeds" in list(catalog) and len(catalog) == 29
