@@ -74,6 +74,23 @@ def roll_up(stacks: list[DataFrame], keys: list[str], rollups: list[Rollup]) ->
     return roll_up_distinct(stacked, keys, rollups)
 
 
+def written_out(value: Column, copies: Column, sep: str) -> Column:
+    """``value`` repeated ``copies`` times with ``sep`` between; NULL stays NULL."""
+    return F.when(value.isNotNull(), F.array_join(F.array_repeat(value, copies.cast("int")), sep))
+
+
+def list_all(df: DataFrame, keys: list[str], value: str, sep: str, alias: str) -> DataFrame:
+    """Ordered list of a key's values that keeps repeats.
+
+    Repeats are counted first, in hash aggregates that combine before the shuffle,
+    and written out from their counts: a key with very many rows sends its distinct
+    values only.
+    """
+    counted = df.groupBy(*keys, value).agg(F.count("*").alias("__copies"))
+    pieces = counted.withColumn("__piece", written_out(F.col(value), F.col("__copies"), sep))
+    return pieces.groupBy(*keys).agg(string_agg("__piece", sep, order_by=[value]).alias(alias))
+
+
 def attach(base: DataFrame, rolled: DataFrame, keys: list[str], counts: list[str]) -> DataFrame:
     """Left join roll-ups to their base rows; a key without entries counts 0."""
     return base.join(rolled, keys, "left").withColumns(

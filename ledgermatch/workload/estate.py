@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgermatch.fixtures import TABLES, relations
+from ledgermatch.operators.snapshot import write_consolidation
 from ledgermatch.plans import DATASETS, Catalog
 from ledgermatch.qa import column_lists, row_counts
 from ledgermatch.recon.spec import CheckSuite
@@ -81,11 +82,21 @@ def landing_json_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return log.select("side", "dataset", "rows", F.col("error").isNotNull().alias("failed"))
 
 
+def materialised_feeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A derived dataset written as a consolidation, twice, and read back."""
+    path = _shared_folder(spark)
+    feeds = Catalog(relations(spark, sf_dir))["nsa_v_feeds"]
+    for _ in range(2):  # a repeated run replaces its own rows
+        write_consolidation(feeds, path, 655)
+    return spark.read.parquet(path).select("feed_code", "snapshot_id", "feed_instance_count", "consolidation_id")
+
+
 QUERIES = {
     "qa_row_counts": qa_row_counts,
     "qa_table_counts": qa_table_counts,
     "qa_column_lists": qa_column_lists,
     "adhoc_query": adhoc_query,
+    "materialised_feeds": materialised_feeds,
     "landing_suite": landing_suite,
     "landing_json_log": landing_json_log,
 }
@@ -112,6 +123,9 @@ SELECT s.content_collection_id, count(*) AS n_codes, count(DISTINCT f.feed_code)
 FROM ({DERIVED_SQL["nsa_v_mapped_source_code"]}) s
 JOIN ({DERIVED_SQL["nsa_v_feed_source_code"]}) f USING (source_code, consolidation_id)
 WHERE consolidation_id = 654 AND s.status = 'ACTIVE' GROUP BY 1
+""",
+    "materialised_feeds": f"""
+SELECT feed_code, snapshot_id, feed_instance_count, 655 AS consolidation_id FROM ({DERIVED_SQL["nsa_v_feeds"]})
 """,
     "landing_suite": f"""
 SELECT 'orders' AS name, if(lost = 0, 'PASS', 'FAIL') AS rows_count, 'PASS' AS columns,

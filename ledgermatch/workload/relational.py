@@ -39,6 +39,7 @@ from ledgermatch.operators.rollup import (
     count_distinct_per,
     labels,
     last_row,
+    list_all,
     roll_up,
 )
 from ledgermatch.operators.snapshot import at_latest, greatest, in_latest
@@ -81,9 +82,7 @@ FROM orders GROUP BY 1
 def listagg_null_blank(t: Tables) -> DataFrame:
     """Repeats kept, NULL written as an empty entry."""
     status = blank_if_null(F.nullif(F.col("o_orderstatus"), F.lit("P")))
-    return t["orders"].select("o_custkey", status.alias("status")).groupBy("o_custkey").agg(
-        string_agg("status", ",").alias("s")
-    )
+    return list_all(t["orders"].select("o_custkey", status.alias("status")), ["o_custkey"], "status", ",", "s")
 
 
 @query("""
@@ -91,9 +90,8 @@ SELECT o_custkey, string_agg(nullif(o_orderstatus, 'P'), '|' ORDER BY o_ordersta
 """)
 def listagg_skips_null(t: Tables) -> DataFrame:
     """NULL entries are skipped; only NULLs give NULL."""
-    return t["orders"].select(
-        "o_custkey", F.nullif(F.col("o_orderstatus"), F.lit("P")).alias("status")
-    ).groupBy("o_custkey").agg(string_agg("status", "|").alias("s"))
+    status = F.nullif(F.col("o_orderstatus"), F.lit("P"))
+    return list_all(t["orders"].select("o_custkey", status.alias("status")), ["o_custkey"], "status", "|", "s")
 
 
 @query("""
@@ -112,7 +110,8 @@ SELECT l_orderkey, left(string_agg(l_returnflag, ',' ORDER BY l_returnflag), 7)
 """)
 def listagg_length_limited(t: Tables) -> DataFrame:
     """The list as a database with a length limit would return it."""
-    return t["lineitem"].groupBy("l_orderkey").agg(string_agg("l_returnflag", ",", max_len=7).alias("s"))
+    whole = list_all(t["lineitem"], ["l_orderkey"], "l_returnflag", ",", "s")
+    return whole.withColumn("s", F.left("s", F.lit(7)))
 
 
 @query("""

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgermatch.operators.lookup import contains_words, not_in, unmatched_or_null
-from ledgermatch.operators.rollup import Rollup, labels, roll_up
+from ledgermatch.operators.rollup import Rollup, labels, list_all, roll_up
 from ledgermatch.plans import Catalog
 from ledgermatch.recon.spec import CheckSpec
 from ledgermatch.recon.verdict import verdict
@@ -105,3 +105,11 @@ def test_news_map_does_not_multiply_rows_in_the_join(spark):
     copies = 3 * 40 * 5
     assert row["language"] == ",".join([""] * copies + ["en"] * 2 * copies + ["fr"] * copies)
     assert row["commercial_status"] == "Fee Liable"
+
+
+def test_list_with_repeats(skewed):
+    """Ten thousand rows of one key travel as their five hundred distinct values."""
+    listed = list_all(skewed, ["k"], "label", ",", "t")
+    hot = listed.where("k = 0").first()["t"].split(",")
+    assert hot == [f"L{i:05d}" for i in range(500) for _ in range(20)]
+    assert listed.count() == skewed.select("k").distinct().count()
