@@ -93,12 +93,13 @@ class TestRelations(Mapping[str, DataFrame]):
         return len(TABLES) + len(RELATIONS)
 
 
-_OPEN: dict[tuple[str, str], TestRelations] = {}
+_OPEN: dict[tuple[int, str, str], TestRelations] = {}
 
 
 def relations(spark: SparkSession, sf_dir: str) -> TestRelations:
-    """The relations of a folder, analysed once per Spark application."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+    """The relations of a folder, analysed once per session."""
+    # The cached object holds the session, so its id is not given to another one.
+    key = (id(spark), spark.sparkContext.applicationId, sf_dir)
     if key not in _OPEN:
         _OPEN[key] = TestRelations(spark, sf_dir)
     return _OPEN[key]

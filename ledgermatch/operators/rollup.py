@@ -76,7 +76,8 @@ def roll_up(stacks: list[DataFrame], keys: list[str], rollups: list[Rollup]) ->
 
 def written_out(value: Column, copies: Column, sep: str) -> Column:
     """``value`` repeated ``copies`` times with ``sep`` between; NULL stays NULL."""
-    return F.when(value.isNotNull(), F.array_join(F.array_repeat(value, copies.cast("int")), sep))
+    before_last = F.repeat(F.concat(value, F.lit(sep)), (copies - 1).cast("int"))
+    return F.concat(before_last, value)
 
 
 def list_all(df: DataFrame, keys: list[str], value: str, sep: str, alias: str) -> DataFrame:

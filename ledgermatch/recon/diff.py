@@ -21,6 +21,7 @@ from ledgermatch.recon.spec import CheckSpec
 SRC_COPIES = "__src_copies"
 TRG_COPIES = "__trg_copies"
 DIGEST = "__digest"
+COPIES_PER_BATCH = 10_000
 
 
 def column(name: str) -> Column:
@@ -164,19 +165,22 @@ def except_rows(src: DataFrame, trg: DataFrame, bag: bool = False) -> DataFrame:
     The frame keeps the full diff distributed. With ``bag`` a row comes once per
     surplus copy.
     """
-    groups = row_groups(src, trg)
     src_only, trg_only = side_excess(bag)
-    return (
-        groups.withColumn(
-            "side",
-            F.when(src_only > 0, "src").when(trg_only > 0, "trg"),
-        )
+    diff = (
+        row_groups(src, trg)
+        .withColumn("side", F.when(src_only > 0, "src").when(trg_only > 0, "trg"))
         .withColumn("__surplus", src_only + trg_only)
         .where(F.col("side").isNotNull())
-        .transform(lambda d: d if not bag else d.withColumn(
-            "__copy", F.explode(F.sequence(F.lit(1), F.col("__surplus").cast("int")))))
-        .select("side", *[column(c) for c in src.columns])
     )
+    if bag:
+        # Copies in two steps, so that no array grows with the number of copies.
+        surplus, batch = F.col("__surplus"), F.col("__batch")
+        one = F.lit(1).cast("bigint")
+        diff = diff.withColumn("__batch", F.explode(F.sequence(one, F.ceil(surplus / COPIES_PER_BATCH)))).withColumn(
+            "__copy",
+            F.explode(F.sequence(one, F.least(F.lit(COPIES_PER_BATCH), surplus - (batch - 1) * COPIES_PER_BATCH))),
+        )
+    return diff.select("side", *[column(c) for c in src.columns])
 
 
 def subtract(src: DataFrame, trg: DataFrame) -> DataFrame:

@@ -244,3 +244,10 @@ def test_digests_see_microseconds_and_every_type(spark):
     for i in range(len(base)):
         other = spark.sql("select " + columns.format(*[v + 1 if i == j else v for j, v in enumerate(base)]))
         assert check(src, other, digest=True)["data"]["src_only_count"] == 1
+
+
+def test_bag_emits_every_surplus_copy(spark):
+    src = spark.range(35_003).select(F.lit("x").alias("v")).union(spark.sql("select 'y' v"))
+    trg = spark.range(3).select(F.lit("x").alias("v"))
+    counts = except_rows(src, trg, bag=True).groupBy("side", "v").count().collect()
+    assert sorted(tuple(r) for r in counts) == [("src", "x", 35_000), ("src", "y", 1)]
