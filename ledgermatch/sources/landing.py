@@ -67,8 +67,10 @@ def _no_rows(spark: SparkSession) -> DataFrame:
 
 
 def _first_character(spark: SparkSession, path: str) -> str:
-    lines = spark.read.text(path).where(F.trim("value") != "").limit(1).collect()
-    return lines[0]["value"].lstrip("\ufeff \t")[:1] if lines else ""
+    """The first character that is no blank; lines stay in the tasks, however long."""
+    character = F.regexp_extract("value", r"[^\s\uFEFF]", 0).alias("c")
+    found = spark.read.text(path).select(character).where(F.col("c") != "").limit(1).collect()
+    return found[0]["c"] if found else ""
 
 
 def read_json_document(

@@ -36,6 +36,12 @@ def test_json_documents(spark, tmp_path, content, expected):
     assert [tuple(r) for r in df.select("a", "b").collect()] == expected
 
 
+def test_json_document_after_blanks(spark, tmp_path):
+    path = tmp_path / "d.json"
+    path.write_text('\n \t[{"a": 1}]', encoding="utf-8")
+    assert read_json_document(spark, str(path), "d").collect() == [(1,)]
+
+
 def test_empty_json_documents(spark, tmp_path):
     for content in ([], {"d": []}):
         df = read_json_document(spark, put(tmp_path, "d", content), "d")
