@@ -12,8 +12,9 @@ whole corpus, is small:
 2. The second digit is what follows the anchor, the third what precedes it. For these
    the bytes around repeated anchors are dealt out by anchor and sorted within.
 
-An anchor with more places than ``GROUP_ROWS`` isn't gathered: its windows are counted one by
-one with partial sums before the shuffle. Copies of a whole text take part once.
+An anchor with places in more texts than ``GROUP_ROWS`` isn't gathered: its windows are taken in
+ranges that are cut finer digit by digit, with partial counts before the shuffle. Copies of a
+whole text take part once.
 """
 
 from __future__ import annotations
@@ -34,9 +35,11 @@ from ledgermatch.llm.shared import materialise, text_key
 WIDTH = 400
 DIGIT = 128
 #: Places of one anchor that are sorted in one task.
-GROUP_ROWS = 8192
+GROUP_ROWS = 50_000
+#: Parts that a range of windows around a place of a more frequent anchor is cut into at a time.
+SPLIT = 5
 #: Places that are sorted at once, of one anchor or of several.
-SORT_ROWS = 2048
+SORT_ROWS = 8192
 #: Bytes of one text that are worked on at once.
 PIECE = 1 << 20
 
@@ -130,26 +133,38 @@ def _repeated(keys: np.ndarray) -> np.ndarray:
     return out
 
 
-def _sort_windows(digits: np.ndarray, lefts: np.ndarray, contexts: list[bytes], width: int, digit: int) -> tuple[np.ndarray, np.ndarray]:
-    """Second and third pass over the windows around anchors: (context, place in it) of each repeated window."""
+def _sort_windows(digits: np.ndarray, lefts: np.ndarray, contexts: list[bytes], width: int, digit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Second and third pass over the windows around anchors: stretches (context, first, last) of repeated ones.
+
+    A window is numbered by the bytes it has before its anchor. Windows of one number are sorted together,
+    so the work holds a few values per context, however many windows those have.
+    """
+    reach, n = width - digit, len(contexts)
     sizes = np.array([len(c) for c in contexts])
-    table = np.zeros((len(contexts), int(sizes.max())), np.uint8)
-    table[np.arange(table.shape[1]) < sizes[:, None]] = np.frombuffer(b"".join(contexts), np.uint8)
-    sums = _sums(table)
-    n = np.maximum(np.minimum(lefts, sizes - width) + 1, 0)
-    who = np.repeat(np.arange(len(contexts)), n)
-    at = np.arange(len(who)) - np.repeat(np.cumsum(n) - n, n)
-    back = _powers(_BACK, table.shape[1] + 1)
+    rights = sizes - lefts - digit
+    table = np.zeros((n, 2 * reach + digit), np.uint8)  # the anchors stand below each other
+    column = np.arange(table.shape[1])
+    table[(column >= (reach - lefts)[:, None]) & (column < (reach - lefts + sizes)[:, None])] = np.frombuffer(b"".join(contexts), np.uint8)
+    before, after = np.ascontiguousarray(table[:, :reach].T), np.ascontiguousarray(table[:, reach + digit :].T)
+    power, base, one = _powers(_BASE, reach + 1), np.uint64(_BASE), np.uint64(1)
+    hit = np.zeros((n, reach + 3), bool)
     with np.errstate(over="ignore"):
-        left = lefts[who]
-        after = (sums[who, at + width] - sums[who, left + digit]) * back[left + digit]
-        keys = mix(digits[who].view(np.uint64) * np.uint64(_BASE) + mix((left - at).astype(np.uint64)) + mix(after))
-        stay = _repeated(keys)
-        who, at, left, keys = who[stay], at[stay], left[stay], keys[stay]
-        before = (sums[who, left] - sums[who, at]) * back[at]
-        keys = mix(keys * np.uint64(_BASE) + mix(before))
-    stay = _repeated(keys)
-    return who[stay], at[stay]
+        first = mix(digits.view(np.uint64) * base)
+        left, right = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
+        for k in range(reach):
+            right += (after[k].astype(np.uint64) + one) * power[k]
+        for o in range(reach + 1):
+            rows = np.flatnonzero((lefts >= o) & (rights >= reach - o))
+            keys = mix(first[rows] + mix(right[rows]))
+            stay = _repeated(keys)
+            rows, keys = rows[stay], keys[stay]
+            hit[rows[_repeated(mix(keys * base + mix(left[rows])))], o + 1] = True
+            if o < reach:
+                left = left * base + (before[reach - 1 - o].astype(np.uint64) + one)
+                right -= (after[reach - 1 - o].astype(np.uint64) + one) * power[reach - 1 - o]
+    who, begin = np.nonzero(hit[:, 1:] & ~hit[:, :-1])
+    _, end = np.nonzero(hit[:, :-1] & ~hit[:, 1:])
+    return who, begin, end - 1
 
 
 _PART = pa.schema([("key1", pa.int64()), ("key2", pa.int64()), ("lo", pa.int64()), ("hi", pa.int64())])
@@ -161,14 +176,10 @@ def _sort_groups(width: int, digit: int):
     def solve(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
         table = pa.Table.from_batches(rows).combine_chunks()
         column = lambda c: table.column(c).to_numpy()
-        who, at = _sort_windows(column("digit"), column("left"), table.column("context").to_pylist(), width, digit)
-        # Neighbouring windows of a context make one stretch.
-        head = np.flatnonzero(np.concatenate([[True], (who[1:] != who[:-1]) | (at[1:] != at[:-1] + 1)])) if len(who) else np.empty(0, np.int64)
-        last = np.concatenate([head[1:] - 1, [len(who) - 1]]) if len(who) else head
-        start = column("at") - column("left")
-        own = who[head]
+        who, first, last = _sort_windows(column("digit"), column("left"), table.column("context").to_pylist(), width, digit)
+        at = column("at")[who]
         return pa.RecordBatch.from_arrays(
-            [pa.array(column("key1")[own]), pa.array(column("key2")[own]), pa.array(start[own] + at[head]), pa.array(start[own] + at[last] + width)], schema=_PART
+            [pa.array(column("key1")[who]), pa.array(column("key2")[who]), pa.array(at - last), pa.array(at - first + width)], schema=_PART
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,17 +207,65 @@ def _sort_groups(width: int, digit: int):
     return run
 
 
-def _counted(hot: DataFrame, width: int) -> DataFrame:
-    """Repeated windows (key1, key2, lo, hi) of anchors with many places, each window counted by itself."""
-    at = F.explode(F.sequence(F.lit(0), F.least(F.col("left"), F.length("context") - width).cast("int"))).alias("from")
-    each = hot.where(F.length("context") >= width).select("key1", "key2", (F.col("at") - F.col("left")).alias("start"), "context", at)
-    window = F.substring("context", F.col("from") + 1, F.lit(width))
-    each = each.select(
-        "key1", "key2", (F.col("start") + F.col("from")).alias("lo"), F.xxhash64(window).alias("w1"), F.xxhash64(F.lit(1), window).alias("w2")
+def _place() -> Column:
+    return F.xxhash64("key1", "key2", "at")
+
+
+def _pieces(rows: DataFrame, width: int) -> DataFrame:
+    """Each row's range of windows cut into ranges of ``width``, with the digits that all windows of a range share hashed in."""
+    lo, hi = F.col("p.lo"), F.col("p.hi")
+    cut = F.transform(
+        F.sequence(F.col("lo"), F.col("hi"), F.lit(width)),
+        lambda x: F.struct(x.alias("lo"), F.least(x + (width - 1), F.col("hi")).alias("hi")),
     )
-    place = F.xxhash64("key1", "key2", "lo")
-    twice = each.groupBy("w1", "w2").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a <> b").select("w1", "w2")
-    return each.join(twice, ["w1", "w2"], "left_semi").select("key1", "key2", "lo", (F.col("lo") + width).alias("hi"))
+    # Ranges of which at least one window lies within the text.
+    real = F.filter(cut, lambda p: (p["lo"] <= F.col("lo") + F.length("l")) & (p["hi"] >= F.col("hi") - F.length("r")))
+    each = rows.select("*", F.explode(real).alias("p"))
+    near = lo - F.col("lo")  # bytes before the anchor that the range's windows share, beyond those already hashed
+    far = F.col("hi") - hi  # and after it
+    shared = [F.substring("l", F.length("l") - near + 1, near), F.substring("r", F.lit(1), far)]
+    begin = F.greatest(F.lit(0), F.length("l") - (hi - F.col("lo")))
+    return each.select(
+        "key1", "key2", "at", lo.alias("lo"), hi.alias("hi"),
+        F.xxhash64("c1", lo, *shared).alias("c1"), F.xxhash64("c2", lo, *shared).alias("c2"),
+        F.substring("l", begin + 1, F.length("l") - near - begin).alias("l"), F.substring("r", far + 1, hi - lo).alias("r"),
+    )
+
+
+def _twice(rows: DataFrame, a: str, b: str) -> DataFrame:
+    """Values of the hashes ``a`` and ``b`` that two places or more have, with the hash of one of the places."""
+    return rows.groupBy(a, b).agg(F.min(_place()).alias("witness"), F.max(_place()).alias("other")).where("witness <> other").select(a, b, "witness")
+
+
+def _descend(hot: DataFrame, width: int, digit: int) -> list[DataFrame]:
+    """Repeated stretches (key1, key2, lo, hi) around anchors with many places, without gathering any anchor.
+
+    A row stands for a range of the windows around one place. What all windows of the range share
+    is hashed, what only some of them hold is kept as bytes. If another place has all the bytes, every window of the
+    range is repeated and the row is done (one row of each such group goes on, as a witness for places that
+    share less); if no place shares the common part, no window is repeated and the row goes; else the range is cut and the next
+    digits are hashed. A row has a few parts at each level, not one per window.
+    """
+    reach = width - digit
+    rows = hot.select(
+        "key1", "key2", "at", F.lit(0).alias("lo"), F.lit(reach).alias("hi"), F.xxhash64("digit").alias("c1"), F.xxhash64(F.lit(1), "digit").alias("c2"),
+        F.substring("context", F.lit(1), F.col("left").cast("int")).alias("l"),
+        F.substring("context", (F.col("left") + digit + 1).cast("int"), F.lit(reach)).alias("r"),
+    )
+    out, step = [], reach + 1
+    while True:
+        rows = materialise(rows, f"ranges{step}")
+        whole = (F.length("l") == F.col("hi") - F.col("lo")) & (F.length("r") == F.col("hi") - F.col("lo"))
+        full = rows.withColumn("f1", F.when(whole, F.xxhash64("c1", "l", F.lit(0), "r"))).withColumn("f2", F.when(whole, F.xxhash64("c2", "l", F.lit(0), "r")))
+        equal = _twice(full.where("f1 is not null"), "f1", "f2")
+        judged = materialise(full.join(equal, ["f1", "f2"], "left").drop("f1", "f2"), f"judged{step}")
+        out.append(judged.where("witness is not null").select("key1", "key2", (F.col("at") - F.col("hi")).alias("lo"), (F.col("at") - F.col("lo") + width).alias("hi")))
+        if step == 1:
+            return out
+        step = -(-step // SPLIT)
+        # Of rows that are done one goes on, for those that share only a part with them.
+        parts = materialise(_pieces(judged.where(F.col("witness").isNull() | (F.col("witness") == _place())), step), f"parts{step}")
+        rows = parts.join(_twice(parts, "c1", "c2"), ["c1", "c2"], "left_semi")
 
 
 _SPANS = "array<struct<lo:long,hi:long>>"
@@ -252,9 +311,8 @@ def repeated_bytes(docs: DataFrame, width: int = WIDTH, digit: int = DIGIT, grou
     every = materialise(
         keyed.where(F.octet_length("text") >= width).select("key1", "key2", F.inline(anchors("text", width, digit))), "anchors"
     )
-    place = F.xxhash64("key1", "key2", "at")
-    often = every.groupBy("digit").agg(F.min(place).alias("a"), F.max(place).alias("b"), F.count("*").alias("n")).where("a <> b").select("digit", "n")
-    chosen = every.join(often, "digit").groupBy("key1", "key2").agg(F.collect_set(F.struct("at", "digit", "n")).alias("anchors"))
+    often = every.groupBy("digit").agg(F.min(_place()).alias("a"), F.max(_place()).alias("b")).where("a <> b").select("digit")
+    chosen = every.join(often, "digit").groupBy("key1", "key2").agg(F.collect_set(F.struct("at", "digit")).alias("anchors"))
 
     # One row of each text that has any, fetched by the doc_id of that row, so copies don't meet in one task.
     wanted = chosen.join(texts.drop("copies"), ["key1", "key2"]).select(
@@ -267,17 +325,19 @@ def repeated_bytes(docs: DataFrame, width: int = WIDTH, digit: int = DIGIT, grou
     left = F.least(F.col("a.at"), F.lit(width - digit).cast("long"))
     around = (
         candidates.select("key1", "key2", F.encode("text", "utf-8").alias("content"), F.explode("anchors").alias("a"))
-        .select("key1", "key2", F.col("a.at").alias("at"), F.col("a.digit").alias("digit"), F.col("a.n").alias("n"), left.alias("left"), "content")
+        .select("key1", "key2", F.col("a.at").alias("at"), F.col("a.digit").alias("digit"), left.alias("left"), "content")
         .select(
-            "digit", "key1", "key2", "at", "n", "left",
+            "digit", "key1", "key2", "at", "left",
             F.substring("content", (F.col("at") - F.col("left") + 1).cast("int"), (F.col("left") + width).cast("int")).alias("context"),
         )
     )
-    names = ["digit", "key1", "key2", "at", "left", "context"]
-    sorted_in = around.where(F.col("n") <= group_rows).select(*names).repartition("digit").sortWithinPartitions("digit")
-    parts = sorted_in.mapInArrow(_sort_groups(width, digit), "key1 long, key2 long, lo long, hi long").unionByName(
-        _counted(around.where(F.col("n") > group_rows).select(*names), width)
-    )
+    places = candidates.select(F.explode("anchors.digit").alias("digit")).groupBy("digit").count()
+    frequent = materialise(places.where(F.col("count") > group_rows).select("digit"), "frequent")
+    hot = around.join(frequent, "digit", "left_semi")
+    few = around.join(frequent, "digit", "left_anti").repartition("digit").sortWithinPartitions("digit")
+    parts = few.mapInArrow(_sort_groups(width, digit), "key1 long, key2 long, lo long, hi long")
+    for more in _descend(hot, width, digit):
+        parts = parts.unionByName(more)
     spans = parts.groupBy("key1", "key2").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
     cut = candidates.select("key1", "key2", "text").join(spans, ["key1", "key2"]).select("key1", "key2", cut_out("text", "spans").alias("cut"))
     cut = materialise(cut.dropDuplicates(["key1", "key2"]), "cut")
