@@ -52,7 +52,8 @@ def repeated_lines(docs: DataFrame, width: int = WINDOW_LINES) -> DataFrame:
         .where("head <> tail")
         .select("hash1", "hash2", "head")
     )
-    later = every.join(firsts, ["hash1", "hash2"]).where(order != F.col("head"))
+    # Both sides of the join are plain tables, so a window with very many places can be split among tasks.
+    later = every.join(materialise(firsts, "firsts"), ["hash1", "hash2"]).where(order != F.col("head"))
     return later.groupBy("doc_id", "key1", "key2").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("covers")))).alias("gone"))
 
 

@@ -54,8 +54,8 @@ class Rule:
 RULES = [
     Rule("word_length", "word_chars / n_words", 1.0, low=True),
     Rule("symbols", "n_symbols / n_words", 0.25),
-    Rule("dup_lines", "n_dup_lines / n_lines", 0.3),
-    Rule("repeats", "n_repeat_words / n_words", 0.15),
+    Rule("dup_lines", "n_dup_lines / n_lines", 0.45),
+    Rule("repeats", "n_repeat_words / n_words", 0.28),
     Rule("capitals", "n_capitals / word_chars", 0.2),
     Rule("marks", "n_marks / n_words", 0.25),
 ]

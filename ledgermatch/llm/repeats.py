@@ -312,7 +312,8 @@ def repeated_bytes(docs: DataFrame, width: int = WIDTH, digit: int = DIGIT, grou
         keyed.where(F.octet_length("text") >= width).select("key1", "key2", F.inline(anchors("text", width, digit))), "anchors"
     )
     often = every.groupBy("digit").agg(F.min(_place()).alias("a"), F.max(_place()).alias("b")).where("a <> b").select("digit")
-    chosen = every.join(often, "digit").groupBy("key1", "key2").agg(F.collect_set(F.struct("at", "digit")).alias("anchors"))
+    # Both sides of the join are plain tables, so an anchor with very many places can be split among tasks.
+    chosen = every.join(materialise(often, "often"), "digit").groupBy("key1", "key2").agg(F.collect_set(F.struct("at", "digit")).alias("anchors"))
 
     # One row of each text that has any, fetched by the doc_id of that row, so copies don't meet in one task.
     wanted = chosen.join(texts.drop("copies"), ["key1", "key2"]).select(

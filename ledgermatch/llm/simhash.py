@@ -236,7 +236,8 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE_WORDS, radius: int = R
         "fp", "first_id", F.coalesce("component", "fp").alias("component")
     )
     least = labelled.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    ids = labelled.join(least, "component").select("fp", "component_id")
+    # Both sides of the join are plain tables, so a fingerprint of very many copies can be split among tasks.
+    ids = materialise(labelled.join(least, "component").select("fp", "component_id"), "ids")
     return marked.join(ids, "fp").select("doc_id", "fp", "component_id")
 
 
