@@ -14,13 +14,13 @@ t_ref_language := select v.*,each(653,654) consolidation_id from (values (0,'en'
 t_ref_industry := select v.*,each(653,654) consolidation_id from (values (0,'AUTOMOBILE'),(1,'BUILDING'),(2,'FURNITURE'),(3,'HOUSEHOLD'),(4,'MACHINERY')) v(id,industry)
 t_ref_data_relations := select code,code_type,ref_type,case ref_type when 'COUNTRY' then a%25 when 'LANGUAGE' then b%4 else b%5 end ref_id,each(653,654) consolidation_id from (select 'NP:P'||cast(l_partkey as string) code,'NP' code_type,each('COUNTRY','REGION','PUBLICATION','LANGUAGE','INDUSTRY') ref_type,l_suppkey a,l_orderkey b from lineitem where l_partkey%3<>0 and l_linenumber<3 union all select 'NS:S'||cast(o_custkey as string),'NS',each('COUNTRY','REGION','PUBLICATION','LANGUAGE','INDUSTRY') ref_type,o_orderkey,o_orderkey from orders where o_custkey%4<>0) r
 ucdp_v_feed := select 'news_'||cast(user_id as string) feed_code,event_id feed_index,cast(event_id%2 as string) isnative,'1' isinternal,cast(user_id as string) feedid,'visible' visibility,event_type state,case event_type when 'error' then null when 'view' then '' else 'Owner' end copyrightOwner,event_type description,'parsn_'||event_type parser,case event_type when 'error' then null else 'Parser '||event_type end parser_descr,case event_type when 'click' then null else 'onbdn_'||event_type end onboarder,case event_type when 'click' then null else 'Onboarder '||event_type end onboarder_descr,case when event_id%10=0 then 1946 else 1947 end snapshot_id from events where user_id%3<>0 or event_type in ('view','error')
-ucdp_feed_to_sc := select distinct 'news_'||cast(user_id as string) feed_code,'S'||cast(event_id%2000 as string) source_code,case when event_id%10=0 then 1946 else 1947 end snapshot_id from events where user_id%10<>9 and event_id%4=0
+ucdp_feed_to_sc := select distinct 'news_'||cast(user_id as string) feed_code,'S'||cast(event_id%(select 2*max(c_custkey) from customer) as string) source_code,case when event_id%10=0 then 1946 else 1947 end snapshot_id from events where user_id%10<>9
 t_feeds := select f.*,each(653,654) consolidation_id from (select feed_code,max(description) description,max(parser) parser,max(parser_descr) parser_descr,max(onboarder) onboarder,max(onboarder_descr) onboarder_descr,max(copyrightOwner) copyrightOwner,count(*) feed_instance_count from ucdp_v_feed where snapshot_id=1947 group by feed_code) f
 t_mapped_source_code := select source_code,mnemonic,name,content_collection_id,consolidation_id from t_all_source_code
 t_feed_source_code := select distinct u.feed_code,s.source_code,s.content_collection_id sc_content_collection_id,s.consolidation_id from ucdp_feed_to_sc u join t_all_source_code s on s.mnemonic=u.source_code where u.snapshot_id=1947
 t_product_code_source_code := select distinct 'NP:P'||cast(l_partkey as string) product_code,'NS:S'||cast(o_custkey as string) source_code,each(653,654) consolidation_id from lineitem join orders on l_orderkey=o_orderkey where l_linenumber=1
 t_feed_product_code := select distinct f.feed_code,p.product_code,f.consolidation_id from t_feed_source_code f join t_product_code_source_code p on p.source_code=f.source_code and p.consolidation_id=f.consolidation_id
-t_feed_pe_code := select 'news_'||cast(user_id as string) feed_code,cast(event_id%97 as string) pe_code,each(653,654) consolidation_id from events where event_id%5=0
+t_feed_pe_code := select 'news_'||cast(user_id as string) feed_code,cast(event_id%97 as string) pe_code,each(653,654) consolidation_id from events
 t_feed_codes := select feed_code,source_code code,consolidation_id from t_feed_source_code union select feed_code,product_code,consolidation_id from t_feed_product_code
 nsa_v_code_country := select r.code,v.country,r.consolidation_id from t_ref_data_relations r join t_ref_country v on v.id=r.ref_id and v.consolidation_id=r.consolidation_id where r.ref_type='COUNTRY'
 nsa_v_code_region := select r.code,v.region,r.consolidation_id from t_ref_data_relations r join t_ref_region v on v.id=r.ref_id and v.consolidation_id=r.consolidation_id where r.ref_type='REGION'

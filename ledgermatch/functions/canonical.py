@@ -32,6 +32,28 @@ def fold_nan(value: Column, dtype: T.DataType) -> Column:
     return F.when(~F.isnan(value), value) if isinstance(dtype, _FLOAT) else value
 
 
+def _has_float(dtype: T.DataType) -> bool:
+    if isinstance(dtype, T.StructType):
+        return any(_has_float(f.dataType) for f in dtype)
+    if isinstance(dtype, T.ArrayType):
+        return _has_float(dtype.elementType)
+    if isinstance(dtype, T.MapType):
+        return _has_float(dtype.valueType)
+    return isinstance(dtype, _FLOAT)
+
+
+def fold_nan_inside(value: Column, dtype: T.DataType) -> Column:
+    """``fold_nan`` at any depth of structs, arrays and map values."""
+    if not _has_float(dtype) or isinstance(dtype, _FLOAT):
+        return fold_nan(value, dtype)
+    if isinstance(dtype, T.ArrayType):
+        return F.transform(value, lambda x: fold_nan_inside(x, dtype.elementType))
+    if isinstance(dtype, T.MapType):
+        return F.transform_values(value, lambda _, x: fold_nan_inside(x, dtype.valueType))
+    members = [fold_nan_inside(value.getField(f.name), f.dataType).alias(f.name) for f in dtype]
+    return F.when(value.isNotNull(), F.struct(*members))
+
+
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
     """Compute ``value`` once and use it several times in ``body``."""
     return F.element_at(F.transform(F.array(value), body), 1)

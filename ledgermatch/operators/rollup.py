@@ -42,23 +42,26 @@ def labels(
     """Bring a relation into the stacked form: keys, kind, label, identity, position.
 
     Labels are distinct per (identity, label): two ids with equal labels stay
-    two entries. A numeric label is listed in numeric order.
+    two entries. A numeric label is listed in numeric order: by its nearest DOUBLE, then
+    whole numbers beyond 2^53 by the rest.
     """
-    numeric = isinstance(df.schema[label].dataType, T.NumericType)
-    position = F.col(label).cast("decimal(38,6)") if numeric else F.lit(None).cast("decimal(38,6)")
+    dtype = df.schema[label].dataType
+    numeric, whole = isinstance(dtype, T.NumericType), isinstance(dtype, T.LongType)
+    position = (F.col(label) if numeric else F.lit(None)).cast("double")
     return df.select(
         *keys,
         F.lit(kind).alias("kind"),
         F.col(label).cast("string").alias("label"),
         (F.col(identity).cast("string") if identity else F.lit(None).cast("string")).alias("identity"),
         position.alias("position"),
+        (F.col(label) if whole else F.lit(None)).cast("bigint").alias("place"),
     )
 
 
 def roll_up_distinct(stacked: DataFrame, keys: list[str], rollups: list[Rollup]) -> DataFrame:
     """Aggregate already distinct labels; one row per key."""
     aggregates: list[Column] = []
-    order = ["position", "label"] if "position" in stacked.columns else ["label"]
+    order = [c for c in ("position", "place", "label") if c in stacked.columns]
     for r in rollups:
         aggregates.append(
             string_agg("label", r.sep, order_by=order, where=f"kind = '{r.kind}'").alias(r.text)

@@ -21,6 +21,7 @@ from ledgermatch.recon.spec import CheckSpec
 SRC_COPIES = "__src_copies"
 TRG_COPIES = "__trg_copies"
 DIGEST = "__digest"
+SIDE = "__side"
 COPIES_PER_BATCH = 10_000
 
 
@@ -33,6 +34,11 @@ def require_unique_columns(df: DataFrame, what: str) -> DataFrame:
     repeated = sorted({c for c in df.columns if df.columns.count(c) > 1})
     if repeated:
         raise ValueError(f"{what} has repeated column names: {repeated}")
+    if df.sparkSession.conf.get("spark.sql.caseSensitive") != "true":
+        lowered = [c.lower() for c in df.columns]
+        alike = sorted(c for c in df.columns if lowered.count(c.lower()) > 1)
+        if alike:
+            raise ValueError(f"{what} has columns that differ in case only: {alike}; set spark.sql.caseSensitive for these")
     return df
 
 
@@ -68,14 +74,13 @@ class ColumnComparison:
 
 def compare_columns(src: DataFrame, trg: DataFrame) -> ColumnComparison:
     """Compare column names; order is reported but does not decide."""
-    s, t = set(src.columns), set(trg.columns)
+    owners: dict[str, set[str]] = {}
+    for side, df in (("src", src), ("trg", trg)):
+        for name in df.columns:
+            owners.setdefault(name, set()).add(side)
+    lone = {side: sorted(n for n, found in owners.items() if found == {side}) for side in ("src", "trg")}
     return ColumnComparison(
-        passed=s == t,
-        src_columns=src.columns,
-        trg_columns=trg.columns,
-        missing_in_trg=sorted(s - t),
-        missing_in_src=sorted(t - s),
-        same_order=src.columns == trg.columns,
+        not any(lone.values()), src.columns, trg.columns, lone["src"], lone["trg"], list(src.columns) == list(trg.columns)
     )
 
 
@@ -116,7 +121,8 @@ def row_digest(df: DataFrame) -> Column:
 
     The digested text names each column that is not NULL, so it is different for
     different rows. Times are digested as text, because their JSON form ends at
-    milliseconds. Adding zero makes -0.0 the 0.0 it equals.
+    milliseconds. Adding zero makes -0.0 the 0.0 it equals. Columns under a
+    collation can't be digested, see ``can_digest``.
     """
 
     def exact(f: T.StructField) -> Column:
@@ -130,14 +136,33 @@ def row_digest(df: DataFrame) -> Column:
     return F.unhex(F.sha2(F.to_json(F.struct(*values)), 256)) if values else F.lit(b"")
 
 
+def _collated(dtype: T.DataType) -> bool:
+    if isinstance(dtype, T.StringType):
+        return dtype.collation != "UTF8_BINARY"
+    if isinstance(dtype, T.StructType):
+        return any(_collated(f.dataType) for f in dtype)
+    if isinstance(dtype, T.MapType):
+        return _collated(dtype.keyType) or _collated(dtype.valueType)
+    return isinstance(dtype, T.ArrayType) and _collated(dtype.elementType)
+
+
+def can_digest(src: DataFrame, trg: DataFrame) -> bool:
+    """Whether equal rows have equal digests: texts that a collation makes equal have different bytes."""
+    return not any(_collated(side.schema) for side in comparable(src, trg))
+
+
 def digest_groups(src: DataFrame, trg: DataFrame) -> DataFrame:
-    """As ``row_groups``, with a digest in place of the row."""
+    """As ``row_groups``, with a digest in place of the row; the rows themselves where no digest serves."""
+    if not can_digest(src, trg):
+        return row_groups(src, trg)
     s, t = comparable(src, trg)
     return _copies(s.select(row_digest(s).alias(DIGEST)), t.select(row_digest(t).alias(DIGEST)))
 
 
 def differing_rows(src: DataFrame, trg: DataFrame, bag: bool = False) -> tuple[DataFrame, DataFrame]:
-    """Both sides reduced to the rows whose digests do not agree."""
+    """Both sides reduced to the rows whose digests do not agree; as they are where no digest serves."""
+    if not can_digest(src, trg):
+        return src, trg
     src_only, trg_only = side_excess(bag)
     wanted = digest_groups(src, trg).where((src_only > 0) | (trg_only > 0)).select(DIGEST)
 
@@ -159,33 +184,48 @@ def side_excess(bag: bool) -> tuple[Column, Column]:
     )
 
 
-def except_rows(src: DataFrame, trg: DataFrame, bag: bool = False) -> DataFrame:
-    """Rows found on one side only: a ``side`` column ('src' / 'trg') and the data.
-
-    The frame keeps the full diff distributed. With ``bag`` a row comes once per
-    surplus copy.
-    """
+def _differences(src: DataFrame, trg: DataFrame, bag: bool, most: int | None = None) -> DataFrame:
+    """SIDE ('src' / 'trg') and the data of rows on one side only; ``most`` bounds the copies of a row."""
     src_only, trg_only = side_excess(bag)
+    surplus = src_only + trg_only if most is None else F.least(src_only + trg_only, F.lit(most))
     diff = (
         row_groups(src, trg)
-        .withColumn("side", F.when(src_only > 0, "src").when(trg_only > 0, "trg"))
-        .withColumn("__surplus", src_only + trg_only)
-        .where(F.col("side").isNotNull())
+        .withColumn(SIDE, F.when(src_only > 0, "src").when(trg_only > 0, "trg"))
+        .withColumn("__surplus", surplus)
+        .where(F.col(SIDE).isNotNull())
     )
+    names = [column(c) for c in src.columns]
     if bag:
-        # Copies in two steps, so that no array grows with the number of copies.
-        surplus, batch = F.col("__surplus"), F.col("__batch")
+        # Copies in two steps, so that no array holds them all, and with the batches of a row
+        # dealt out in between, so that no task writes all copies of one row.
+        left, batch = F.col("__surplus"), F.col("__batch")
         one = F.lit(1).cast("bigint")
-        diff = diff.withColumn("__batch", F.explode(F.sequence(one, F.ceil(surplus / COPIES_PER_BATCH)))).withColumn(
-            "__copy",
-            F.explode(F.sequence(one, F.least(F.lit(COPIES_PER_BATCH), surplus - (batch - 1) * COPIES_PER_BATCH))),
+        diff = diff.withColumn("__batch", F.explode(F.sequence(one, F.ceil(left / COPIES_PER_BATCH))))
+        if most is None:
+            # A number given keeps adaptive execution from merging these few small rows again.
+            tasks = int(src.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+            diff = diff.repartition(tasks, *names, "__batch")
+        diff = diff.withColumn(
+            "__copy", F.explode(F.sequence(one, F.least(F.lit(COPIES_PER_BATCH), left - (batch - 1) * COPIES_PER_BATCH)))
         )
-    return diff.select("side", *[column(c) for c in src.columns])
+    return diff.select(SIDE, *names)
+
+
+def except_rows(src: DataFrame, trg: DataFrame, bag: bool = False) -> DataFrame:
+    """Rows found on one side only: a ``side`` column ('src' / 'trg') and the data.
+
+    The frame keeps the full diff distributed. With ``bag`` a row comes once per
+    surplus copy. If the data has a ``side`` column of its own, the first column is
+    called ``__side``.
+    """
+    diff = _differences(src, trg, bag)
+    clash = any(c.lower() == "side" for c in src.columns)
+    return diff if clash else diff.withColumnRenamed(SIDE, "side")
 
 
 def subtract(src: DataFrame, trg: DataFrame) -> DataFrame:
     """src EXCEPT trg, distinct and null-safe."""
-    return except_rows(src, trg).where(F.col("side") == "src").drop("side")
+    return _differences(src, trg, bag=False).where(F.col(SIDE) == "src").drop(SIDE)
 
 
 def text_keys(df: DataFrame, columns: list[str]) -> list[Column]:
@@ -201,15 +241,15 @@ def sample_rows(src: DataFrame, trg: DataFrame, k: int, bag: bool = False) -> Da
     grouped shuffle, so a task keeps at most ``k`` rows and the exchange is
     computed once and read twice.
     """
-    diff = except_rows(src, trg, bag)
+    diff = _differences(src, trg, bag, most=k)
     keys = text_keys(diff, src.columns)
     as_json = F.to_json(
         F.struct(*[key.alias(c) for key, c in zip(keys, src.columns)]), {"ignoreNullFields": "false"}
     )
 
     def top(side: str) -> DataFrame:
-        first = diff.where(F.col("side") == side).orderBy(*keys).limit(k)
-        return first.select("side", F.array(*keys).alias("__order"), as_json.alias("row_json"))
+        first = diff.where(F.col(SIDE) == side).orderBy(*keys).limit(k)
+        return first.select(F.col(SIDE).alias("side"), F.array(*keys).alias("__order"), as_json.alias("row_json"))
 
     # At most 2k rows are left here.
     numbering = Window.partitionBy("side").orderBy("__order")

@@ -34,7 +34,9 @@ class CheckSuite:
 
     Options come from hand-written configuration, so an entry of the wrong type
     is left out and a bad number falls back to its default; only a missing
-    dataset list is an error.
+    dataset list is an error. ``bag`` and ``digest`` name the datasets they apply to, or
+    are true for all. ``samples`` asks for samples of differing rows; left out, ``debug``
+    decides when the suite comes from a configuration, and they are taken otherwise.
     """
 
     lists: dict[str, list[str]]
@@ -44,6 +46,9 @@ class CheckSuite:
     exclude_fields: Any = field(default_factory=dict)
     sample_diff_rows: Any = DEFAULT_SAMPLE_ROWS
     debug: Any = 0
+    bag: Any = False
+    digest: Any = False
+    samples: bool | None = None
 
     def __post_init__(self) -> None:
         if not isinstance(self.check_list, str) or not self.check_list.strip():
@@ -70,7 +75,9 @@ class CheckSuite:
             name=dataset,
             mapping=self.mapping_fields.get(dataset, {}),
             exclude=tuple(self.exclude_fields.get(dataset, ())),
-            sample_rows=self.sample_diff_rows,
+            sample_rows=0 if self.samples is False else self.sample_diff_rows,
+            bag=_applies(self.bag, dataset),
+            digest=_applies(self.digest, dataset),
         )
 
     @classmethod
@@ -87,9 +94,16 @@ class CheckSuite:
             exclude_fields=checks.get("exclude_fields", {}),
             sample_diff_rows=run.get("sample_diff_rows", DEFAULT_SAMPLE_ROWS),
             debug=run.get("debug", 0),
+            bag=run.get("bag", False),
+            digest=run.get("digest", False),
+            samples=_whole_number(run["debug"], 0) > 0 if "debug" in run else None,
         )
 
 
+def _applies(option: Any, dataset: str) -> bool:
+    return dataset in option if isinstance(option, list | tuple | set) else option is True
+
+
 def _whole_number(value: Any, default: int) -> int:
     try:
         return int(value)

@@ -42,14 +42,14 @@ def check_dataset(
 ) -> tuple[Row, list[Row]]:
     """One verdict row and, on a mismatch, at most ``2 * sample_rows`` sample rows.
 
-    Most datasets match, so samples cost a second job only where rows differ.
+    Most datasets match, so samples cost a second job only where rows differ and samples are wanted.
     """
     message = source.missing(spec.name)
     if message is not None:
         return error_verdict(spark, spec.name, message).first(), []
     src, trg = source.load("src", spec.name), source.load("trg", spec.name)
     row = verdict(src, trg, spec).first()
-    if row["data"]["reason"] not in (MISMATCH, BAG_MISMATCH):
+    if spec.sample_rows < 1 or row["data"]["reason"] not in (MISMATCH, BAG_MISMATCH):
         return row, []
     sides = prepare(src, spec), prepare(trg, spec)
     if spec.digest:
@@ -69,7 +69,11 @@ def run_suite(
 
     def run(dataset: str) -> tuple[Row, list[Row]]:
         spark.sparkContext.setJobGroup(f"check-{dataset}", f"reconcile {dataset}")
-        return check_dataset(spark, source, suite.spec(dataset))
+        try:
+            return check_dataset(spark, source, suite.spec(dataset))
+        except Exception as error:  # one broken dataset is a result; the others go on
+            text = next((line.strip() for line in str(error).splitlines() if line.strip()), "")
+            return error_verdict(spark, dataset, text or type(error).__name__).first(), []
 
     with ThreadPoolExecutor(max_workers=parallelism) as pool:
         outcomes = list(pool.map(run, suite.datasets))

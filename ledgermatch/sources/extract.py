@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from typing import Protocol
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgermatch.sources.landing import SIDES, Landing, write_json, write_parquet
+from ledgermatch.sources.landing import SIDES, Landing
 
 PROBE_SCHEMA = "side string, ok boolean, error string"
 LOG_SCHEMA = "side string, dataset string, rows bigint, error string"
@@ -33,7 +34,7 @@ def check_sources(spark: SparkSession, sources: dict[str, Source]) -> DataFrame:
         source = sources.get(side)
         try:
             if source is None:
-                raise ValueError("missing connection config")
+                raise ValueError("no connection is configured for this side")
             source.probe(spark)
             rows.append((side, True, None))
         except Exception as error:  # an unreachable source is a result, not a crash
@@ -42,29 +43,29 @@ def check_sources(spark: SparkSession, sources: dict[str, Source]) -> DataFrame:
 
 
 def extract(
-    spark: SparkSession, sources: dict[str, Source], datasets: list[str], data_dir: str, fmt: str = "parquet"
+    spark: SparkSession, sources: dict[str, Source], datasets: list[str], data_dir: str, fmt: str = "parquet", parallelism: int = 4
 ) -> DataFrame:
     """Land every dataset of both sides; returns a log row per side and dataset.
 
     Nothing is read unless both sources answer. A dataset that fails is logged
-    and the rest go on. Each dataset replaces its folder, so a run can be repeated.
+    and the rest go on. Each dataset replaces what was landed for it before, in whatever
+    form, so a run can be repeated. A few datasets are extracted at a time.
     """
     failed = [r for r in check_sources(spark, sources).collect() if not r["ok"]]
     if failed:
         raise ConnectionError("; ".join(f"[{r['side']}] {r['error']}" for r in failed))
     landing = Landing(spark, data_dir)
-    log = []
-    for side in SIDES:
-        for dataset in datasets:
-            try:
-                frame = sources[side].read(spark, dataset)
-                if fmt == "json":
-                    write_json(frame, landing.path(side, dataset, ".jsonl"))
-                else:
-                    write_parquet(frame, landing.path(side, dataset))
-                log.append((side, dataset, landing.load(side, dataset).count(), None))
-            except Exception as error:  # isolate a dataset's failure
-                log.append((side, dataset, None, _first_line(error)))
+
+    def land(job: tuple[str, str]) -> tuple:
+        side, dataset = job
+        try:
+            return side, dataset, landing.write(side, dataset, sources[side].read(spark, dataset), fmt).count(), None
+        except Exception as error:  # isolate a dataset's failure
+            return side, dataset, None, _first_line(error)
+
+    jobs = [(side, dataset) for side in SIDES for dataset in dict.fromkeys(datasets)]
+    with ThreadPoolExecutor(max_workers=parallelism) as pool:
+        log = list(pool.map(land, jobs))
     return spark.createDataFrame(log, LOG_SCHEMA)
 
 

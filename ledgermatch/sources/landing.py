@@ -1,6 +1,7 @@
 """The landing area: one folder per side, one dataset per name below it.
 
-A dataset is looked for in three forms, in this order:
+A dataset has one of three forms; writing one removes the others, so what is loaded is
+what was written last:
 
 * ``<dir>/<side>/<name>``        Parquet folder; keeps column order and types
 * ``<dir>/<side>/<name>.jsonl``  folder of JSON lines; splits across tasks
@@ -10,12 +11,11 @@ A dataset is looked for in three forms, in this order:
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgermatch.functions.canonical import canonical_text
+from ledgermatch.functions.canonical import canonical_text, fold_nan_inside
 from ledgermatch.recon.diff import column, require_unique_columns
 
 SIDES = ("src", "trg")
@@ -27,14 +27,20 @@ _JSON_TYPES = (
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
-    """Ask the path's own file system; lists names but reads no content."""
-    try:
-        spark.read.format("binaryFile").load(path)
-    except AnalysisException as error:
-        if error.getCondition() == "PATH_NOT_FOUND":
-            return False
-        raise
-    return True
+    """Ask the path's own file system."""
+    where, system = _file_system(spark, path)
+    return system.exists(where)
+
+
+def _file_system(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    where, system = _file_system(spark, path)
+    if system.exists(where):
+        system.delete(where, True)
 
 
 def write_parquet(df: DataFrame, path: str) -> None:
@@ -42,10 +48,10 @@ def write_parquet(df: DataFrame, path: str) -> None:
 
 
 def write_json(df: DataFrame, path: str) -> None:
-    """JSON lines; values without a JSON form (dates, decimals) become text."""
+    """JSON lines; values without a JSON form (dates, decimals) become text, NaN becomes NULL at any depth."""
     require_unique_columns(df, path)
     plain = [
-        column(f.name) if isinstance(f.dataType, _JSON_TYPES)
+        fold_nan_inside(column(f.name), f.dataType).alias(f.name) if isinstance(f.dataType, _JSON_TYPES)
         else canonical_text(column(f.name), f.dataType).alias(f.name)
         for f in df.schema
     ]
@@ -84,7 +90,7 @@ def read_json_document(
     """
     first = _first_character(spark, path)
     if first not in ("[", "{"):
-        raise ValueError(f"Unsupported JSON shape for dataset '{dataset}'")
+        raise ValueError(f"the JSON of '{dataset}' is neither a list nor an object")
     if first == "[":
         reader = spark.read.option("multiLine", True).option("mode", "FAILFAST")
         return (reader.schema(schema) if schema else reader).json(path)
@@ -95,7 +101,7 @@ def read_json_document(
         only = next(iter(members))
         name = only if isinstance(members[only], T.ArrayType) else None
     if name is None:
-        raise ValueError(f"Unable to locate row list in JSON for dataset '{dataset}'")
+        raise ValueError(f"no member of the JSON of '{dataset}' can be taken for its rows")
     if not _is_rows(members[name]):
         return _no_rows(spark)  # an empty array has no row type
     return wrapped.select(F.inline(column(name)))
@@ -120,6 +126,17 @@ class Landing:
                 return suffix
         return None
 
+    def write(self, side: str, dataset: str, df: DataFrame, fmt: str = "parquet") -> DataFrame:
+        """Land a dataset as Parquet or JSON lines ('json') and return it as it reads back.
+
+        Forms that an earlier run left are removed once the new one is complete.
+        """
+        own = ".jsonl" if fmt == "json" else ""
+        (write_json if fmt == "json" else write_parquet)(df, self.path(side, dataset, own))
+        for suffix in {"", ".jsonl", ".json"} - {own}:
+            _remove(self._spark, self.path(side, dataset, suffix))
+        return self.load(side, dataset)
+
     def missing(self, dataset: str) -> str | None:
         """Which sides lack the dataset, as a message; None when both have it."""
         absent = [s for s in SIDES if self._found(s, dataset) is None]

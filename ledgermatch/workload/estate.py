@@ -21,9 +21,11 @@ from ledgermatch.workload.derived import ORACLE as DERIVED_SQL
 
 
 def _shared_folder(spark: SparkSession) -> str:
-    """A new folder below the one the cluster shares; a local one only without it."""
+    """A new folder below the one the cluster shares; only a local session may leave that out."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="ledgermatch-")
     return f"{base.rstrip('/')}/landing-{uuid.uuid4().hex}"
 

@@ -106,3 +106,15 @@ def test_write_consolidation_replaces_only_its_own(spark, tmp_path):
     write_consolidation(spark.range(3), path, 654)
     counts = spark.read.parquet(path).groupBy("consolidation_id").count()
     assert values(counts) == [(653, 2), (654, 3)]
+
+
+def test_numeric_labels_of_any_size_in_order(spark):
+    from ledgermatch.operators.rollup import Rollup, labels, roll_up
+
+    def listed(values, dtype):
+        frame = spark.createDataFrame([(1, v) for v in values], f"k int, v {dtype}")
+        return roll_up([labels(frame, "v", ["k"], "v")], ["k"], [Rollup("v", "text", "n")]).first()["text"]
+
+    assert listed([2e33, 1e33], "double") == "1.0E33, 2.0E33"
+    assert listed([1e-7, 2e-8], "double") == "2.0E-8, 1.0E-7"
+    assert listed([10, 9, 2**62 + 1, 2**62], "bigint") == f"9, 10, {2**62}, {2**62 + 1}"

@@ -251,3 +251,54 @@ def test_bag_emits_every_surplus_copy(spark):
     trg = spark.range(3).select(F.lit("x").alias("v"))
     counts = except_rows(src, trg, bag=True).groupBy("side", "v").count().collect()
     assert sorted(tuple(r) for r in counts) == [("src", "x", 35_000), ("src", "y", 1)]
+
+
+def test_data_columns_may_have_the_names_of_the_report(spark):
+    schema = "side string, rank int, row_json string, surplus int"
+    src = spark.createDataFrame([("R", 1, "x", 1), ("S", 2, "y", 2), ("S", 2, "y", 2)], schema)
+    trg = spark.createDataFrame([("Q", 1, "x", 1), ("S", 2, "y", 2)], schema)
+    assert {tuple(r) for r in except_rows(src, trg).collect()} == {("src", "R", 1, "x", 1), ("trg", "Q", 1, "x", 1)}
+    assert [tuple(r) for r in subtract(src, trg).collect()] == [("R", 1, "x", 1)]
+    rows = {(r["side"], r["row_json"]) for r in sample_rows(src, trg, 3, bag=True).collect()}
+    assert {(s, '"side":"' + v + '"' in j) for (s, j), v in zip(sorted(rows), "RSQ", strict=True)} == {("src", True), ("trg", True)}
+
+
+def test_digest_agrees_with_rows_under_a_collation(spark):
+    src = spark.createDataFrame([("A",)], "v string").selectExpr("v collate UTF8_LCASE as v")
+    trg = spark.createDataFrame([("a",)], "v string").selectExpr("v collate UTF8_LCASE as v")
+    reasons = {verdict(src, trg, CheckSpec("d", digest=d)).first()["data"]["reason"] for d in (False, True)}
+    assert reasons == {"Exact match"}
+
+
+def test_columns_that_differ_in_case_only_are_refused(spark):
+    frame = spark.createDataFrame([(1, 2)], "x int, y int").toDF("A", "a")
+    with pytest.raises(ValueError, match="case only"):
+        verdict(frame, frame, CheckSpec("d"))
+
+
+def test_surplus_copies_are_spread(spark):
+    many = spark.range(100_000).selectExpr("1 AS v")
+    diff = except_rows(many, many.limit(0), bag=True)
+    assert diff.count() == 100_000
+    assert diff.select(F.spark_partition_id().alias("p")).distinct().count() > 1
+
+
+def test_one_broken_dataset_is_an_error_verdict(spark):
+    class Source:
+        def missing(self, dataset):
+            return None
+
+        def load(self, side, dataset):
+            if dataset == "broken":
+                raise RuntimeError("no such thing\nat line 2")
+            return spark.range(3 if side == "src" else 2)
+
+    config = {"data_checks": {"data_list": ["broken", "fine"]}, "run_mode": {"debug": 0, "bag": ["fine"], "digest": True}}
+    suite = CheckSuite.from_config(config)
+    assert (suite.spec("fine").bag, suite.spec("fine").digest, suite.spec("other").bag) == (True, True, False)
+    result = run_suite(spark, Source(), suite)
+    found = {r["name"]: r for r in result.results.collect()}
+    assert found["broken"]["error_message"] == "no such thing" and found["fine"]["src_count"] == 3
+    assert result.samples.count() == 0
+    config["run_mode"]["debug"] = 1
+    assert run_suite(spark, Source(), CheckSuite.from_config(config)).samples.count() == 1

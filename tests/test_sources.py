@@ -50,7 +50,7 @@ def test_empty_json_documents(spark, tmp_path):
 
 @pytest.mark.parametrize(
     "content, message",
-    [({"x": [1], "y": 2}, "Unable to locate row list"), ({"x": 1}, "Unable to locate row list"), (5, "Unsupported JSON shape")],
+    [({"x": [1], "y": 2}, "can be taken for its rows"), ({"x": 1}, "can be taken for its rows"), (5, "neither a list nor an object")],
 )
 def test_json_documents_of_another_shape(spark, tmp_path, content, message):
     with pytest.raises(ValueError, match=message):
@@ -118,7 +118,7 @@ def test_nothing_is_read_when_a_source_is_unreachable(spark, tmp_path, typed):
         extract(spark, sources, ["t"], str(tmp_path))
     assert list(tmp_path.iterdir()) == []
     absent = check_sources(spark, {"src": sources["src"]}).where(~F.col("ok")).first()
-    assert absent["error"] == "missing connection config"
+    assert absent["error"] == "no connection is configured for this side"
 
 
 class Recorder:
@@ -172,3 +172,21 @@ def test_catalog_sql_and_column_lists(spark):
     lists = column_lists(spark, catalog, ["ucdp_v_feed_to_sc", "t_dm_in_data_snapshot"]).collect()
     assert lists[1]["columns_list"] == "feed_code, source_code, snapshot_id"
     assert "nsa_v_feeds" in list(catalog) and len(catalog) == 29
+
+
+def test_a_new_form_replaces_the_old_one(spark, tmp_path):
+    first, second = spark.range(1), spark.range(3)
+    for fmt in ("parquet", "json", "parquet"):
+        for frame in (first, second):
+            sources = {side: FrameSource({"d": frame}) for side in ("src", "trg")}
+            log = extract(spark, sources, ["d"], str(tmp_path), fmt=fmt).collect()
+            assert {r["rows"] for r in log} == {frame.count()}
+            assert Landing(spark, str(tmp_path)).load("src", "d").count() == frame.count()
+
+
+def test_nan_lands_as_null_in_json(spark, tmp_path):
+    frame = spark.sql("SELECT double('NaN') v, array(float('NaN'), 1f) a, named_struct('x', double('NaN'), 'y', 2) s, map('k', double('NaN')) m UNION ALL SELECT 1.5, null, null, null")
+    back = Landing(spark, str(tmp_path)).write("src", "d", frame, "json")
+    assert dict(back.dtypes)["v"] == "double"
+    assert back.where("v is null and a[0] is null and a[1] = 1 and s.x is null and s.y = 2").count() == 1
+    assert back.where("v = 1.5 and a is null and s is null").count() == 1
