@@ -12,10 +12,12 @@ from ledgermatch.fixtures import TABLES, relations
 from ledgermatch.operators.snapshot import write_consolidation
 from ledgermatch.plans import DATASETS, Catalog
 from ledgermatch.qa import column_lists, row_counts
-from ledgermatch.recon.spec import CheckSuite
+from ledgermatch.recon.diff import except_rows
+from ledgermatch.recon.spec import CheckSpec, CheckSuite
 from ledgermatch.recon.suite import run_suite
+from ledgermatch.recon.verdict import verdict
 from ledgermatch.sources.extract import FrameSource, extract
-from ledgermatch.sources.landing import Landing
+from ledgermatch.sources.landing import Landing, write_summary
 from ledgermatch.workload.checks import altered_orders
 from ledgermatch.workload.derived import ORACLE as DERIVED_SQL
 
@@ -93,7 +95,85 @@ def materialised_feeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(path).select("feed_code", "snapshot_id", "feed_instance_count", "consolidation_id")
 
 
+def recon_column_named_side(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Differences of data that has a ``side`` column of its own."""
+    src = relations(spark, sf_dir)["orders"].select("o_orderkey", F.col("o_orderstatus").alias("side"))
+    trg = src.withColumn("side", F.when(F.col("o_orderkey") % 100 == 0, "Z").otherwise(F.col("side")))
+    return except_rows(src, trg)
+
+
+def recon_digest_collated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts that a collation makes equal: the same verdict from rows and in digest mode."""
+    words = relations(spark, sf_dir)["customer"].select("c_custkey", F.expr("c_mktsegment COLLATE UTF8_LCASE").alias("segment"))
+    lower = words.withColumn("segment", F.lower("segment"))
+    modes = [verdict(words, lower, CheckSpec(mode, digest=mode == "digest")) for mode in ("rows", "digest")]
+    return modes[0].unionByName(modes[1]).select("name", "src_count", "data.reason", "data.src_only_count")
+
+
+def landing_format_change(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A dataset landed as Parquet and then, altered, as JSON lines: what is loaded is the latter."""
+    orders = relations(spark, sf_dir)["orders"].select("o_orderkey", "o_orderstatus", "o_totalprice")
+    landing = Landing(spark, _shared_folder(spark))
+    landing.write("src", "orders", orders)
+    landing.write("src", "orders", altered_orders(orders), "json")
+    return landing.load("src", "orders").select("o_orderkey", "o_orderstatus")
+
+
+def landing_json_nan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """NaN on one side and NULL on the other, landed as JSON lines, are the same value."""
+    customer = relations(spark, sf_dir)["customer"].select("c_custkey", "c_acctbal")
+    missing = F.col("c_custkey") % 10 == 0
+    sides = {
+        side: FrameSource({"customer": customer.withColumn("c_acctbal", F.when(missing, F.lit(value).cast("double")).otherwise(F.col("c_acctbal").cast("double")))})
+        for side, value in (("src", float("nan")), ("trg", None))
+    }
+    data_dir = _shared_folder(spark)
+    extract(spark, sides, ["customer"], data_dir, fmt="json")
+    return run_suite(spark, Landing(spark, data_dir), CheckSuite(lists={"data_list": ["customer"]})).summary
+
+
+def _document(rows: DataFrame, path: str, wrap: str | None) -> None:
+    """Write rows as one JSON document, the exchange format that is one list by definition."""
+    listed = F.collect_list(F.struct("*"))
+    whole = F.to_json(F.struct(listed.alias(wrap)) if wrap else listed)
+    rows.agg(whole.alias("value")).write.text(path)
+
+
+def json_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A list of rows and two kinds of wrapped lists, each one JSON document, loaded together."""
+    supplier = relations(spark, sf_dir)["supplier"].select("s_suppkey", "s_name")
+    landing = Landing(spark, _shared_folder(spark))
+    for name, wrap in (("plain", None), ("wrapped", "wrapped"), ("lone", "rows")):
+        _document(supplier, landing.path("src", name, ".json"), wrap)
+    loaded = landing.load_all("src", ["plain", "wrapped", "lone"])
+    parts = [frame.select(F.lit(name).alias("dataset"), "s_suppkey", "s_name") for name, frame in loaded.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+def summary_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The summary of a suite with ill-typed options, written twice and read back."""
+    orders = relations(spark, sf_dir)["orders"].select("o_orderkey", "o_orderstatus", "o_totalprice")
+    path = _shared_folder(spark)
+    landing = Landing(spark, path)
+    landing.write("src", "orders", orders)
+    landing.write("trg", "orders", altered_orders(orders).withColumnRenamed("o_orderstatus", "status"))
+    suite = CheckSuite(
+        lists={"data_list": ["orders"]}, check_list=7, mapping_fields={"orders": {"o_orderstatus": "status", "x": 1}, 3: {}},
+        exclude_fields={"orders": ["o_totalprice", 5], "other": "text"}, sample_diff_rows="many", debug="no",
+    )
+    summary = run_suite(spark, landing, suite).summary
+    for _ in range(2):
+        write_summary(summary, f"{path}/report", suite.check_list)
+    return spark.read.json(f"{path}/report").select("name", "rows_count", "columns", "data", "status", "check_list")
+
+
 QUERIES = {
+    "recon_column_named_side": recon_column_named_side,
+    "recon_digest_collated": recon_digest_collated,
+    "landing_format_change": landing_format_change,
+    "landing_json_nan": landing_json_nan,
+    "json_documents": json_documents,
+    "summary_sink": summary_sink,
     "qa_row_counts": qa_row_counts,
     "qa_table_counts": qa_table_counts,
     "qa_column_lists": qa_column_lists,
@@ -111,6 +191,27 @@ _TABLE_COUNTS = "\nUNION ALL ".join(
 )
 
 ORACLE = {
+    "recon_column_named_side": """
+SELECT 'src' AS __side, o_orderkey, o_orderstatus AS side FROM orders WHERE o_orderkey % 100 = 0 AND o_orderstatus <> 'Z'
+UNION ALL SELECT 'trg', o_orderkey, 'Z' FROM orders WHERE o_orderkey % 100 = 0 AND o_orderstatus <> 'Z'
+""",
+    "recon_digest_collated": """
+SELECT name, count(*) AS src_count, 'Exact match' AS reason, 0 AS src_only_count
+FROM customer, (VALUES ('rows'), ('digest')) v(name) GROUP BY name
+""",
+    "landing_format_change": f"""
+SELECT o_orderkey, if({_CHANGED}, 'X', o_orderstatus) AS o_orderstatus FROM orders WHERE {_KEPT}
+""",
+    "landing_json_nan": "SELECT * FROM (VALUES ('customer', 'PASS', 'PASS', 'PASS', 'PASS')) v(name, rows_count, columns, data, status)",
+    "json_documents": """
+SELECT dataset, s_suppkey, s_name FROM supplier, (VALUES ('plain'), ('wrapped'), ('lone')) v(dataset)
+""",
+    "summary_sink": f"""
+SELECT 'orders' AS name, if(lost = 0, 'PASS', 'FAIL') AS rows_count, 'PASS' AS columns,
+       if(lost + changed = 0, 'PASS', 'FAIL') AS data, if(lost + changed = 0, 'PASS', 'FAIL') AS status, 'data_list' AS check_list
+FROM (SELECT count(*) FILTER (NOT ({_KEPT})) AS lost, count(*) FILTER ({_KEPT} AND {_CHANGED}) AS changed FROM orders),
+     (VALUES (1), (2)) twice(n)
+""",
     "qa_row_counts": "\nUNION ALL ".join(
         f"SELECT '{name}' AS view_name, count(*) AS row_count FROM ({sql})" for name, sql in DERIVED_SQL.items()
     ),
