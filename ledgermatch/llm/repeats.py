@@ -258,7 +258,10 @@ def _descend(hot: DataFrame, width: int, digit: int) -> list[DataFrame]:
         whole = (F.length("l") == F.col("hi") - F.col("lo")) & (F.length("r") == F.col("hi") - F.col("lo"))
         full = rows.withColumn("f1", F.when(whole, F.xxhash64("c1", "l", F.lit(0), "r"))).withColumn("f2", F.when(whole, F.xxhash64("c2", "l", F.lit(0), "r")))
         equal = _twice(full.where("f1 is not null"), "f1", "f2")
-        judged = materialise(full.join(equal, ["f1", "f2"], "left").drop("f1", "f2"), f"judged{step}")
+        # Both sides are plain tables and rows without hashes stay out of the join, so that hot values can be split among tasks.
+        known = full.where("f1 is not null").join(materialise(equal, f"equal{step}"), ["f1", "f2"], "left")
+        partial = full.where("f1 is null").withColumn("witness", F.lit(None).cast("long"))
+        judged = materialise(known.unionByName(partial).drop("f1", "f2"), f"judged{step}")
         out.append(judged.where("witness is not null").select("key1", "key2", (F.col("at") - F.col("hi")).alias("lo"), (F.col("at") - F.col("lo") + width).alias("hi")))
         if step == 1:
             return out
