@@ -48,7 +48,7 @@ rds_v_reference_data := select code,code_type,data_type,value from rds_reference
 t_ps2_pdp_pe := select cast(s_suppkey as string) pe_code,case s_suppkey%4 when 0 then 'WWEIKON' when 1 then 'WWRFTW' else 'PDP' end||cast(s_suppkey%20 as string) pdp_code,2201 snapshot_id from supplier
 t_ps2_pdp := select distinct pdp_code,case when pe_code like '%1%' then 'Specialist' else 'General' end pdp_type,case when pe_code like '%2%' then 'LUCY CHAPLE' else 'OTHER' end owner,snapshot_id from t_ps2_pdp_pe
 t_ps2_pli := select case when s_suppkey%3=0 then 'XXX' else 'RRG' end product_status,'K1 '||p.pdp_code||' K2' permissioning_key,2202 snapshot_id from supplier join t_ps2_pdp_pe p on p.pe_code=cast(s_suppkey as string)
-t_ps2_pe := select cast(s_suppkey as string) pe_code,s_name pe_name,2201 snapshot_id from supplier
+t_ps2_pe := select cast(s_suppkey as string) pe_code,s_name pe_name,case when s_suppkey%9=0 then 2200 else 2201 end snapshot_id from supplier
 t_mrn_pe_rules := select cast(s_suppkey as string) pe_code,case when s_suppkey%5=0 then 2300 else 2301 end snapshot_id from supplier
 t_mrn_rule_details := select cast(s_suppkey as string) pe_code,left(v,length(v)-1) type,v value,2301 snapshot_id from (select s_suppkey,each('PROVIDER1','PROVIDER2','LANGUAGE1','LANGUAGE2','URGENCY1','AUDIENCE1','SUBJECT1','INSTANCE1','FULL_LANGUAGE1') v from supplier) x where (s_suppkey+cast(right(v,1) as int))%3<>0
 nsa_v_mrn_pe_pc := select distinct 'NP:P'||cast(l_partkey as string) product_code,l_suppkey pe_code from lineitem

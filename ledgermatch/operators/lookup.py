@@ -86,23 +86,24 @@ def contains_words(left: DataFrame, code: str, right: DataFrame, text: str) -> D
     """Left rows whose code stands between blanks in some right text.
 
     Same result as a nested loop over ``' ' + text + ' ' LIKE '% ' + code + ' %'``,
-    as equality semi joins: every run of words of a text, for each word count that
-    occurs among the codes, is looked up among the codes. A text gives each run
-    once, and runs that are no code are dropped where they are made when Spark can
-    broadcast the codes; otherwise runs are shuffled and a hot one can be split.
+    as equality joins: every run of words of a text, for each word count that
+    occurs among the codes, is looked up among the codes. When Spark can broadcast the codes it
+    moves the lookup below the distinct step, so runs that are no code are dropped where they are made;
+    otherwise a run leaves each map task once, however many texts hold it.
     """
     word_counts = left.agg(F.collect_set(F.size(F.split(code, " ")))).scalar()
     words, n = F.col("__words"), F.col("__n")
     starts = F.sequence(F.lit(1), F.size(words) - n + 1)
     longer = F.transform(starts, lambda i: F.array_join(F.slice(words, i, n), " "))
     runs = F.array_distinct(F.when(n == 1, words).otherwise(longer))
-    codes = left.select(F.col(code).alias("__phrase"))
+    codes = left.select(F.col(code).alias("__phrase")).distinct()
     phrases = (
         right.where(F.col(text).isNotNull())
         .select(F.split(text, " ").alias("__words"), F.explode(word_counts).alias("__n"))
         .where(F.size(words) >= n)
         .select(F.explode(runs).alias("__phrase"))
-        .join(codes, "__phrase", "left_semi")
         .distinct()
+        .join(codes, "__phrase", "left_semi")
     )
-    return left.join(phrases, F.col(code) == F.col("__phrase"), "left_semi")
+    # Phrases are distinct, so this is a semi join; as an inner one it isn't moved into each arm of a union.
+    return left.join(phrases, F.col(code) == F.col("__phrase")).drop("__phrase")

@@ -110,8 +110,9 @@ def count_distinct_per(df: DataFrame, keys: list[str], value: str, alias: str) -
 def last_row(df: DataFrame, keys: list[str], order: str, columns: list[str]) -> DataFrame:
     """Per key the row with the greatest ``order``, NULL counting as lowest.
 
-    A maximum over a struct combines on the map side, where a window would sort
-    every row of a key in one task. Ties go to the greater remaining columns.
+    A maximum over a struct combines on the map side, so a key leaves each map task as one row, where a window
+    would sort every row of a key in one task. With text columns Spark sorts each map task's rows for it.
+    Ties go to the greater remaining columns.
     """
     best = F.max(F.struct(F.col(order).alias("__order"), *columns)).alias("__best")
     return df.groupBy(*keys).agg(best).select(*keys, *[F.col(f"__best.{c}").alias(c) for c in columns])

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -49,18 +47,3 @@ def write_consolidation(df: DataFrame, path: str, consolidation_id: int) -> None
         .partitionBy("consolidation_id")
         .parquet(path)
     )
-
-
-def distinct_across_versions(build: Callable[[DataFrame], DataFrame], versions: DataFrame) -> DataFrame:
-    """Distinct rows of ``build(versions)`` when only several versions can repeat a row.
-
-    ``build`` restricts its data to the versions it is given and must give distinct
-    rows for a single one. Then a wide result needs no shuffle to make it distinct
-    while one version is in force; with several it does. Their number is known when
-    the query runs, and the branch that does not apply starts from no versions, so
-    adaptive execution drops it.
-    """
-    n = versions.agg(F.count_distinct(versions.columns[0])).scalar()
-    one = build(versions.where(n == 1))
-    several = build(versions.where(n > 1)).distinct()
-    return one.unionByName(several)

@@ -23,8 +23,8 @@ def status(rows_count: Column, columns: Column, data: Column) -> Column:
     )
 
 
-def summary(results: DataFrame) -> DataFrame:
-    """One row per dataset: name, rows_count, columns, data, status."""
+def summary(results: DataFrame, *carry: str) -> DataFrame:
+    """One row per dataset: name, the result columns in ``carry``, rows_count, columns, data, status."""
     failed_input = F.col("error_message").isNotNull()
     both_empty = F.col("data.reason") == BOTH_EMPTY
 
@@ -33,6 +33,7 @@ def summary(results: DataFrame) -> DataFrame:
 
     tags = results.select(
         "name",
+        *carry,
         tag(F.col("row_count_passed")).alias("rows_count"),
         tag(F.col("columns.passed")).alias("columns"),
         tag(F.col("data.passed")).alias("data"),

@@ -350,9 +350,7 @@ def recon_excluded_lists(t: Tables) -> DataFrame:
     whole = Catalog(t)["tmp_nsa_v_feed_all_grouped"]
     cut = whole.withColumn("pc", F.left("pc", F.lit(1024)))
     result = verdict(cut, whole, CheckSpec("feeds", exclude=("pc",)))
-    return report.summary(result).join(result.select("name", "src_count", "trg_count"), "name").select(
-        "src_count", "trg_count", "status"
-    )
+    return report.summary(result, "src_count", "trg_count").select("src_count", "trg_count", "status")
 
 
 @query(f"""

@@ -558,15 +558,22 @@ def scalar_max_filter(t: Tables) -> DataFrame:
 
 
 @query("""
-SELECT item_id, code FROM (SELECT item_id, array_to_string(string_split(text, ' ')[2:4], ' ') AS code FROM benchmark
-                           UNION ALL SELECT item_id, string_split(text, ' ')[2] FROM benchmark)
-WHERE EXISTS (SELECT 1 FROM documents WHERE contains(' ' || documents.text || ' ', ' ' || code || ' '))
+WITH texts AS (SELECT 'code' AS kind, string_split(text, ' ') AS w FROM benchmark
+               UNION ALL SELECT DISTINCT 'text', string_split(text, ' ') FROM documents),
+runs AS (SELECT DISTINCT kind, array_to_string(w[i:i + n - 1], ' ') AS code
+         FROM (SELECT kind, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM texts, (VALUES (1), (2), (3)) v(n)))
+SELECT code FROM runs WHERE kind = 'code' INTERSECT SELECT code FROM runs WHERE kind = 'text'
 """)
 def token_contains_semi(t: Tables) -> DataFrame:
-    """Codes of one or several words that stand between blanks in a text."""
-    words = F.split("text", " ")
-    codes = t["benchmark"].select("item_id", F.array_join(F.slice(words, 2, 3), " ").alias("code")).union(
-        t["benchmark"].select("item_id", F.get(words, 1))
+    """Codes of one to three words (every run of a benchmark text) that stand between blanks in a document."""
+    words, n = F.col("words"), F.col("n")
+    runs = F.transform(F.sequence(F.lit(1), F.size(words) - n + 1), lambda i: F.array_join(F.slice(words, i, n), " "))
+    codes = (
+        t["benchmark"]
+        .select(F.split("text", " ").alias("words"), F.explode(F.array(*map(F.lit, (1, 2, 3)))).alias("n"))
+        .where(F.size(words) >= n)
+        .select(F.explode(runs).alias("code"))
+        .distinct()
     )
     return contains_words(codes, "code", t["documents"], "text")
 
