@@ -268,7 +268,7 @@ def _descend(hot: DataFrame, width: int, digit: int) -> list[DataFrame]:
         step = -(-step // SPLIT)
         # Of rows that are done one goes on, for those that share only a part with them.
         parts = materialise(_pieces(judged.where(F.col("witness").isNull() | (F.col("witness") == _place())), step), f"parts{step}")
-        rows = parts.join(_twice(parts, "c1", "c2"), ["c1", "c2"], "left_semi")
+        rows = parts.join(materialise(_twice(parts, "c1", "c2"), f"shared{step}"), ["c1", "c2"], "left_semi")
 
 
 _SPANS = "array<struct<lo:long,hi:long>>"
