@@ -12,12 +12,17 @@ tiles around it, 64 at most whatever the size of the corpus; tiles with many
 residents are cut into blocks by hash, and each block meets all visitors. Copies
 share a fingerprint, so they take part once. A block reports the forest of its links
 (fewer edges than fingerprints), never all pairs.
+
+``near_duplicates`` links 64-bit fingerprints at three bits. Texts that share 0.8 of their shingles
+lie some ten bits apart, so ``drop_near_copies`` compares fingerprints of 512 bits at a radius
+that is meant for this share; there bands of text lengths take the place of population counts.
 """
 
 from __future__ import annotations
 
 import itertools
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ledgermatch.llm.batches import mix
 from ledgermatch.llm.components import connected_components
 from ledgermatch.llm.shared import materialise
 
@@ -34,30 +40,46 @@ SHINGLE_WORDS = 3
 #: Residents of a block that are compared at once; a tile with more is cut into several blocks.
 BLOCK_ROWS = 16384
 #: Fingerprints on the other side of one exclusive-or.
-STRIP_ROWS = 2048
+STRIP_ROWS = 1024
 SEED = 42
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+
+#: Near copies of whole texts: words of a shingle, and the least share of common shingles.
+COPY_WORDS = 5
+SIMILARITY = 0.8
+#: Longs of their fingerprints; the share is known to about 0.02 from so many bits.
+COPY_LONGS = 8
+#: Differing bits at most; a share of SIMILARITY makes 78 on average, 8 more or less.
+COPY_RADIUS = 88
+#: Of these in the first long, which is compared first: ten on average, three more or less.
+COPY_FIRST = 22
+#: Residents of a block of these.
+COPY_BLOCK_ROWS = 65536
+
+
+#: The bits of each byte value, a lane of eight bits for each.
+_LANES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").view("<u8").ravel()
+#: Hashes whose bits are added before a lane can run over.
+_LANE_ROWS = 255
 
 
 def _fingerprint_bits(hashes: np.ndarray, heads: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """Majority bits of each group of hashes (heads: where it begins, none empty)."""
-    out = np.zeros(len(heads), np.uint64)
-    # Bits are unpacked for a bounded number of hashes at a time.
-    step, at = 1 << 17, 0
-    sums = np.zeros((len(heads), 64), np.int64)
-    group = np.repeat(np.arange(len(heads)), sizes)
-    while at < len(hashes):
-        to = min(at + step, len(hashes))
-        bits = np.unpackbits(hashes[at:to].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        own = group[at:to]
-        cut = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
-        sums[own[cut]] += np.add.reduceat(bits, cut, axis=0, dtype=np.int64)
-        at = to
-    for b in range(64):
-        out |= (2 * sums[:, b] > sizes).astype(np.uint64) << np.uint64(b)
-    return out
-
-
-def _fingerprints(texts: list[bytes | None], width: int) -> np.ndarray:
+    chunks = -(-sizes // _LANE_ROWS)
+    first = np.concatenate([[0], np.cumsum(chunks)[:-1]])  # chunk of each group
+    starts = np.repeat(heads, chunks) + _LANE_ROWS * (np.arange(chunks.sum()) - np.repeat(first, chunks))
+    stops = np.append(starts[1:], len(hashes))
+    octets, counts = hashes.astype("<u8").view(np.uint8).reshape(-1, 8), []
+    # Bits are spread out for a bounded number of hashes at a time.
+    for at in range(0, len(starts), 512):
+        lo, hi = starts[at], stops[min(at + 512, len(stops)) - 1]
+        counts.append(np.add.reduceat(_LANES[octets[lo:hi]], starts[at : at + 512] - lo, axis=0).view(np.uint8))
+    sums = np.add.reduceat(np.concatenate(counts), first, axis=0, dtype=np.int64)
+    return np.packbits(2 * sums > sizes[:, None], axis=1, bitorder="little").view("<u8").ravel()
+
+
+def _shingle_hashes(texts: list[bytes | None], width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all shingles of all texts, and how many each text has."""
     hashes, sizes = [], []
     for text in texts:
         words = (text or b"").lower().split()
@@ -67,13 +89,21 @@ def _fingerprints(texts: list[bytes | None], width: int) -> np.ndarray:
         last = min(width, len(words))
         hashes += [xxhash.xxh64_intdigest(joined[starts[i] : starts[i + last] - 1], SEED) for i in range(n)]
         sizes.append(n)
-    sizes = np.array(sizes, np.int64)
-    out = np.zeros(len(texts), np.uint64)
-    if hashes:
-        full = sizes > 0
+    return np.array(hashes, np.uint64), np.array(sizes, np.int64)
+
+
+def _fingerprints(texts: list[bytes | None], width: int, longs: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles of each text and its fingerprint, a row of ``longs``; the first comes of the hashes, the others of mixed ones."""
+    hashes, sizes = _shingle_hashes(texts, width)
+    out = np.zeros((len(texts), longs), np.uint64)
+    full = sizes > 0
+    if full.any():
         heads = np.concatenate([[0], np.cumsum(sizes[full])[:-1]])
-        out[full] = _fingerprint_bits(np.array(hashes, np.uint64), heads, sizes[full])
-    return out
+        for k in range(longs):
+            with np.errstate(over="ignore"):
+                own = mix(hashes + np.uint64(k) * _STEP) if k else hashes
+            out[full, k] = _fingerprint_bits(own, heads, sizes[full])
+    return sizes, out
 
 
 def fingerprint(text: Column | str, width: int = SHINGLE_WORDS) -> Column:
@@ -84,7 +114,7 @@ def fingerprint(text: Column | str, width: int = SHINGLE_WORDS) -> Column:
         wide, out = column.cast(pa.large_binary()), []
         # In small steps: the hashes of many long texts together would be large.
         for at in range(0, len(wide), 64):
-            out.append(_fingerprints(wide.slice(at, 64).to_pylist(), width))
+            out.append(_fingerprints(wide.slice(at, 64).to_pylist(), width)[1][:, 0])
         return pa.array(np.concatenate([np.empty(0, np.uint64), *out]).view(np.int64))
 
     return of(text)
@@ -105,53 +135,72 @@ def _tile(fp: Column) -> Column:
     return sum((quarter(i) * F.lit(w) for i, w in enumerate(_DIGITS)), F.lit(0))
 
 
-def _forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
-    """Which of the edges (a, b) join what those before them left apart."""
-    parent = list(range(n))
-    keep = np.zeros(len(a), bool)
-    for i, (x, y) in enumerate(zip(a.tolist(), b.tolist(), strict=True)):
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        while parent[y] != y:
-            parent[y] = parent[parent[y]]
-            y = parent[y]
-        if x != y:
-            parent[max(x, y)] = min(x, y)
-            keep[i] = True
-    return keep
+def _join(label: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Which of the edges (x, y) join what those before them left apart: a forest. ``label`` (least node of each tree) follows."""
+    at, kept = np.arange(len(x)), [np.empty(0, np.int64)]
+    while True:
+        a, b = label[x[at]], label[y[at]]
+        apart = a != b
+        at, a, b = at[apart], a[apart], b[apart]
+        if not len(at):
+            return np.concatenate(kept)
+        high, low = np.maximum(a, b), np.minimum(a, b)
+        pick = np.full(len(label), -1)
+        pick[high] = np.arange(len(at))
+        trees = np.flatnonzero(pick >= 0)  # each is hung below a lesser one by one edge
+        chosen = pick[trees]
+        label[trees] = low[chosen]
+        kept.append(at[chosen])
+        while (label[label] != label).any():
+            label[:] = label[label]
+
+
+#: For the columns of two strips: the rows of each that are linked.
+Linked = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
+
+
+def _within(radius: int) -> Linked:
+    """Rows whose first values differ in at most ``radius`` bits."""
+    return lambda a, b: np.nonzero(np.bitwise_count(a[:, None, 0] ^ b[None, :, 0]) <= radius)
 
 
 class _Block:
-    """Residents of one block and the links found so far."""
+    """Residents of one block and the trees that links have made of them so far.
 
-    def __init__(self, radius: int) -> None:
-        self.radius, self.residents, self.linked = radius, np.empty(0, np.uint64), []
+    Items are rows of unsigned longs, of which the first names the item.
+    """
 
-    def meet(self, visitors: np.ndarray, own: bool) -> Iterator[np.ndarray]:
-        """Compare every resident with every visitor; ``own``: the visitors are the residents."""
-        for at in range(0, len(visitors), STRIP_ROWS):
-            strip = visitors[at : at + STRIP_ROWS]
-            edges = []
-            for lo in range(0, at + len(strip) if own else len(self.residents), STRIP_ROWS):
+    def __init__(self, linked: Linked, residents: np.ndarray) -> None:
+        self.linked, self.residents, self.label = linked, residents, np.arange(len(residents))
+
+    def meet(self, visitors: np.ndarray | None) -> Iterator[np.ndarray]:
+        """Compare every resident with every visitor (None: with each other); names (2, n) that links join."""
+        own = visitors is None
+        guests = self.residents if own else visitors
+        n = len(self.residents)
+        for at in range(0, len(guests), STRIP_ROWS):
+            strip = guests[at : at + STRIP_ROWS]
+            label = self.label if own else np.concatenate([self.label, n + np.arange(len(strip))])
+            for lo in range(0, at + len(strip) if own else n, STRIP_ROWS):
                 part = self.residents[lo : lo + STRIP_ROWS]
-                i, j = np.nonzero(np.bitwise_count(part[:, None] ^ strip[None, :]) <= self.radius)
+                i, j = self.linked(part, strip)
                 if own:
-                    i, j = i[lo + i < at + j], j[lo + i < at + j]
+                    ordered = lo + i < at + j
+                    i, j = i[ordered], j[ordered]
                 if len(i):
-                    edges.append(np.stack([part[i], strip[j]]))
-            if edges:
-                pairs = np.concatenate(edges, axis=1)
-                nodes, index = np.unique(pairs, return_inverse=True)
-                index = index.reshape(pairs.shape)
-                yield pairs[:, _forest(index[0], index[1], len(nodes))]
+                    kept = _join(label, lo + i, (at if own else n) + j)
+                    yield np.stack([part[i[kept], 0], strip[j[kept], 0]])
+            self.label = label[:n]
+
 
+def _compare(linked: Linked, columns: Callable[[pa.RecordBatch], np.ndarray]):
+    """mapInArrow over rows sorted by (tile, block, visitor): links (a, b) between items.
 
-def _compare(radius: int):
-    """mapInArrow over rows sorted by (tile, block, visitor): links (a, b) between fingerprints."""
+    ``columns`` makes rows of unsigned longs of a batch's columns after those three.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, at, pending = _Block(radius), None, []
+        block, at, pending = None, None, []
         out: list[np.ndarray] = []
 
         def flush() -> Iterator[pa.RecordBatch]:
@@ -162,28 +211,29 @@ def _compare(radius: int):
 
         def close() -> None:
             """The residents are complete: compare them with each other."""
+            nonlocal block
             if pending:
-                block.residents = np.concatenate(pending)
+                block = _Block(linked, np.concatenate(pending))
                 pending.clear()
-                out.extend(block.meet(block.residents, own=True))
+                out.extend(block.meet(None))
 
         for batch in batches:
-            tile, part, visitor, fp = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
-            fp = fp.view(np.uint64)
+            tile, part, visitor = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+            items = columns(batch)
             kind = np.stack([tile, part, visitor.astype(np.int64)])
             cuts = np.flatnonzero(np.any(kind[:, 1:] != kind[:, :-1], axis=0)) + 1
-            for lo, hi in itertools.pairwise([0, *cuts.tolist(), len(fp)]):
+            for lo, hi in itertools.pairwise([0, *cuts.tolist(), len(items)]):
                 if lo == hi:
                     continue
                 if (tile[lo], part[lo]) != at:
                     close()
-                    block, at = _Block(radius), (tile[lo], part[lo])
+                    block, at = None, (tile[lo], part[lo])
                 if visitor[lo]:
                     close()
-                    if len(block.residents):
-                        out.extend(block.meet(fp[lo:hi], own=False))
+                    if block:
+                        out.extend(block.meet(items[lo:hi]))
                 else:
-                    pending.append(fp[lo:hi])
+                    pending.append(items[lo:hi])
             yield from flush()
         close()
         yield from flush()
@@ -191,6 +241,10 @@ def _compare(radius: int):
     return run
 
 
+def _one_long(batch: pa.RecordBatch) -> np.ndarray:
+    return batch.column(3).to_numpy().view(np.uint64)[:, None]
+
+
 def links(fingerprints: DataFrame, radius: int = RADIUS) -> DataFrame:
     """A forest (a, b) of the links between distinct fingerprints (column ``fp``) that differ in at most ``radius`` bits.
 
@@ -216,7 +270,7 @@ def links(fingerprints: DataFrame, radius: int = RADIUS) -> DataFrame:
     return (
         met.repartition("tile", "part")
         .sortWithinPartitions("tile", "part", "visitor")
-        .mapInArrow(_compare(radius), "a long, b long")
+        .mapInArrow(_compare(_within(radius), _one_long), "a long, b long")
     )
 
 
@@ -241,6 +295,17 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE_WORDS, radius: int = R
     return marked.join(ids, "fp").select("doc_id", "fp", "component_id")
 
 
+def _one_each(docs: DataFrame, stays: DataFrame) -> DataFrame:
+    """The row with the least text of each doc_id in ``stays``, and all rows without one."""
+    wide = docs.select(F.struct("*").alias("row"), "doc_id", "text")
+    chosen = wide.where("doc_id is not null").join(stays, F.col("doc_id") == F.col("stays"))
+    order = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_last()))
+    return (
+        chosen.withColumn("turn", order).where("turn = 1").select("row.*")
+        .unionByName(wide.where("doc_id is null").select("row.*"))
+    )
+
+
 def drop_near_duplicates(docs: DataFrame, width: int = 5, radius: int = RADIUS) -> DataFrame:
     """One document of each component, that with the least doc_id, with all its columns.
 
@@ -248,11 +313,82 @@ def drop_near_duplicates(docs: DataFrame, width: int = 5, radius: int = RADIUS)
     without an id can't be told apart and stay as they are.
     """
     stays = near_duplicates(docs, width, radius).where("doc_id = component_id").select(F.col("doc_id").alias("stays")).distinct()
-    wide = docs.select(F.struct("*").alias("row"), "doc_id", "text")
-    chosen = wide.where("doc_id is not null").join(stays, F.col("doc_id") == F.col("stays"))
-    order = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_last()))
+    return _one_each(docs, stays)
+
+
+# Near copies: the same comparison with long fingerprints and a wide radius.
+
+
+def copy_fingerprint(text: Column | str, width: int = COPY_WORDS) -> Column:
+    """Shingles n and long fingerprint fp (binary) of each whole text; zeros for a text without words."""
+
+    @F.arrow_udf("struct<n:long,fp:binary>")
+    def of(column: pa.Array) -> pa.Array:
+        wide, n, prints = column.cast(pa.large_binary()), [], []
+        for at in range(0, len(wide), 64):
+            sizes, found = _fingerprints(wide.slice(at, 64).to_pylist(), width, COPY_LONGS)
+            n.append(sizes)
+            prints += [row.tobytes() for row in found]
+        return pa.StructArray.from_arrays([pa.array(np.concatenate([np.empty(0, np.int64), *n])), pa.array(prints, pa.binary())], ["n", "fp"])
+
+    return of(text)
+
+
+def _copies(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows (name, n, fingerprint) that are near copies."""
+    i, j = np.nonzero(np.bitwise_count(a[:, None, 2] ^ b[None, :, 2]) <= COPY_FIRST)
+    if len(i):
+        x, y = a[i], b[j]
+        alike = np.minimum(x[:, 1], y[:, 1]) >= SIMILARITY * np.maximum(x[:, 1], y[:, 1])
+        near = alike & (np.bitwise_count(x[:, 2:] ^ y[:, 2:]).sum(axis=1, dtype=np.int64) <= COPY_RADIUS)
+        i, j = i[near], j[near]
+    return i, j
+
+
+def _copy_columns(batch: pa.RecordBatch) -> np.ndarray:
+    names, n = (batch.column(i).to_numpy().view(np.uint64) for i in (3, 4))
+    prints = np.frombuffer(b"".join(batch.column(5).to_pylist()), np.uint64).reshape(-1, COPY_LONGS)
+    return np.column_stack([names, n, prints])
+
+
+def copy_links(prints: DataFrame) -> DataFrame:
+    """A forest (a, b) of the links between rows (node, n, fp) of different fingerprints that are near copies.
+
+    Texts of which one has less than SIMILARITY of the other's shingles can't share so many. So a tile holds the
+    texts of one band of lengths, a band spans that ratio, and only neighbouring bands meet. Population counts
+    don't rule out pairs at this radius.
+    """
+    # A little more than the ratio, so that rounding puts no pair two bands apart.
+    band = F.when(F.col("n") > 0, F.floor(F.log("n") / -math.log(SIMILARITY - 0.005))).otherwise(-2)
+    tiled = prints.select(band.alias("tile"), "node", "n", "fp")
+    sizes = tiled.groupBy("tile").count().select("tile", F.ceil(F.col("count") / COPY_BLOCK_ROWS).alias("blocks"))
+    # Some hundred bands exist at most, since a text has less than 2 ** 31 words.
+    sizes = materialise(sizes, "bands")
+    item = ["node", "n", "fp"]
+    home = tiled.join(sizes, "tile").withColumn("part", F.pmod(F.xxhash64("fp"), F.col("blocks")))
+    others = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    beside = home.where("blocks > 1").withColumn("other", others).where("other > part").withColumn("part", F.col("other"))
+    above = tiled.withColumn("tile", F.col("tile") + 1).join(sizes, "tile").withColumn("part", others)
+    flat = lambda rows, visitor: rows.select("tile", "part", F.lit(visitor).alias("visitor"), *item)
+    met = flat(home, False).unionByName(flat(beside, True)).unionByName(flat(above, True))
     return (
-        chosen.withColumn("turn", order).where("turn = 1").select("row.*")
-        .unionByName(wide.where("doc_id is null").select("row.*"))
+        met.repartition("tile", "part")
+        .sortWithinPartitions("tile", "part", "visitor")
+        .mapInArrow(_compare(_copies, _copy_columns), "a long, b long")
     )
 
+
+def drop_near_copies(docs: DataFrame, width: int = COPY_WORDS) -> DataFrame:
+    """One document of each group of near copies, that with the least doc_id, with all its columns.
+
+    Documents are linked if their shingles (repeats included) are shared by SIMILARITY or more, as far as long
+    fingerprints tell: COPY_RADIUS bits of them differ at most, COPY_FIRST of the first 64, and the
+    shorter has SIMILARITY of the longer's shingles at least. Equal words make equal documents; texts without words are
+    one group. Rows that share doc_id are one document, of which the one with the least text stays. Documents without an id can't be told
+    apart and stay as they are. An empty table gives an empty one.
+    """
+    marked = materialise(docs.where("doc_id is not null").select("doc_id", copy_fingerprint("text", width).alias("c")).select("doc_id", "c.*"), "copies")
+    first = materialise(marked.groupBy("n", "fp").agg(F.min("doc_id").cast("long").alias("node")), "different")
+    label = connected_components(copy_links(first)).where("node <> component").select("node")
+    stays = first.select("node").distinct().join(label, "node", "left_anti")
+    return _one_each(docs, stays.select(F.col("node").alias("stays")))

@@ -247,6 +247,65 @@ def test_near_dedup_keeps_one_of_each(spark, docs):
     assert [r.component_id for r in nameless] == [None, None]
 
 
+def test_near_copies(spark, monkeypatch):
+    words = LONG[:4000].split()
+    texts = [" ".join(words[:k] + ["other"] + words[k + 1 :]) for k in range(0, 300, 30)]  # one word of some 400 is another
+    texts += [" ".join(words[200:]), " ".join(w[::-1] for w in words), *TEXTS]
+    odd = documents(spark, texts)
+    expected = brute.near_copies(list(enumerate(texts)))
+    assert 0 in expected and not expected & set(range(1, 10)) and {10, 11} <= expected
+    for rows in (65536, 2):  # in one block and in many
+        monkeypatch.setattr(simhash, "COPY_BLOCK_ROWS", rows)
+        kept = simhash.drop_near_copies(odd)
+        assert kept.columns == odd.columns and sorted(r.doc_id for r in kept.collect()) == sorted(expected)
+    nameless = odd.limit(3).withColumn("doc_id", F.lit(None).cast("long"))
+    again = Counter(r.doc_id for r in simhash.drop_near_copies(odd.unionByName(odd).unionByName(nameless)).collect())
+    assert again.pop(None) == 3 and again == Counter(expected)
+    assert simhash.drop_near_copies(empty_like(odd)).count() == 0
+
+
+def test_copies_are_found_by_shared_shingles(docs, texts):
+    kept = {r.doc_id for r in simhash.drop_near_copies(docs).collect()}
+    shingles = {}
+    for i, t in texts.items():
+        words = brute.PLAIN.findall((t or "").translate(brute.LOWER))
+        shingles[i] = Counter(tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))) if words else Counter()
+    holders, pairs = defaultdict(set), set()
+    for i, s in shingles.items():
+        for x in s:
+            holders[x].add(i)
+    for i, s in shingles.items():
+        for j in set().union(*(holders[x] for x in s)) if s else ():
+            if j < i and (s & shingles[j]).total() >= 0.85 * (s | shingles[j]).total():
+                pairs.add((j, i))
+    assert pairs and not {i for _, i in pairs} & kept  # the later one of each pair goes
+    near = {i for i, s in shingles.items() for j in set().union(*(holders[x] for x in s)) if j != i and (s & shingles[j]).total() >= 0.5 * (s | shingles[j]).total()}
+    assert {i for i in texts if shingles[i]} - near <= kept  # no text without a similar one goes
+
+
+def test_forest_of_dense_and_sparse_edges():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    for n, m in ((1, 0), (50, 30), (50, 2000), (400, 350)):
+        x, y = rng.integers(0, n, m), rng.integers(0, n, m)
+        label = np.arange(n)
+        half = m // 2
+        kept = [*simhash._join(label, x[:half], y[:half]), *(half + simhash._join(label, x[half:], y[half:]))]
+        groups = lambda edges: brute_groups(n, edges)
+        every = groups(list(zip(x.tolist(), y.tolist(), strict=True)))
+        assert label.tolist() == every == groups([(int(x[k]), int(y[k])) for k in kept])
+        assert len(kept) == n - len(set(every))
+
+
+def brute_groups(n, edges):
+    label = list(range(n))
+    for a, b in edges:
+        low, high = sorted((label[a], label[b]))
+        label = [low if x == high else x for x in label]
+    return label
+
+
 # --- 4 ---
 
 ITEMS = [(1, "Sentence 3 of the passage that many share, with"), (10, PASSAGE[:300]), (2, "Two words"), (3, None), (4, "  "), (None, "line zero"), (1, "LINE one"), (5, "x1"), (6, "a b a b a b a b a b a b")]
