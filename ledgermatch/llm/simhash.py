@@ -15,7 +15,8 @@ share a fingerprint, so they take part once. A block reports the forest of its l
 
 ``near_duplicates`` links 64-bit fingerprints at three bits. Texts that share 0.8 of their shingles
 lie some ten bits apart, so ``drop_near_copies`` compares fingerprints of 512 bits at a radius
-that is meant for this share; there bands of text lengths take the place of population counts.
+that loses next to none of this share; there bands of text lengths take the place of population counts.
+These links are candidates only: a second pass over the groups that they make compares the shingles themselves.
 """
 
 from __future__ import annotations
@@ -47,14 +48,18 @@ _STEP = np.uint64(0x9E3779B97F4A7C15)
 #: Near copies of whole texts: words of a shingle, and the least share of common shingles.
 COPY_WORDS = 5
 SIMILARITY = 0.8
-#: Longs of their fingerprints; the share is known to about 0.02 from so many bits.
+#: Longs of their fingerprints.
 COPY_LONGS = 8
-#: Differing bits at most; a share of SIMILARITY makes 78 on average, 8 more or less.
-COPY_RADIUS = 88
-#: Of these in the first long, which is compared first: ten on average, three more or less.
-COPY_FIRST = 22
-#: Residents of a block of these.
+#: Differing bits of candidates at most. A share of SIMILARITY makes 78 on average, 8 more or less, and at most 83 if
+#: the shorter text has five shingles or more, 96 if it has four; with fewer only equal shingles share so much.
+COPY_RADIUS = 128
+#: Of these in the first long, which is compared first, and in the first two: ten and twenty on average, three and four more or less.
+COPY_FIRST, COPY_SECOND = 25, 42
+#: Residents of a block of these, and their shingles where those are compared.
 COPY_BLOCK_ROWS = 65536
+COPY_BLOCK_SHINGLES = 1 << 22
+#: Pairs whose shingles are compared before trees that have met are left out.
+COPY_PAIRS = 512
 
 
 #: The bits of each byte value, a lane of eight bits for each.
@@ -92,10 +97,9 @@ def _shingle_hashes(texts: list[bytes | None], width: int) -> tuple[np.ndarray,
     return np.array(hashes, np.uint64), np.array(sizes, np.int64)
 
 
-def _fingerprints(texts: list[bytes | None], width: int, longs: int = 1) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles of each text and its fingerprint, a row of ``longs``; the first comes of the hashes, the others of mixed ones."""
-    hashes, sizes = _shingle_hashes(texts, width)
-    out = np.zeros((len(texts), longs), np.uint64)
+def _fingerprints(hashes: np.ndarray, sizes: np.ndarray, longs: int = 1) -> np.ndarray:
+    """Fingerprint of each text, a row of ``longs``; the first comes of the hashes, the others of mixed ones."""
+    out = np.zeros((len(sizes), longs), np.uint64)
     full = sizes > 0
     if full.any():
         heads = np.concatenate([[0], np.cumsum(sizes[full])[:-1]])
@@ -103,7 +107,7 @@ def _fingerprints(texts: list[bytes | None], width: int, longs: int = 1) -> tupl
             with np.errstate(over="ignore"):
                 own = mix(hashes + np.uint64(k) * _STEP) if k else hashes
             out[full, k] = _fingerprint_bits(own, heads, sizes[full])
-    return sizes, out
+    return out
 
 
 def fingerprint(text: Column | str, width: int = SHINGLE_WORDS) -> Column:
@@ -114,7 +118,7 @@ def fingerprint(text: Column | str, width: int = SHINGLE_WORDS) -> Column:
         wide, out = column.cast(pa.large_binary()), []
         # In small steps: the hashes of many long texts together would be large.
         for at in range(0, len(wide), 64):
-            out.append(_fingerprints(wide.slice(at, 64).to_pylist(), width)[1][:, 0])
+            out.append(_fingerprints(*_shingle_hashes(wide.slice(at, 64).to_pylist(), width))[:, 0])
         return pa.array(np.concatenate([np.empty(0, np.uint64), *out]).view(np.int64))
 
     return of(text)
@@ -188,15 +192,19 @@ class _Block:
                     ordered = lo + i < at + j
                     i, j = i[ordered], j[ordered]
                 if len(i):
-                    kept = _join(label, lo + i, (at if own else n) + j)
-                    yield np.stack([part[i[kept], 0], strip[j[kept], 0]])
+                    kept = self.joins(label, part, strip, i, j, lo, at if own else n)
+                    yield np.stack([part[i[kept], 0], strip[j[kept], 0]]).astype(np.uint64)
             self.label = label[:n]
 
+    def joins(self, label: np.ndarray, part: np.ndarray, strip: np.ndarray, i: np.ndarray, j: np.ndarray, lo: int, at: int) -> np.ndarray:
+        """Which of the linked rows (i of ``part``, from ``lo`` on; j of ``strip``, from ``at`` on) join what was apart."""
+        return _join(label, lo + i, at + j)
+
 
-def _compare(linked: Linked, columns: Callable[[pa.RecordBatch], np.ndarray]):
+def _compare(linked: Linked, columns: Callable[[pa.RecordBatch], np.ndarray], kind_of_block: type[_Block] = _Block):
     """mapInArrow over rows sorted by (tile, block, visitor): links (a, b) between items.
 
-    ``columns`` makes rows of unsigned longs of a batch's columns after those three.
+    ``columns`` makes rows of unsigned longs (or objects) of a batch's columns after those three.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -213,7 +221,7 @@ def _compare(linked: Linked, columns: Callable[[pa.RecordBatch], np.ndarray]):
             """The residents are complete: compare them with each other."""
             nonlocal block
             if pending:
-                block = _Block(linked, np.concatenate(pending))
+                block = kind_of_block(linked, np.concatenate(pending))
                 pending.clear()
                 out.extend(block.meet(None))
 
@@ -316,28 +324,73 @@ def drop_near_duplicates(docs: DataFrame, width: int = 5, radius: int = RADIUS)
     return _one_each(docs, stays)
 
 
-# Near copies: the same comparison with long fingerprints and a wide radius.
+# Near copies: the same comparison with long fingerprints and a wide radius, then with shingles.
+
+
+def _copy_shingles(texts: list[bytes | None], width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the shingles of all texts, a later place of a repeated one by a hash of its own, and how many each text has.
+
+    So a text is a set, and how far fingerprints lie apart depends on shared shingles only, however often some are repeated.
+    """
+    hashes, sizes = _shingle_hashes(texts, width)
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    order = np.lexsort((hashes, row))
+    ordered, row = hashes[order], row[order]
+    new = np.ones(len(order), bool)
+    new[1:] = (ordered[1:] != ordered[:-1]) | (row[1:] != row[:-1])
+    place = np.arange(len(order))
+    place = place - np.maximum.accumulate(np.where(new, place, 0))
+    with np.errstate(over="ignore"):
+        hashes[order] = np.where(new, ordered, mix(mix(ordered) + place.astype(np.uint64) * _STEP))
+    return hashes, sizes
+
+
+_COPY = "struct<n:long,fp:binary,words:binary"
+
+
+def _copy_columns_of(column: pa.Array, width: int, shingles: bool) -> pa.StructArray:
+    wide, n, prints, names, sets = column.cast(pa.large_binary()), [np.empty(0, np.int64)], [], [], []
+    # In small steps: the hashes of many long texts together would be large.
+    for at in range(0, len(wide), 64):
+        texts = wide.slice(at, 64).to_pylist()
+        hashes, sizes = _copy_shingles(texts, width)
+        n.append(sizes)
+        prints += [row.tobytes() for row in _fingerprints(hashes, sizes, COPY_LONGS)]
+        names += [xxhash.xxh128_digest(b" ".join((t or b"").lower().split()), SEED) for t in texts]
+        if shingles:
+            sets += [np.sort(x).tobytes() for x in np.split(hashes, np.cumsum(sizes)[:-1])]
+    fields = {"n": pa.array(np.concatenate(n)), "fp": pa.array(prints, pa.binary()), "words": pa.array(names, pa.binary())}
+    if shingles:
+        fields["shingles"] = pa.array(sets, pa.binary())
+    return pa.StructArray.from_arrays(list(fields.values()), list(fields))
 
 
 def copy_fingerprint(text: Column | str, width: int = COPY_WORDS) -> Column:
-    """Shingles n and long fingerprint fp (binary) of each whole text; zeros for a text without words."""
+    """Shingles n, long fingerprint fp (binary) and a hash ``words`` of the words of each whole text; zeros for a text without words."""
 
-    @F.arrow_udf("struct<n:long,fp:binary>")
+    @F.arrow_udf(_COPY + ">")
     def of(column: pa.Array) -> pa.Array:
-        wide, n, prints = column.cast(pa.large_binary()), [], []
-        for at in range(0, len(wide), 64):
-            sizes, found = _fingerprints(wide.slice(at, 64).to_pylist(), width, COPY_LONGS)
-            n.append(sizes)
-            prints += [row.tobytes() for row in found]
-        return pa.StructArray.from_arrays([pa.array(np.concatenate([np.empty(0, np.int64), *n])), pa.array(prints, pa.binary())], ["n", "fp"])
+        return _copy_columns_of(column, width, shingles=False)
+
+    return of(text)
+
+
+def copy_shingles(text: Column | str, width: int = COPY_WORDS) -> Column:
+    """The same, and the sorted hashes of all shingles (binary)."""
+
+    @F.arrow_udf(_COPY + ",shingles:binary>")
+    def of(column: pa.Array) -> pa.Array:
+        return _copy_columns_of(column, width, shingles=True)
 
     return of(text)
 
 
 def _copies(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Rows (name, n, fingerprint) that are near copies."""
+    """Rows (name, n, fingerprint) that may be near copies."""
     i, j = np.nonzero(np.bitwise_count(a[:, None, 2] ^ b[None, :, 2]) <= COPY_FIRST)
     if len(i):
+        apart = np.bitwise_count(a[i, 2] ^ b[j, 2]) + np.bitwise_count(a[i, 3] ^ b[j, 3])
+        i, j = i[apart <= COPY_SECOND], j[apart <= COPY_SECOND]
         x, y = a[i], b[j]
         alike = np.minimum(x[:, 1], y[:, 1]) >= SIMILARITY * np.maximum(x[:, 1], y[:, 1])
         near = alike & (np.bitwise_count(x[:, 2:] ^ y[:, 2:]).sum(axis=1, dtype=np.int64) <= COPY_RADIUS)
@@ -351,8 +404,58 @@ def _copy_columns(batch: pa.RecordBatch) -> np.ndarray:
     return np.column_stack([names, n, prints])
 
 
-def copy_links(prints: DataFrame) -> DataFrame:
-    """A forest (a, b) of the links between rows (node, n, fp) of different fingerprints that are near copies.
+def _true_copies(a: bytes, b: bytes) -> bool:
+    """Whether two sets of shingles share SIMILARITY, in whole numbers."""
+    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * both >= round(100 * SIMILARITY) * (len(x) + len(y) - both)
+
+
+class _Verified(_Block):
+    """A block of candidates (name, n, fingerprint, shingles, as objects) whose links need a true share of SIMILARITY."""
+
+    def joins(self, label: np.ndarray, part: np.ndarray, strip: np.ndarray, i: np.ndarray, j: np.ndarray, lo: int, at: int) -> np.ndarray:
+        x, y, kept = lo + i, at + j, [np.empty(0, np.int64)]
+        rest = np.arange(len(i))
+        while len(rest):
+            rest = rest[label[x[rest]] != label[y[rest]]]  # all others are in one tree by now
+            now, rest = rest[:COPY_PAIRS], rest[COPY_PAIRS:]
+            true = now[[_true_copies(part[i[k], -1], strip[j[k], -1]) for k in now]] if len(now) else now
+            kept.append(true[_join(label, x[true], y[true])])
+        return np.concatenate(kept)
+
+
+def _shingled(batch: pa.RecordBatch) -> np.ndarray:
+    rows = _copy_columns(batch)
+    out = np.empty((len(rows), rows.shape[1] + 1), object)
+    out[:, :-1] = rows
+    out[:, -1] = batch.column(6).to_pylist()
+    return out
+
+
+def _candidates_of(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return _copies(a[:, :-1].astype(np.uint64), b[:, :-1].astype(np.uint64))
+
+
+def _blocks(tiled: DataFrame, size: Column, name: str) -> DataFrame:
+    """Number of blocks of each tile, as a table."""
+    return materialise(tiled.groupBy("tile").agg(F.ceil(size).alias("blocks")), name)
+
+
+def _met(tiled: DataFrame, sizes: DataFrame, item: list[str], above: bool) -> DataFrame:
+    """Rows (tile, part, visitor, *item), sorted: residents of each block, and visitors of later blocks of the tile and (``above``) of the next one."""
+    home = tiled.join(sizes, "tile").withColumn("part", F.pmod(F.xxhash64("fp", "words"), F.col("blocks")))
+    others = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    flat = lambda rows, visitor: rows.select("tile", "part", F.lit(visitor).alias("visitor"), *item)
+    beside = home.where("blocks > 1").withColumn("other", others).where("other > part").withColumn("part", F.col("other"))
+    met = flat(home, False).unionByName(flat(beside, True))
+    if above:
+        met = met.unionByName(flat(tiled.withColumn("tile", F.col("tile") + 1).join(sizes, "tile").withColumn("part", others), True))
+    return met.repartition("tile", "part").sortWithinPartitions("tile", "part", "visitor")
+
+
+def copy_candidates(prints: DataFrame) -> DataFrame:
+    """A forest (a, b) of the links between rows (node, n, fp, words) of different texts that may be near copies.
 
     Texts of which one has less than SIMILARITY of the other's shingles can't share so many. So a tile holds the
     texts of one band of lengths, a band spans that ratio, and only neighbouring bands meet. Population counts
@@ -360,35 +463,40 @@ def copy_links(prints: DataFrame) -> DataFrame:
     """
     # A little more than the ratio, so that rounding puts no pair two bands apart.
     band = F.when(F.col("n") > 0, F.floor(F.log("n") / -math.log(SIMILARITY - 0.005))).otherwise(-2)
-    tiled = prints.select(band.alias("tile"), "node", "n", "fp")
-    sizes = tiled.groupBy("tile").count().select("tile", F.ceil(F.col("count") / COPY_BLOCK_ROWS).alias("blocks"))
+    tiled = prints.select(band.alias("tile"), "node", "n", "fp", "words")
     # Some hundred bands exist at most, since a text has less than 2 ** 31 words.
-    sizes = materialise(sizes, "bands")
-    item = ["node", "n", "fp"]
-    home = tiled.join(sizes, "tile").withColumn("part", F.pmod(F.xxhash64("fp"), F.col("blocks")))
-    others = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    beside = home.where("blocks > 1").withColumn("other", others).where("other > part").withColumn("part", F.col("other"))
-    above = tiled.withColumn("tile", F.col("tile") + 1).join(sizes, "tile").withColumn("part", others)
-    flat = lambda rows, visitor: rows.select("tile", "part", F.lit(visitor).alias("visitor"), *item)
-    met = flat(home, False).unionByName(flat(beside, True)).unionByName(flat(above, True))
-    return (
-        met.repartition("tile", "part")
-        .sortWithinPartitions("tile", "part", "visitor")
-        .mapInArrow(_compare(_copies, _copy_columns), "a long, b long")
-    )
+    sizes = _blocks(tiled, F.count("*") / COPY_BLOCK_ROWS, "bands")
+    return _met(tiled, sizes, ["node", "n", "fp"], above=True).mapInArrow(_compare(_copies, _copy_columns), "a long, b long")
+
+
+def copy_links(items: DataFrame) -> DataFrame:
+    """A forest (a, b) of the links between rows (component, node, n, fp, words, shingles) that share SIMILARITY of their shingles.
+
+    A tile holds the texts that candidates connect, so no link is between two tiles. All candidates of a tile are
+    verified, but for pairs that true links have connected already.
+    """
+    tiled = items.withColumnRenamed("component", "tile")
+    size = F.greatest(F.count("*") / COPY_BLOCK_ROWS, F.sum("n") / COPY_BLOCK_SHINGLES)
+    sizes = _blocks(tiled, size, "groups")
+    return _met(tiled, sizes, ["node", "n", "fp", "shingles"], above=False).mapInArrow(_compare(_candidates_of, _shingled, _Verified), "a long, b long")
 
 
 def drop_near_copies(docs: DataFrame, width: int = COPY_WORDS) -> DataFrame:
     """One document of each group of near copies, that with the least doc_id, with all its columns.
 
-    Documents are linked if their shingles (repeats included) are shared by SIMILARITY or more, as far as long
-    fingerprints tell: COPY_RADIUS bits of them differ at most, COPY_FIRST of the first 64, and the
-    shorter has SIMILARITY of the longer's shingles at least. Equal words make equal documents; texts without words are
+    Documents are linked if SIMILARITY or more of their shingles (repeats included) are shared; groups are what links
+    connect. Long fingerprints find the candidates (COPY_RADIUS bits of them differ at most, some five deviations more
+    than that share makes), their shingles decide. Equal words make equal documents; texts without words are
     one group. Rows that share doc_id are one document, of which the one with the least text stays. Documents without an id can't be told
     apart and stay as they are. An empty table gives an empty one.
     """
-    marked = materialise(docs.where("doc_id is not null").select("doc_id", copy_fingerprint("text", width).alias("c")).select("doc_id", "c.*"), "copies")
-    first = materialise(marked.groupBy("n", "fp").agg(F.min("doc_id").cast("long").alias("node")), "different")
-    label = connected_components(copy_links(first)).where("node <> component").select("node")
+    named = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("node"), "text")
+    marked = materialise(named.select("node", copy_fingerprint("text", width).alias("c")).select("node", "c.*"), "copies")
+    first = materialise(marked.groupBy("n", "fp", "words").agg(F.min("node").alias("node")), "different")
+    # Texts that have a candidate are few; only they are cut into shingles again.
+    wanted = materialise(first.join(connected_components(copy_candidates(first)), "node").select("node", "words", "component"), "candidates")
+    again = named.join(wanted.select("node").distinct(), "node").distinct().select("node", copy_shingles("text", width).alias("c"))
+    items = materialise(again.select("node", "c.*").join(wanted, ["node", "words"]).dropDuplicates(["node", "words"]), "shingles")
+    label = connected_components(copy_links(items)).where("node <> component").select("node")
     stays = first.select("node").distinct().join(label, "node", "left_anti")
     return _one_each(docs, stays.select(F.col("node").alias("stays")))

@@ -283,6 +283,29 @@ def test_copies_are_found_by_shared_shingles(docs, texts):
     assert {i for i in texts if shingles[i]} - near <= kept  # no text without a similar one goes
 
 
+def test_copies_are_exactly_those_that_share_enough(spark, monkeypatch):
+    """Pairs at, just above and below a share of 0.8, by counted shingles; also with a shingle repeated often."""
+    import numpy as np
+
+    rng = np.random.default_rng(11)
+    texts, linked = [], []
+    for common, own in ((8, 1), (16, 2), (16, 3), (64, 8), (64, 9), (64, 12), (200, 25), (200, 26), (200, 40)):
+        for _ in range(30):  # words are shared up to one point, so shingles are too
+            words = rng.integers(0, 1 << 40, common + 4 + 2 * own).astype(str).tolist()
+            start = words[: common + 4]
+            texts += [" ".join(start + words[common + 4 : common + 4 + own]), " ".join(start + words[common + 4 + own :])]
+            linked.append(common >= 0.8 * (common + 2 * own))
+    head = rng.integers(0, 1 << 40, 404).astype(str).tolist()
+    texts += [" ".join(head), " ".join(head + ["again"] * 90)]  # 400 of 490: shared, though one shingle is there 86 times
+    linked.append(True)
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for size in (1 << 22, 300):
+        monkeypatch.setattr(simhash, "COPY_BLOCK_SHINGLES", size)
+        kept = {r.doc_id for r in simhash.drop_near_copies(rows).collect()}
+        assert kept >= set(range(0, len(texts), 2))
+        assert [2 * k + 1 not in kept for k in range(len(linked))] == linked
+
+
 def test_forest_of_dense_and_sparse_edges():
     import numpy as np
 
