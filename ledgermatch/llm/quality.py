@@ -42,22 +42,26 @@ OWN_FENCE_ROWS = 50
 
 @dataclass(frozen=True)
 class Rule:
-    """Reject where ``rate`` > q75 + reach * (q75 - q50) + slack, or below the mirror image of it if ``low``."""
+    """Reject where ``rate`` > q75 + reach * (q98 - q75) + slack, or below the mirror image of it if ``low``.
+
+    The room is the group's own: q98 is above zero as soon as one text in fifty has any of what the rate counts.
+    ``slack`` only keeps a single symbol, or a rounded bin, from deciding.
+    """
 
     name: str
     rate: str
-    slack: float
-    reach: float = 4.0
+    slack: float = 0.02
+    reach: float = 1.5
     low: bool = False
 
 
 RULES = [
     Rule("word_length", "word_chars / n_words", 1.0, low=True),
-    Rule("symbols", "n_symbols / n_words", 0.25),
-    Rule("dup_lines", "n_dup_lines / n_lines", 0.45),
-    Rule("repeats", "n_repeat_words / n_words", 0.28),
-    Rule("capitals", "n_capitals / word_chars", 0.2),
-    Rule("marks", "n_marks / n_words", 0.25),
+    Rule("symbols", "n_symbols / n_words"),
+    Rule("dup_lines", "n_dup_lines / n_lines"),
+    Rule("repeats", "n_repeat_words / n_words"),
+    Rule("capitals", "n_capitals / word_chars"),
+    Rule("marks", "n_marks / n_words"),
 ]
 
 
@@ -144,7 +148,7 @@ def merge(sketch: DataFrame, *keys: str) -> DataFrame:
 
 
 def quantiles(sketch: DataFrame, *keys: str) -> DataFrame:
-    """Rows of keys, rule, rows and the quantiles q25, q50 and q75 of each sketch."""
+    """Rows of keys, rule, rows and the quantiles q2, q25, q50, q75 and q98 of each sketch."""
     group = Window.partitionBy(*keys, "rule")
     upto = group.orderBy(F.col("bin").asc_nulls_first())
     value = F.when(F.col("bin").isNull(), 0.0).otherwise(F.pow(F.lit(1 + ACCURACY), F.col("bin")) * (2 / (2 + ACCURACY)))
@@ -153,7 +157,7 @@ def quantiles(sketch: DataFrame, *keys: str) -> DataFrame:
     )
     return running.groupBy(*keys, "rule").agg(
         F.max("rows").alias("rows"),
-        *(F.min(F.when(F.col("upto") >= F.col("rows") * q, F.col("value"))).alias(f"q{int(100 * q)}") for q in (0.25, 0.5, 0.75)),
+        *(F.min(F.when(F.col("upto") >= F.col("rows") * q, F.col("value"))).alias(f"q{round(100 * q)}") for q in (0.02, 0.25, 0.5, 0.75, 0.98)),
     )
 
 
@@ -162,8 +166,9 @@ def _fence(rows: DataFrame, *keys: str) -> DataFrame:
     by_rule = lambda values: F.element_at(F.array(*(F.lit(float(v)) for v in values)), F.col("rule") + 1)
     slack, reach = by_rule(r.slack for r in RULES), by_rule(r.reach for r in RULES)
     low = F.element_at(F.array(*(F.lit(r.low) for r in RULES)), F.col("rule") + 1)
-    high = F.col("q75") + reach * (F.col("q75") - F.col("q50")) + slack
-    floor = F.when(low, F.col("q25") - reach * (F.col("q50") - F.col("q25")) - slack)
+    # A bin's value may be ACCURACY / 2 below or above those of its texts.
+    high = (F.col("q75") + reach * (F.col("q98") - F.col("q75"))) * (1 + ACCURACY) + slack
+    floor = F.when(low, (F.col("q25") - reach * (F.col("q25") - F.col("q2"))) * (1 - ACCURACY) - slack)
     return rows.groupBy(*keys).agg(
         F.max("rows").alias("rows"),
         F.map_from_entries(F.collect_list(F.struct("rule", F.struct(floor.alias("low"), high.alias("high"))))).alias("fence"),

@@ -168,6 +168,30 @@ def test_quality_fences_follow_the_source(spark):
     assert all(kept for (kept,) in got.values())
 
 
+def test_kept_follows_the_repeats_of_each_source(spark):
+    """Against a plain version: what is usual in one source is too much in another, and small groups take wider fences."""
+    import math
+
+    def text(i, repeated):  # 100 words, of which ``repeated`` are in windows that occur twice
+        head = [f"a{i}x{k}" for k in range(repeated // 2)]
+        return " ".join(head + head + [f"b{i}x{k}" for k in range(100 - 2 * len(head))])
+
+    rates = {"plain": [0] * 198 + [18, 26], "some": [0] * 140 + [16, 18, 20] * 20, "most": [20, 22, 24, 26] * 50, "few": [0] * 10 + [26]}
+    rows = [(s, r) for s, of in rates.items() for r in of]
+    docs = spark.createDataFrame([(i, text(i, r), "en", s) for i, (s, r) in enumerate(rows)], "doc_id long, text string, lang string, source string")
+    got = {r.doc_id: r.kept for r in quality.judged(docs, "doc_id").where("not base_failed").collect()}
+    assert len(got) == len(rows)
+
+    def fence(values):
+        at = lambda q: sorted(values)[math.ceil(q * len(values) - 1e-9) - 1]
+        return at(0.75) + 1.5 * (at(0.98) - at(0.75)) + 2  # per cent; bins are 2 % wide, which is less than the steps here
+
+    every = [r for _, r in rows]
+    wanted = [r <= 1.02 * fence(rates[s] if len(rates[s]) >= 50 else every) for s, r in rows]
+    assert [got[i] for i in range(len(rows))] == wanted
+    assert [r for (s, r), k in zip(rows, wanted, strict=True) if not k] == [18, 26]
+
+
 def test_sketches_merge_and_bound_the_error(spark):
     import numpy as np
 
