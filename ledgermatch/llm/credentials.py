@@ -37,7 +37,7 @@ ASSIGN_LENGTH, ACCESS_LENGTH = 6, 20
 #: Weak kinds in the order in which they follow the base kinds.
 WEAK = {
     "account": re.compile(r"""\b(?:user|username|login|account|client_?id|access_?key(?:_?id)?)["']?\x20*[:=]\x20*["']?([A-Za-z0-9@._-]{3,})""", re.IGNORECASE | re.ASCII),
-    "opaque": re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z0-9+/_-]*[a-z])(?=[A-Za-z0-9+/_-]*[A-Z])(?=[A-Za-z0-9+/_-]*[0-9])[A-Za-z0-9+/_-]{16,128}={0,2}(?![A-Za-z0-9+/_=-])"),
+    "opaque": re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z0-9+/_-]*[a-z])(?=[A-Za-z0-9+/_-]*[A-Z])(?=[A-Za-z0-9+/_-]*[0-9])[A-Za-z0-9+/_-]{16,}+={0,2}+(?![A-Za-z0-9+/_=-])"),
     "endpoint": re.compile(r"\bhttps?://[A-Za-z0-9.-]+(?::[0-9]{2,5})?(?:/[^\s\"'<>]*)?|\b[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+:[0-9]{2,5}\b", re.ASCII),
 }
 BASE = ["assign", "access", "hex"]
