@@ -4,7 +4,8 @@ Base kinds are patterns that are telling by themselves. Weak kinds (an account
 name, a long mixed token, an address) are everywhere in harmless text, so they are reported only
 next to their complement: parts of one scope whose intervals lie within ``REACH`` code
 points. An identifier needs a secret, a secret needs an identifier, an address needs both.
-A scope is a block of lines between blank lines.
+A scope is a block of lines between blank lines. Parts may overlap: an address that holds a token, an
+account name with a long hexadecimal value; only what a base span covers completely is no part of its own.
 
 Extraction is a small per-text helper. Linking is an interval join on Spark: the parts of a scope
 in order, with running maxima and minima of the ends of their complements, so no pair of
@@ -81,8 +82,8 @@ def find(text: str) -> list[dict]:
         return out
     out.sort(key=lambda s: (s[1], s[0]))
     strong = [s for s in out if s[0] < len(BASE)]
-    # What a base span already covers is no weak candidate as well.
-    out = [s for s in out if s[0] < len(BASE) or not any(b[1] < s[2] and s[1] < b[2] for b in _around(strong, s))]
+    # What one base span covers completely is no weak candidate as well.
+    out = [s for s in out if s[0] < len(BASE) or not any(b[1] <= s[1] and s[2] <= b[2] for b in _around(strong, s))]
     cuts, scope, found = [m.start() for m in _BLANK.finditer(text)], 0, []
     for kind, first, last in out:
         while scope < len(cuts) and cuts[scope] < first:

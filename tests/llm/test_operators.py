@@ -472,6 +472,20 @@ def test_opaque_secrets_of_any_length(spark):
         assert got == {1: f"account:0:14,opaque:15:{17 + n}", 2: f"access:0:20,opaque:21:{21 + n}", 3: ""}
 
 
+def test_weak_parts_that_overlap_base_spans(spark):
+    run = "0123456789abcdef01234567"
+    cases = {
+        "user=meg https://api.example.com/v1?token=abcdef12": "account:0:8,endpoint:9:50,assign:36:50",
+        f"user=meg https://db.example.com/{run}": "account:0:8,endpoint:9:56,hex:32:56",
+        f"login: someone Xy9Z{run}Zz": "account:0:14,opaque:15:45,hex:19:43",
+        f"Xy9Z{run}Zz alone": "hex:4:28",
+        f"login: someone token=Xy9Z{run}Zz": "account:0:14,assign:15:51,hex:25:49",  # a base span covers the opaque one
+    }
+    rows = spark.createDataFrame(list(enumerate(cases)), "doc_id long, text string")
+    got = {r.doc_id: r.s for r in credentials.scan_secrets(rows).select("doc_id", credentials.as_text(F.col("all_spans")).alias("s")).collect()}
+    assert [got[i] for i in range(len(cases))] == list(cases.values())
+
+
 # --- 8 ---
 
 
