@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgermatch.llm import credentials, decontaminate, lines, mixing, perspectives, quality, repeats, simhash, toxicity, warc
+from ledgermatch.llm import balltree, credentials, decontaminate, lines, mixing, periodic, perspectives, quality, repeats, simhash, toxicity, warc
 from ledgermatch.llm.shared import table
 
 
@@ -74,10 +74,43 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", F.when(F.col("score") >= 0.5, 1).otherwise(0))
 
 
+def op12_balltree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return balltree.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def _with_periods(docs: DataFrame) -> DataFrame:
+    """Documents of which each tenth repeats its words with a period that its doc_id gives (none without doc_id)."""
+    crc = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = F.when(crc % 10 == 0, F.regexp_extract_all("text", F.lit(f"({WORD2})"), F.lit(1)))
+    told = docs.select("doc_id", "text", words.alias("words"), F.floor(crc / 10).alias("g"))
+    n = F.size("words")
+    shaped = told.withColumn("a", F.col("g") % F.greatest(n, F.lit(1))).withColumn("p", 1 + F.floor((n - F.col("a")) / (3 + F.col("g") % 8)))
+    place = lambda i: F.when(i < F.col("a"), i).otherwise(F.col("a") + (i - F.col("a")) % F.col("p"))
+    periodic_text = F.array_join(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.get("words", place(i))), " ")
+    return shaped.select("doc_id", F.when(n > 0, periodic_text).otherwise(F.col("text")).alias("text"))
+
+
+def op13_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic.find_runs(_with_periods(table(spark, sf_dir, "documents")), "doc_id")
+    best = periodic.strongest(F.col("runs"))
+    listed = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])), "\n")
+    return found.withColumn("best", best).select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        "best.*",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(F.when(F.size("runs") > 0, F.concat(listed, F.lit("\n"))).otherwise(F.lit("")), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_warc, op2_quality, op3_simhash, op4_decontaminate, op5_repeats, op6_lines, op7_secrets, op8_perspectives, op9_mixing, op10_toxicity)
-}
+    for f in (
+        op1_warc, op2_quality, op3_simhash, op4_decontaminate, op5_repeats, op6_lines, op7_secrets, op8_perspectives, op9_mixing, op10_toxicity,
+        op12_balltree, op13_periodic,
+    )
+}
 
 WORD4 = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WORD2 = r"[^\x20\x09-\x0D]+"
@@ -125,6 +158,25 @@ with l as (
   from l left join gone on gone.doc_id = l.doc_id and gone.pos = l.pos group by l.doc_id
 )
 select d.doc_id, coalesce(n_lines, 0) as n_lines, coalesce(n_removed, 0) as n_removed, sha256(kept) as kept_sha256 from documents d left join k using (doc_id)""",
+    "op12_balltree": r"""
+with d as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') as w from documents
+), b as (
+  select item_id, t, count(*) as c from (
+    select item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as t from benchmark
+  ) group by item_id, t
+), s as (select count(*) as nn, cast(sum(len(w)) as bigint) as ll from d where len(w) > 0
+), tf as (
+  select doc_id, n, t, count(*) as tf from (select doc_id, len(w) as n, unnest(w) as t from d) where t in (select t from b) group by doc_id, n, t
+), weight as (
+  select t, cast(floor(1000 * ln((2 * any_value(nn) + 2) / (2 * count(*) + 1))) as bigint) as weight from tf, s group by t
+), scored as (
+  select item_id, doc_id, cast(sum(c * weight * ((1000000000 * tf) // (1000 * tf + 12 * (100 - 25 + (25 * n * nn) // ll)))) as bigint) as score
+  from tf join weight using (t) join b using (t), s group by item_id, doc_id
+), ranked as (
+  select item_id, cast(row_number() over (partition by item_id order by score desc, doc_id) as integer) as rank, doc_id, score from scored where score > 0
+)
+select * from ranked where rank <= 20""",
     "op8_perspectives": r"""
 with t as (
   select conv_id, turn, role, role = 'system' as shared, text, cast(floor(turn / 1024) as bigint) as part
