@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgermatch.llm import balltree, credentials, decontaminate, lines, mixing, periodic, perspectives, quality, repeats, simhash, toxicity, warc
+from ledgermatch.llm import balltree, credentials, decontaminate, langid, lines, mixing, periodic, perspectives, quality, repeats, simhash, toxicity, warc
 from ledgermatch.llm.shared import table
 
 
@@ -74,6 +74,11 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", F.when(F.col("score") >= 0.5, 1).otherwise(0))
 
 
+def op11_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return langid.identify(docs, langid.train(docs)).select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op12_balltree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return balltree.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -108,7 +113,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_warc, op2_quality, op3_simhash, op4_decontaminate, op5_repeats, op6_lines, op7_secrets, op8_perspectives, op9_mixing, op10_toxicity,
-        op12_balltree, op13_periodic,
+        op11_langid, op12_balltree, op13_periodic,
     )
 }
 
