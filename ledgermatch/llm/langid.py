@@ -149,7 +149,7 @@ def train(docs: DataFrame, rows: int = LANG_ROWS) -> Model:
     number = F.row_number().over(Window.partitionBy("lang").orderBy("dice"))
     cut = known.select("lang", "dice").distinct().withColumn("number", number).where(F.col("number") <= rows)
     cut = materialise(cut.groupBy("lang").agg(F.max("dice").alias("cut")), "cuts")
-    drawn = known.join(F.broadcast(cut), "lang").where("dice <= cut").select("lang", "text", "dice").dropDuplicates(["lang", "dice"])
+    drawn = known.join(cut, "lang").where("dice <= cut").select("lang", "text", "dice").dropDuplicates(["lang", "dice"])
     drawn = materialise(drawn.select("lang", "text"), "sample")
     frequency = {r.lang: r["count"] for r in known.groupBy("lang").count().collect()}  # one row per language
     counted = drawn.mapInArrow(_count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).collect()  # bounded by BUCKETS
