@@ -7,14 +7,14 @@ language; the text's language is the one that most letters lie in.
 
 The n-gram counts come from ``LANG_ROWS`` texts a language at most, drawn by hash from the rows that may be
 learnt from. They are kept in ``BUCKETS`` buckets, so a model has BUCKETS numbers per language, whatever the
-corpus. The texts of a batch step through Viterbi together, one word of each at a time.
+corpus. N-grams are made in bulk, on the code points of many texts at once; the texts of a batch step through
+Viterbi together, one word of each at a time.
 """
 
 from __future__ import annotations
 
-import bisect
+import functools
 import re
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -25,13 +25,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ledgermatch.llm.batches import mix, powers_at
 from ledgermatch.llm.shared import materialise
 
 #: Texts per language that counts are taken from at most.
 LANG_ROWS = 4000
 BUCKETS = 1 << 16
-#: Letters of an n-gram (beginning and end of a word count as one), beside whole words.
-GRAMS = (2, 3, 4)
+#: Letters of the longest n-grams (from 2 on; beginning and end of a word count as one); whole words are counted beside them.
+GRAM = 4
 #: Added to every count.
 SMOOTHING = 0.05
 #: A letter lies in several n-grams, so their sum says too much: it is weighed by this.
@@ -42,8 +43,8 @@ SWITCH, OTHER_SCRIPT = 6.0, 60.0
 SCRIPT_SHARE = 0.005
 UNKNOWN = "und"
 SEED = 11
-#: Words times languages that are worked on at once, and words that are remembered.
-STEP_CELLS, REMEMBERED = 1 << 22, 200_000
+#: Letters times languages that are scored at once, and words times languages that step through Viterbi together.
+SCORE_CELLS, STEP_CELLS = 1 << 22, 1 << 23
 
 # --- fixed values: first and last code point of the letters of each script ---
 SCRIPTS = {
@@ -76,51 +77,121 @@ SCRIPTS = {
     "Han": [(0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x3FFFF)],
 }
 # --- end of fixed values ---
-_RANGES = sorted((first, last, i) for i, ranges in enumerate(SCRIPTS.values()) for first, last in ranges)
-_FIRSTS = [r[0] for r in _RANGES]
 OTHER = len(SCRIPTS)
 _WORD = re.compile(r"\S+")
+_SIGN, _BLANK, _LETTER = 0, 1, 2
+_BEGIN, _END = 1, 2
+
+
+@functools.cache
+def _kinds() -> np.ndarray:
+    """For every code point: a sign, a blank, or _LETTER and the number of the script (OTHER where no range holds it)."""
+    script = np.full(0x110000, OTHER, np.uint8)
+    for i, ranges in enumerate(SCRIPTS.values()):
+        for first, last in ranges:
+            script[first : last + 1] = i
+    out = np.zeros(0x110000, np.uint8)
+    for code in range(0x110000):
+        c = chr(code)
+        out[code] = _LETTER + script[code] if c.isalpha() else _BLANK if c.isspace() else _SIGN
+    return out
 
 
 def script_of(letter: str) -> int:
     """Number of the script of a letter; OTHER where no range holds it."""
-    code = ord(letter)
-    at = bisect.bisect_right(_FIRSTS, code) - 1
-    return _RANGES[at][2] if at >= 0 and code <= _RANGES[at][1] else OTHER
-
-
-def letters_of(word: str) -> str:
-    return word.lower() if word.isalpha() else "".join(c for c in word.lower() if c.isalpha())
+    return int(_kinds()[ord(letter)]) - _LETTER
 
 
-def buckets_of(letters: str) -> list[int]:
-    """Buckets of the n-grams of a word, and of the whole word."""
-    framed = f"<{letters}>"
-    grams = [framed[i : i + n] for n in GRAMS for i in range(len(framed) - n + 1)]
-    if len(framed) > max(GRAMS):
-        grams.append(framed)
-    return [zlib.crc32(g.encode()) % BUCKETS for g in grams]
+class Words:
+    """The words of some texts: how many each text has, and for each word its letters, script and n-grams.
 
+    A word's letters stand framed in one flat array; a word without letters has no frame.
+    """
 
-def _script_in(letters: str) -> int:
-    """The script of most of a word's letters, of equal ones the first to occur."""
-    return Counter(map(script_of, letters)).most_common(1)[0][0]
+    def __init__(self, texts: list[str | None]) -> None:
+        lowered = [(t or "").lower() for t in texts]
+        codes = np.frombuffer("\n".join([*lowered, ""]).encode("utf-32-le"), np.uint32)
+        kind = _kinds()[codes]
+        solid = kind != _BLANK
+        first = solid.copy()
+        first[1:] &= ~solid[:-1]
+        starts = np.flatnonzero(first)
+        ends = np.cumsum([len(t) + 1 for t in lowered])
+        self.bounds = np.append(0, np.searchsorted(starts, ends))
+        at = np.flatnonzero(kind >= _LETTER)
+        of = np.cumsum(first)[at] - 1  # word of each letter
+        self.letters = np.bincount(of, minlength=len(starts))
+        #: The words with letters, and where the frame of each begins.
+        self.framed = np.flatnonzero(self.letters)
+        sizes = self.letters[self.framed] + 2
+        self.heads = np.cumsum(sizes) - sizes
+        self.sizes = sizes
+        place = np.repeat(np.arange(len(sizes)), sizes - 2)
+        flat = np.zeros(int(sizes.sum()), np.uint64)
+        flat[self.heads] = _BEGIN
+        flat[self.heads + sizes - 1] = _END
+        flat[np.arange(len(at)) + 2 * place + 1] = codes[at]
+        self.flat = flat
+        self.script = self._scripts(kind[at].astype(np.int64) - _LETTER)
+
+    def _scripts(self, script: np.ndarray) -> np.ndarray:
+        """The script of most letters of each framed word, of equal ones the first to occur."""
+        if not len(self.heads):
+            return np.empty(0, np.int64)
+        lo = self.heads - 2 * np.arange(len(self.heads))
+        out = script[lo]
+        for i in np.flatnonzero(np.minimum.reduceat(script, lo) != np.maximum.reduceat(script, lo)):
+            mine = script[lo[i] : lo[i] + self.sizes[i] - 2].tolist()
+            out[i] = Counter(mine).most_common(1)[0][0]
+        return out
+
+    def buckets(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Per kind of n-gram its bucket at every place (BUCKETS where none begins), and the first place of each framed word."""
+        flat, shift = self.flat, np.uint64(64 - BUCKETS.bit_length() + 1)
+        if not len(flat):
+            return
+        word = np.repeat(np.arange(len(self.heads)), self.sizes)
+        grams = flat
+        with np.errstate(over="ignore"):
+            for n in range(2, GRAM + 1):
+                grams = grams[:-1] * np.uint64(0x9E3779B97F4A7C15) + flat[n - 1 :]
+                bucket = np.full(len(flat), BUCKETS, np.int64)
+                inside = word[: len(grams)] == word[n - 1 :]
+                bucket[: len(grams)] = np.where(inside, (mix(grams + np.uint64(n)) >> shift).astype(np.int64), BUCKETS)
+                yield bucket, self.heads
+            # Longer words as a whole; where two of them clash they share a bucket, no more.
+            whole = np.add.reduceat((flat + np.uint64(1)) * powers_at(np.arange(len(flat)) - self.heads[word]), self.heads)
+        yield np.where(self.sizes > GRAM, (mix(whole) >> shift).astype(np.int64), BUCKETS), np.arange(len(self.heads))
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (lang, text) to (lang, bucket, n); scripts have the buckets from BUCKETS on, their letters are counted."""
-    words: dict[str, Counter] = {}
+    sums: dict[str, np.ndarray] = {}
     for batch in batches:
-        for lang, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            words.setdefault(lang, Counter()).update((text.as_py() or "").split())
-    for lang, counted in words.items():
-        sums = np.zeros(BUCKETS + OTHER + 1, np.int64)
-        for word, n in counted.items():
-            if letters := letters_of(word):
-                np.add.at(sums, buckets_of(letters), n)
-                sums[BUCKETS + _script_in(letters)] += n * len(letters)
-        used = np.flatnonzero(sums)
-        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(used)), pa.array(used), pa.array(sums[used])], ["lang", "bucket", "n"])
+        langs, texts = batch.column(0).to_pylist(), batch.column(1)
+        for lang in set(langs):
+            mine = sums.setdefault(lang, np.zeros(BUCKETS + OTHER + 1, np.int64))
+            for words, _ in _in_parts((texts[i].as_py() for i, x in enumerate(langs) if x == lang), SCORE_CELLS):
+                for bucket, _ in words.buckets():
+                    mine[:BUCKETS] += np.bincount(bucket, minlength=BUCKETS + 1)[:BUCKETS]
+                mine[BUCKETS:] += np.bincount(words.script, words.sizes - 2, OTHER + 1).astype(np.int64)
+    for lang, counted in sums.items():
+        used = np.flatnonzero(counted)
+        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(used)), pa.array(used), pa.array(counted[used])], ["lang", "bucket", "n"])
+
+
+def _in_parts(texts: Iterator[str | None], limit: int) -> Iterator[tuple[Words, list[str | None]]]:
+    """Texts in order, in parts of some ``limit`` characters; a larger text is a part by itself."""
+    held: list[str | None] = []
+    size = 0
+    for text in texts:
+        if held and size + len(text or "") > limit:
+            yield Words(held), held
+            held, size = [], 0
+        held.append(text)
+        size += len(text or "")
+    if held:
+        yield Words(held), held
 
 
 def is_held_out(doc_id: Column) -> Column:
@@ -162,35 +233,24 @@ def train(docs: DataFrame, rows: int = LANG_ROWS) -> Model:
     table = np.log((grams + SMOOTHING) / (grams.sum(axis=0) + SMOOTHING * BUCKETS))
     total = np.array([frequency[x] for x in langs], float)
     uses = scripts >= SCRIPT_SHARE * np.maximum(1.0, scripts.sum(axis=0))
-    return Model(langs, np.log(total / max(1.0, total.sum())), uses, (EVIDENCE * table).astype(np.float32))
-
-
-class _Words(dict):
-    """Word to its row in ``scores`` and ``letters``."""
-
-    def __init__(self, model: Model) -> None:
-        super().__init__()
-        self.model = model
-        self.scores = np.zeros((1024, len(model.langs)), np.float32)
-        self.letters = np.zeros(1024, np.int64)
-
-    def __missing__(self, word: str) -> int:
-        row = len(self)
-        if row == len(self.scores):
-            self.scores = np.concatenate([self.scores, np.zeros_like(self.scores)])
-            self.letters = np.concatenate([self.letters, np.zeros_like(self.letters)])
-        letters = letters_of(word)
-        if letters:
-            uses = self.model.scripts[_script_in(letters)]
-            candidates = np.flatnonzero(uses)
-            if len(candidates) > 1:  # one candidate needs no score, and none tells nothing
-                self.scores[row, candidates] = self.model.table[buckets_of(letters)][:, candidates].sum(axis=0)
-                self.scores[row, candidates] -= self.scores[row, candidates].max()
-            if len(candidates):
-                self.scores[row, ~uses] = self.scores[row, candidates].min() - OTHER_SCRIPT
-        self.letters[row] = len(letters)
-        self[word] = row
-        return row
+    scores = np.append(EVIDENCE * table, np.zeros((1, len(langs))), axis=0)  # BUCKETS: no n-gram
+    return Model(langs, np.log(total / max(1.0, total.sum())), uses, scores.astype(np.float32))
+
+
+def word_scores(words: Words, model: Model) -> np.ndarray:
+    """Score of every word for every language; the best candidate has 0, words without letters have zeros."""
+    out = np.zeros((len(words.letters), len(model.langs)))
+    if not len(words.framed):
+        return out
+    scores = np.zeros((len(words.framed), len(model.langs)), np.float32)
+    for bucket, heads in words.buckets():
+        scores += np.add.reduceat(model.table[bucket], heads, axis=0) if len(heads) < len(bucket) else model.table[bucket]
+    uses = model.scripts[words.script]
+    scores -= np.where(uses, scores, -np.inf).max(axis=1, keepdims=True)
+    others = np.where(uses, scores, np.inf).min(axis=1, keepdims=True) - OTHER_SCRIPT
+    # A script that no language uses tells nothing.
+    out[words.framed] = np.where(uses.any(axis=1, keepdims=True), np.where(uses, scores, others), 0.0)
+    return out
 
 
 def best_labels(scores: np.ndarray, bounds: np.ndarray, prior: np.ndarray, switch: float = SWITCH) -> np.ndarray:
@@ -228,24 +288,18 @@ def best_labels(scores: np.ndarray, bounds: np.ndarray, prior: np.ndarray, switc
     return labels
 
 
-def _labelled(texts: list[str | None], known: _Words) -> list[tuple[str, float, list[dict]]]:
-    """Language, score and spans of each text."""
-    langs = known.model.langs
-    if not langs:
-        return [(UNKNOWN, 0.0, [])] * len(texts)
-    words = [(t or "").split() for t in texts]
-    bounds = np.append(0, np.cumsum([len(w) for w in words]))
-    rows = np.fromiter((known[w] for its in words for w in its), np.int64, bounds[-1])
-    scores, letters = known.scores[rows].astype(float), known.letters[rows]
-    labels = best_labels(scores, bounds, known.model.prior)
-    first = np.ones(len(rows), bool)
+def _labelled(texts: list[str | None], bounds: np.ndarray, scores: np.ndarray, letters: np.ndarray, model: Model) -> list[tuple[str, float, list[dict]]]:
+    """Language, score and spans of each text; its words are those from bounds[i] to bounds[i+1]."""
+    langs = model.langs
+    labels = best_labels(scores, bounds, model.prior)
+    first = np.ones(len(labels), bool)
     first[1:] = labels[1:] != labels[:-1]
-    first[bounds[:-1][bounds[:-1] < len(rows)]] = True
+    first[bounds[:-1][bounds[:-1] < len(labels)]] = True
     starts = np.flatnonzero(first)
     if not len(starts):
         return [(UNKNOWN, 0.0, [])] * len(texts)
     spoken, label = np.add.reduceat(letters, starts), labels[starts]
-    worth = np.add.reduceat(scores, starts, axis=0) + known.model.prior
+    worth = np.add.reduceat(scores, starts, axis=0) + model.prior
     sure = 1.0 / np.exp(worth - worth[np.arange(len(starts)), label][:, None]).sum(axis=1)
     of = np.searchsorted(bounds, starts, "right") - 1
     by_lang, held = np.zeros((len(texts), len(langs)), np.int64), np.zeros((len(texts), len(langs)))
@@ -276,17 +330,26 @@ def label(text: Column | str, model: Model) -> Column:
 
     @F.arrow_udf("struct<lang:string,score:double,spans:array<struct<lang:string,first:long,last:long>>>")
     def of(column: pa.Array) -> pa.Array:
-        known, out, held, size = _Words(model), [], [], 0
-        limit = STEP_CELLS // max(1, len(model.langs))
-        for t in column:
-            held.append(t.as_py())
-            size += len(held[-1] or "") // 4  # words, about
-            if size >= limit:
-                out += _labelled(held, known)
-                held, size = [], 0
-                if len(known) > REMEMBERED:
-                    known = _Words(model)
-        out += _labelled(held, known)
+        out: list[tuple] = []
+        held: list[tuple[list[str | None], np.ndarray, np.ndarray, np.ndarray]] = []
+
+        def flush() -> None:
+            if held:
+                texts, counts, scores, letters = ([x for part in held for x in part[0]], *(np.concatenate([part[k] for part in held]) for k in (1, 2, 3)))
+                out.extend(_labelled(texts, np.append(0, np.cumsum(counts)), scores, letters, model))
+                held.clear()
+
+        if not model.langs:
+            out = [(UNKNOWN, 0.0, [])] * len(column)
+        else:
+            cells = 0
+            for words, texts in _in_parts((t.as_py() for t in column), SCORE_CELLS // len(model.langs)):
+                held.append((texts, np.diff(words.bounds), word_scores(words, model), words.letters))
+                cells += len(words.letters) * len(model.langs)
+                if cells > STEP_CELLS:
+                    flush()
+                    cells = 0
+            flush()
         lang, score, spans = zip(*out, strict=True) if out else ([], [], [])
         return pa.StructArray.from_arrays([pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(spans, _SPANS)], ["lang", "score", "spans"])
 

@@ -12,7 +12,6 @@ from collections import Counter
 from pathlib import Path
 
 import numpy as np
-import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -294,7 +293,7 @@ def test_a_sample_is_bounded_whatever_repeats(spark):
     assert a.langs == ["de", "en"] and np.array_equal(a.table, b.table)
 
 
-def test_mixed_texts_and_awkward_ones(spark, model):
+def test_mixed_texts_and_awkward_ones(spark, model, monkeypatch):
     mixed = f"{SAID['en']}. {SAID['ru']}. {SAID['en']}"
     latin = f"{SAID['de']} {SAID['en']} {SAID['en']}"
     texts = [mixed, latin, None, "", " \n ", "123 456 !!", "東京 大阪", SAID["bg"], SAID["el"], "Haus", SAID["en"] + " 東京大阪京都 " + SAID["en"], SAID["ru"] * 3000]
@@ -306,8 +305,25 @@ def test_mixed_texts_and_awkward_ones(spark, model):
     assert [got[i].lang_pred for i in (7, 8, 9, 10, 11)] == ["bg", "el", "de", "en", "ru"]
     assert [s.lang for s in got[10].spans] == ["en"]
     assert langid.identify(docs_of(spark, []), model).count() == 0
-    column, small = pa.array(texts[:6] * 2), langid._Words(model)
-    assert langid._labelled(column.to_pylist(), small)[6:] == langid._labelled(texts[:6], small)
+    expected = [(r.lang_pred, r.score, r.spans) for _, r in sorted(got.items())]
+    monkeypatch.setattr(langid, "SCORE_CELLS", 1)
+    monkeypatch.setattr(langid, "STEP_CELLS", 1)
+    again = langid.identify(docs_of(spark, [(i, t, None) for i, t in enumerate(texts)]).coalesce(1), model).orderBy("doc_id").collect()
+    assert [(r.lang_pred, r.score, r.spans) for r in again] == expected
+
+
+def test_words_and_their_grams():
+    texts = [" Don't  x1\n42", None, "", "日本 ab-日本語 \u2028 ß"]
+    words = langid.Words(texts)
+    assert words.bounds.tolist() == [0, 3, 3, 3, 6]
+    assert words.letters.tolist() == [4, 1, 0, 2, 5, 1]
+    assert [list(langid.SCRIPTS)[s] for s in words.script] == ["Latin", "Latin", "Han", "Han", "Latin"]
+    used = [[int((b[h : h + n] < langid.BUCKETS).sum()) for h, n in zip(heads, words.sizes if len(b) == len(words.flat) else [1] * len(heads), strict=True)] for b, heads in words.buckets()]
+    assert used == [[5, 2, 3, 6, 2], [4, 1, 2, 5, 1], [3, 0, 1, 4, 0], [1, 0, 0, 1, 0]]
+    same = list(langid.Words(["dont"]).buckets())
+    for (a, _), (b, _) in zip(words.buckets(), same, strict=True):
+        assert a[: len(b)].tolist() == b.tolist()
+    assert list(langid.Words([None, "12"]).buckets()) == []
 
 
 def test_scripts_of_letters():
