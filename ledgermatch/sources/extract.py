@@ -59,7 +59,7 @@ def extract(
     def land(job: tuple[str, str]) -> tuple:
         side, dataset = job
         try:
-            return side, dataset, landing.write(side, dataset, sources[side].read(spark, dataset), fmt).count(), None
+            return side, dataset, landing.publish(side, dataset, sources[side].read(spark, dataset), fmt).rows, None
         except Exception as error:  # isolate a dataset's failure
             return side, dataset, None, _first_line(error)
 

@@ -1,24 +1,40 @@
 """The landing area: one folder per side, one dataset per name below it.
 
-A dataset has one of three forms; writing one removes the others, so what is loaded is
-what was written last:
+What this library lands is versioned:
+
+* ``<dir>/<side>/<name>.versions/<version>``   the rows, Parquet or JSON lines
+* ``<dir>/<side>/<name>.manifests/<n>.json``   which version is number n, its form, schema and rows
+
+A version is written to a fresh folder; the manifest appears by one rename once the version is complete. Readers
+follow the manifest with the greatest number and nothing else, so a run that breaks at any point leaves the dataset
+as it was published before. The version before the last stays for readers that still have it open.
+
+What others put there has one of three forms, read where there is no manifest:
 
 * ``<dir>/<side>/<name>``        Parquet folder; keeps column order and types
 * ``<dir>/<side>/<name>.jsonl``  folder of JSON lines; splits across tasks
 * ``<dir>/<side>/<name>.json``   one JSON document: an array of rows, or an
-  object that wraps the array; such a document is always read by one task
+  object that wraps the array
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import json
+import threading
+import uuid
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgermatch.functions.canonical import canonical_text, fold_nan_inside
 from ledgermatch.recon.diff import column, require_unique_columns
+from ledgermatch.sources.json_split import row_texts
 
 SIDES = ("src", "trg")
+#: Held by threads of one session while they number a version.
+_NUMBERING = threading.Lock()
 
 _JSON_TYPES = (
     T.StringType, T.BooleanType, T.ByteType, T.ShortType, T.IntegerType, T.LongType,
@@ -43,29 +59,61 @@ def _remove(spark: SparkSession, path: str) -> None:
         system.delete(where, True)
 
 
-def write_parquet(df: DataFrame, path: str) -> None:
-    require_unique_columns(df, path).write.mode("overwrite").parquet(path)
-
-
-def write_json(df: DataFrame, path: str) -> None:
-    """JSON lines; values without a JSON form (dates, decimals) become text, NaN becomes NULL at any depth."""
-    require_unique_columns(df, path)
+def as_json_rows(df: DataFrame) -> DataFrame:
+    """Rows as JSON lines hold them: values without a JSON form (dates, decimals) become text, NaN becomes NULL at any depth."""
     plain = [
         fold_nan_inside(column(f.name), f.dataType).alias(f.name) if isinstance(f.dataType, _JSON_TYPES)
         else canonical_text(column(f.name), f.dataType).alias(f.name)
         for f in df.schema
     ]
-    times = "yyyy-MM-dd HH:mm:ss.SSSSSS"  # of times inside nested values
-    (
-        df.select(*plain)
-        .write.mode("overwrite")
-        .options(ignoreNullFields="false", timestampFormat=times, timestampNTZFormat=times)
-        .json(path)
-    )
+    return df.select(*plain)
+
+
+#: How times inside nested values are written.
+_TIMES = "yyyy-MM-dd HH:mm:ss.SSSSSS"
+_JSON_OPTIONS = {"timestampFormat": _TIMES, "timestampNTZFormat": _TIMES}
 
 
-def _is_rows(dtype: T.DataType) -> bool:
-    return isinstance(dtype, T.ArrayType) and isinstance(dtype.elementType, T.StructType)
+def _write_text(spark: SparkSession, path: str, text: str) -> None:
+    where, system = _file_system(spark, path)
+    out = system.create(where, False)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+
+
+def _read_text(spark: SparkSession, path: str) -> str:
+    where, system = _file_system(spark, path)
+    source = system.open(where)
+    try:
+        return bytes(spark._jvm.org.apache.commons.io.IOUtils.toByteArray(source)).decode()
+    finally:
+        source.close()
+
+
+def _rename(spark: SparkSession, old: str, new: str) -> bool:
+    """Move a file to a name that isn't taken; False if it is."""
+    where, system = _file_system(spark, old)
+    aim = spark._jvm.org.apache.hadoop.fs.Path(new)
+    if system.exists(aim):
+        return False
+    if system.rename(where, aim):
+        return True
+    if system.exists(aim):
+        return False
+    raise OSError(f"'{old}' can't be renamed to '{new}'")
+
+
+@dataclass(frozen=True)
+class Published:
+    """A version of a dataset: its number and folder, its form, its rows and their schema as JSON."""
+
+    number: int
+    version: str
+    form: str
+    rows: int
+    schema: str
 
 
 def _no_rows(spark: SparkSession) -> DataFrame:
@@ -73,9 +121,9 @@ def _no_rows(spark: SparkSession) -> DataFrame:
 
 
 def _first_character(spark: SparkSession, path: str) -> str:
-    """The first character that is no blank; lines stay in the tasks, however long."""
+    """The first character that is no blank, of what stands before the first closing brace."""
     character = F.regexp_extract("value", r"[^\s\uFEFF]", 0).alias("c")
-    found = spark.read.text(path).select(character).where(F.col("c") != "").limit(1).collect()
+    found = spark.read.option("lineSep", "}").text(path).limit(1).select(character).collect()
     return found[0]["c"] if found else ""
 
 
@@ -85,26 +133,19 @@ def read_json_document(
     """Rows of one JSON document.
 
     An array is the rows themselves. An object holds them under the dataset's
-    name, or as its only member. Anything else is an error. Without ``schema``
+    name, or as its only member. Anything else is an error. The document is read in
+    byte ranges, by as many tasks as it has. Without ``schema``
     Spark infers the columns and orders them by name.
     """
     first = _first_character(spark, path)
     if first not in ("[", "{"):
         raise ValueError(f"the JSON of '{dataset}' is neither a list nor an object")
-    if first == "[":
-        reader = spark.read.option("multiLine", True).option("mode", "FAILFAST")
-        return (reader.schema(schema) if schema else reader).json(path)
-    wrapped = spark.read.option("multiLine", True).option("mode", "FAILFAST").json(path)
-    members = {f.name: f.dataType for f in wrapped.schema}
-    name = dataset if isinstance(members.get(dataset), T.ArrayType) else None
-    if name is None and len(members) == 1:
-        only = next(iter(members))
-        name = only if isinstance(members[only], T.ArrayType) else None
-    if name is None:
-        raise ValueError(f"no member of the JSON of '{dataset}' can be taken for its rows")
-    if not _is_rows(members[name]):
+    rows = row_texts(spark, path, dataset, wrapped=first == "{")
+    if rows is None:
         return _no_rows(spark)  # an empty array has no row type
-    return wrapped.select(F.inline(column(name)))
+    reader = spark.read.option("mode", "FAILFAST")
+    texts = getattr(rows._jdf, "as")(spark._jvm.org.apache.spark.sql.Encoders.STRING())
+    return DataFrame((reader.schema(schema) if schema else reader)._jreader.json(texts), spark)
 
 
 class Landing:
@@ -126,26 +167,87 @@ class Landing:
                 return suffix
         return None
 
-    def write(self, side: str, dataset: str, df: DataFrame, fmt: str = "parquet") -> DataFrame:
-        """Land a dataset as Parquet or JSON lines ('json') and return it as it reads back.
-
-        Forms that an earlier run left are removed once the new one is complete.
+    def _manifests(self, side: str, dataset: str) -> list[int]:
+        """Numbers of the published versions, ascending."""
+        where, system = _file_system(self._spark, self.path(side, dataset, ".manifests"))
+        if not system.exists(where):
+            return []
+        names = [status.getPath().getName() for status in system.listStatus(where)]
+        return sorted(int(n.removesuffix(".json")) for n in names if n.removesuffix(".json").isdigit())
+
+    def _manifest_path(self, side: str, dataset: str, number: int) -> str:
+        return f"{self.path(side, dataset, '.manifests')}/{number:012d}.json"
+
+    def published(self, side: str, dataset: str) -> Published | None:
+        """The version that readers see; None where this library has landed nothing."""
+        numbers = self._manifests(side, dataset)
+        if not numbers:
+            return None
+        text = _read_text(self._spark, self._manifest_path(side, dataset, numbers[-1]))
+        return Published(number=numbers[-1], **json.loads(text))
+
+    def publish(self, side: str, dataset: str, df: DataFrame, fmt: str = "parquet") -> Published:
+        """Land a dataset as a new version, Parquet or JSON lines ('json'), and say what was published.
+
+        Rows are counted as they are written. Of writers at the same time each publishes its own version; the last to
+        finish is the one that is read. Versions before the last but one are removed.
         """
-        own = ".jsonl" if fmt == "json" else ""
-        (write_json if fmt == "json" else write_parquet)(df, self.path(side, dataset, own))
-        for suffix in {"", ".jsonl", ".json"} - {own}:
-            _remove(self._spark, self.path(side, dataset, suffix))
+        if fmt not in ("parquet", "json"):
+            raise ValueError(f"a dataset is landed as 'parquet' or 'json', not '{fmt}'")
+        rows = require_unique_columns(df, self.path(side, dataset))
+        rows = as_json_rows(rows) if fmt == "json" else rows
+        version, counted = uuid.uuid4().hex, Observation()
+        folder = f"{self.path(side, dataset, '.versions')}/{version}"
+        writer = rows.observe(counted, F.count(F.lit(1)).alias("rows")).write.mode("error")
+        if fmt == "json":
+            writer.options(ignoreNullFields="false", **_JSON_OPTIONS).json(folder)
+        else:
+            writer.parquet(folder)
+        about = {"version": version, "form": fmt, "rows": counted.get["rows"], "schema": rows.schema.json()}
+        number = self._number(side, dataset, json.dumps(about))
+        self._retire(side, dataset, number)
+        return Published(number=number, **about)
+
+    def _number(self, side: str, dataset: str, manifest: str) -> int:
+        """Put a manifest in place under the next free number, by one rename."""
+        folder = self.path(side, dataset, ".manifests")
+        draft = f"{folder}/_{uuid.uuid4().hex}"
+        _write_text(self._spark, draft, manifest)
+        with _NUMBERING:  # not every file system refuses to rename onto a file that has just appeared
+            number = max(self._manifests(side, dataset), default=0) + 1
+            while not _rename(self._spark, draft, self._manifest_path(side, dataset, number)):
+                number += 1
+        return number
+
+    def _retire(self, side: str, dataset: str, number: int) -> None:
+        """Remove the versions, and their manifests, before the last but one."""
+        for old in self._manifests(side, dataset):
+            if old < number - 1:
+                path = self._manifest_path(side, dataset, old)
+                version = json.loads(_read_text(self._spark, path))["version"]
+                _remove(self._spark, path)  # first, so that no manifest names what is gone
+                _remove(self._spark, f"{self.path(side, dataset, '.versions')}/{version}")
+
+    def write(self, side: str, dataset: str, df: DataFrame, fmt: str = "parquet") -> DataFrame:
+        """Land a dataset and return it as it reads back."""
+        self.publish(side, dataset, df, fmt)
         return self.load(side, dataset)
 
     def missing(self, dataset: str) -> str | None:
         """Which sides lack the dataset, as a message; None when both have it."""
-        absent = [s for s in SIDES if self._found(s, dataset) is None]
+        absent = [s for s in SIDES if not self._manifests(s, dataset) and self._found(s, dataset) is None]
         return "; ".join(f"{s} file does not exist" for s in absent) or None
 
     def load(self, side: str, dataset: str) -> DataFrame:
+        """The version published last; without one what others have put there."""
+        schema = self._schemas.get(dataset)
+        now = self.published(side, dataset)
+        if now is not None:
+            reader = self._spark.read.schema(schema or T.StructType.fromJson(json.loads(now.schema)))
+            folder = f"{self.path(side, dataset, '.versions')}/{now.version}"
+            return reader.options(**_JSON_OPTIONS).json(folder) if now.form == "json" else reader.parquet(folder)
         suffix = self._found(side, dataset)
         path = self.path(side, dataset, suffix or "")
-        schema = self._schemas.get(dataset)
         if suffix == ".json":
             return read_json_document(self._spark, path, dataset, schema)
         reader = self._spark.read if schema is None else self._spark.read.schema(schema)

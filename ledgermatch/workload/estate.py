@@ -119,6 +119,19 @@ def landing_format_change(spark: SparkSession, sf_dir: str) -> DataFrame:
     return landing.load("src", "orders").select("o_orderkey", "o_orderstatus")
 
 
+def landing_broken_swap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A published version, read while the remains of broken and foreign runs of every kind lie beside it."""
+    orders = relations(spark, sf_dir)["orders"].select("o_orderkey", "o_orderstatus", "o_totalprice")
+    landing = Landing(spark, _shared_folder(spark))
+    for rows, form in ((orders.limit(0), "json"), (orders, "parquet"), (altered_orders(orders), "json")):
+        landing.publish("src", "orders", rows, form)
+    few = orders.where("o_orderkey < 100")
+    few.write.parquet(landing.path("src", "orders"))  # a form of its own, complete
+    few.write.json(landing.path("src", "orders", ".jsonl"))
+    few.write.parquet(f"{landing.path('src', 'orders', '.versions')}/left")  # written, never published
+    return landing.load("src", "orders").select("o_orderkey", "o_orderstatus")
+
+
 def landing_json_nan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """NaN on one side and NULL on the other, landed as JSON lines, are the same value."""
     customer = relations(spark, sf_dir)["customer"].select("c_custkey", "c_acctbal")
@@ -150,6 +163,19 @@ def json_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
+def json_document_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as one JSON array, written line by line and read back in byte ranges."""
+    docs = relations(spark, sf_dir)["documents"].select("doc_id", "source", "text")
+    first, last = (docs.agg(end("doc_id")).scalar() for end in (F.min, F.max))
+    opening = F.when(F.col("doc_id") == first, '{"about": {"n": [1, {"}": "]"}]}, "documents": [').otherwise(", ")
+    closing = F.when(F.col("doc_id") == last, '], "rest": []}').otherwise("")
+    row = F.to_json(F.struct("doc_id", "source", "text"))
+    lines = docs.select("doc_id", F.concat(opening, row, closing).alias("line"))
+    landing = Landing(spark, _shared_folder(spark), {"documents": docs.schema})
+    lines.orderBy("doc_id").select("line").coalesce(1).write.text(landing.path("src", "documents", ".json"))
+    return landing.load("src", "documents").select("doc_id", "source", F.md5(F.encode("text", "UTF-8")).alias("digest"))
+
+
 def summary_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The summary of a suite with ill-typed options, written twice and read back."""
     orders = relations(spark, sf_dir)["orders"].select("o_orderkey", "o_orderstatus", "o_totalprice")
@@ -171,8 +197,10 @@ QUERIES = {
     "recon_column_named_side": recon_column_named_side,
     "recon_digest_collated": recon_digest_collated,
     "landing_format_change": landing_format_change,
+    "landing_broken_swap": landing_broken_swap,
     "landing_json_nan": landing_json_nan,
     "json_documents": json_documents,
+    "json_document_split": json_document_split,
     "summary_sink": summary_sink,
     "qa_row_counts": qa_row_counts,
     "qa_table_counts": qa_table_counts,
@@ -201,11 +229,15 @@ FROM customer, (VALUES ('rows'), ('digest')) v(name) GROUP BY name
 """,
     "landing_format_change": f"""
 SELECT o_orderkey, if({_CHANGED}, 'X', o_orderstatus) AS o_orderstatus FROM orders WHERE {_KEPT}
+""",
+    "landing_broken_swap": f"""
+SELECT o_orderkey, if({_CHANGED}, 'X', o_orderstatus) AS o_orderstatus FROM orders WHERE {_KEPT}
 """,
     "landing_json_nan": "SELECT * FROM (VALUES ('customer', 'PASS', 'PASS', 'PASS', 'PASS')) v(name, rows_count, columns, data, status)",
     "json_documents": """
 SELECT dataset, s_suppkey, s_name FROM supplier, (VALUES ('plain'), ('wrapped'), ('lone')) v(dataset)
 """,
+    "json_document_split": "SELECT doc_id, source, md5(text) AS digest FROM documents",
     "summary_sink": f"""
 SELECT 'orders' AS name, if(lost = 0, 'PASS', 'FAIL') AS rows_count, 'PASS' AS columns,
        if(lost + changed = 0, 'PASS', 'FAIL') AS data, if(lost + changed = 0, 'PASS', 'FAIL') AS status, 'data_list' AS check_list

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from ledgermatch.plans import Catalog
@@ -190,3 +191,103 @@ def test_nan_lands_as_null_in_json(spark, tmp_path):
     assert dict(back.dtypes)["v"] == "double"
     assert back.where("v is null and a[0] is null and a[1] = 1 and s.x is null and s.y = 2").count() == 1
     assert back.where("v = 1.5 and a is null and s is null").count() == 1
+
+
+def test_readers_follow_the_manifest(spark, tmp_path):
+    landing = Landing(spark, str(tmp_path))
+    assert landing.published("src", "d") is None
+    first = landing.publish("src", "d", spark.range(5))
+    assert (first.number, first.rows, first.form) == (1, 5, "parquet")
+    held = landing.load("src", "d")
+
+    def breaks(_):
+        raise RuntimeError("broken on purpose")
+
+    broken = spark.range(9).select(F.udf(breaks, "long")("id").alias("id"))
+    with pytest.raises(Exception, match="broken on purpose"):
+        landing.publish("src", "d", broken)
+    spark.range(7).write.json(landing.path("src", "d", ".jsonl"))
+    spark.range(7).write.parquet(landing.path("src", "d"))
+    assert landing.load("src", "d").count() == 5 and landing.published("src", "d") == first
+    # A reader keeps what it has opened while the next version comes.
+    second = landing.publish("src", "d", spark.range(3), "json")
+    assert held.count() == 5 and landing.load("src", "d").count() == 3 and second.number == 2
+    third = landing.publish("src", "d", spark.range(0))
+    assert landing.load("src", "d").count() == 0 and third.rows == 0
+    versions = {p.name for p in (tmp_path / "src" / "d.versions").iterdir()}
+    assert {second.version, third.version} <= versions and first.version not in versions
+    assert landing.missing("d") == "trg file does not exist"
+
+
+def test_writers_at_the_same_time_publish_versions_of_their_own(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    landing = Landing(spark, str(tmp_path))
+    with ThreadPoolExecutor(4) as pool:
+        done = list(pool.map(lambda n: landing.publish("src", "d", spark.range(n)), range(1, 5)))
+    last = max(done, key=lambda p: p.number)
+    assert sorted(p.number for p in done) == [1, 2, 3, 4] and landing.load("src", "d").count() == last.rows
+
+
+def test_json_versions_keep_columns_and_types(spark, tmp_path):
+    landing = Landing(spark, str(tmp_path))
+    frame = spark.sql("select 2 b, 'x' a, cast(null as string) c, named_struct('t', timestamp_ntz'2024-01-02 03:04:05') s, cast(null as int) n")
+    back = landing.write("src", "d", frame, "json")
+    assert back.columns == ["b", "a", "c", "s", "n"] and back.first() == frame.first()
+    with pytest.raises(ValueError, match="csv"):
+        landing.publish("src", "d", frame, "csv")
+
+
+def split_small(spark, size):
+    spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+
+
+@pytest.fixture
+def small_ranges(spark):
+    split_small(spark, "150")
+    yield
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+ODD = ["}", '"', "\\", '\\"}', "{[", "],", '"}, {"id": 9', "\n", "é ", ""]
+ROWS = [{"id": i, "s": ODD[i % len(ODD)] * (i % 4), "deep": {"}": [{"x": ODD[-i % len(ODD)]}, {}], "[": None}, "list": [[i], []]} for i in range(14)]
+
+
+@pytest.mark.parametrize("wrap", [
+    lambda rows: rows,
+    lambda rows: {"d": rows},
+    lambda rows: {"only": rows},
+    lambda rows: {"about}": {"a": [{"id": 1}], "s": '}\\"'}, "d": rows, "n": 1, "end": {"x": {"y": []}}},
+    lambda rows: {"a": [{"id": 5}], "d": rows, "e": [{"id": 7}, {"id": 8}]},
+    lambda rows: {"a": [[{"id": 5}], [1]], "e": [], "d": rows},
+])
+def test_documents_are_read_in_ranges(spark, tmp_path, small_ranges, wrap):
+    path, plain = tmp_path / "d.json", tmp_path / "p.json"
+    path.write_text(json.dumps(wrap(ROWS), indent=1 if isinstance(wrap(ROWS), list) else None, ensure_ascii=False), encoding="utf-8")
+    assert spark.read.text(str(path), lineSep="}").rdd.getNumPartitions() > 8
+    plain.write_text(json.dumps(ROWS, ensure_ascii=False), encoding="utf-8")
+    back, whole = read_json_document(spark, str(path), "d"), spark.read.option("multiLine", True).json(str(plain))  # the reader of one task
+    assert back.schema == whole.schema
+    assert sorted(map(str, back.collect())) == sorted(map(str, whole.collect()))
+
+
+def test_a_marked_document_and_one_with_a_schema(spark, tmp_path):
+    path = tmp_path / "d.json"
+    path.write_text("\ufeff" + json.dumps({"x": 1, "d": ROWS}), encoding="utf-8")
+    given = read_json_document(spark, str(path), "d", spark.createDataFrame([], "s string, id long").schema)
+    assert sorted(map(str, given.collect())) == sorted(str(Row(s=r["s"], id=r["id"])) for r in ROWS)
+    path.write_text(json.dumps({"a": [{"x": 1}], "d": [], "b": [{"y": 1}]}), encoding="utf-8")
+    assert read_json_document(spark, str(path), "d").columns == []
+
+
+@pytest.mark.parametrize("text, message", [
+    ('[{"a": 1}, {"a": 2', "not complete"), ('[{"a": 1}', "not complete"), ('{"d": [{"a": 1}]', "not complete"), ('[{"a": "x}]', "not complete"),
+    ('[{"a": 1}, 5]', "something else"), ('[[{"a": 1}]]', "something else"), ('{"d": [{"a": 1}, 5, {"a": 2}]}', "something else"), ('[null, {"a": 1}]', "something else"),
+])
+def test_documents_that_are_broken_or_hold_other_rows(spark, tmp_path, small_ranges, text, message):
+    path = tmp_path / "d.json"
+    path.write_text(text, encoding="utf-8")
+    with pytest.raises(ValueError, match=message):
+        read_json_document(spark, str(path), "d").collect()
