@@ -51,15 +51,16 @@ _BLANK = re.compile(r"\n[ \t\r\f\v]*\n")
 _SPAN = pa.struct([("kind", pa.int32()), ("first", pa.int64()), ("last", pa.int64()), ("scope", pa.int64())])
 
 
-def _around(spans: list[tuple], of: tuple) -> list[tuple]:
-    """The spans (sorted by start, each kind without overlaps) that can overlap ``of``."""
-    at = bisect.bisect_left(spans, of[2], key=lambda s: s[1])
-    out, missing = [], len(BASE)
-    while at and missing:  # of each kind only the nearest that starts before the end of ``of`` and those inside it matter
-        at -= 1
-        out.append(spans[at])
-        missing -= spans[at][1] < of[1]
-    return out
+def _covered(strong: dict[int, list[tuple]], of: tuple) -> bool:
+    """Whether one base span covers ``of`` completely.
+
+    Spans of a kind are sorted and don't overlap, so of each kind only the last that begins no later can do so.
+    """
+    for spans in strong.values():
+        at = bisect.bisect_right(spans, of[1], key=lambda s: s[1]) - 1
+        if at >= 0 and spans[at][2] >= of[2]:
+            return True
+    return False
 
 
 def find(text: str) -> list[dict]:
@@ -81,9 +82,9 @@ def find(text: str) -> list[dict]:
     if not out:
         return out
     out.sort(key=lambda s: (s[1], s[0]))
-    strong = [s for s in out if s[0] < len(BASE)]
+    strong = {kind: [s for s in out if s[0] == kind] for kind in range(len(BASE))}
     # What one base span covers completely is no weak candidate as well.
-    out = [s for s in out if s[0] < len(BASE) or not any(b[1] <= s[1] and s[2] <= b[2] for b in _around(strong, s))]
+    out = [s for s in out if s[0] < len(BASE) or not _covered(strong, s)]
     cuts, scope, found = [m.start() for m in _BLANK.finditer(text)], 0, []
     for kind, first, last in out:
         while scope < len(cuts) and cuts[scope] < first:
