@@ -11,10 +11,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 #: Bytes of text that are worked on at once.
 RUN_BYTES = 1 << 20
 
+#: Stretches of so many bytes are hashed one by one.
+LONG_BYTES = 256
+
 _BASE = 0x9E3779B97F4A7C15 | 1
 
 
@@ -99,11 +103,15 @@ class Pieces:
         return np.searchsorted(self.starts, self.run.bounds)
 
     def hashes(self, data: np.ndarray | None = None) -> np.ndarray:
-        """64-bit hash of each stretch's bytes (of ``data`` in place of the run's)."""
+        """64-bit hash of each stretch's bytes (of ``data`` in place of the run's).
+
+        Short ones are hashed in bulk by a polynomial. From some thousand bytes on there are texts made to clash
+        under any such polynomial, so long ones are hashed by themselves.
+        """
         data = self.run.data if data is None else data
         lengths = self.stops - self.starts
         out = np.zeros(len(self), np.uint64)
-        full = np.flatnonzero(lengths)
+        full, large = np.flatnonzero((lengths > 0) & (lengths < LONG_BYTES)), np.flatnonzero(lengths >= LONG_BYTES)
         if len(full):
             lengths, starts = lengths[full], self.starts[full]
             heads = np.zeros(len(full), np.int64)
@@ -112,7 +120,10 @@ class Pieces:
             with np.errstate(over="ignore"):
                 terms = (data[place + np.repeat(starts, lengths)].astype(np.uint64) + np.uint64(1)) * powers_at(place)
                 out[full] = np.add.reduceat(terms, heads)
-        return mix(out)
+        out = mix(out)
+        for i in large:
+            out[i] = xxhash.xxh3_64_intdigest(np.ascontiguousarray(data[self.starts[i] : self.stops[i]]))
+        return out
 
 
 def windows(hashes: np.ndarray, width: int) -> np.ndarray:
