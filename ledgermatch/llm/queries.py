@@ -41,7 +41,9 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = repeats.repeated_bytes(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
+    return found.select(
+        "doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256", (F.col("n_removed") > 0).alias("repeated")
+    )
 
 
 def op6_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -184,7 +186,7 @@ with d as (
 select * from ranked where rank <= 20""",
     "op8_perspectives": r"""
 with t as (
-  select conv_id, turn, role, role = 'system' as shared, text, cast(floor(turn / 1024) as bigint) as part
+  select conv_id, turn, role, role = 'system' as shared, text, (row_number() over (partition by conv_id order by turn, role, text) - 1) // 1024 as part
   from (select conv_id, turn, regexp_replace(replace(coalesce(role, 'unknown'), '<|', '< |'), '\s+', '_', 'g') as role, replace(coalesce(text, ''), '<|', '< |') as text from conversations)
 ), s as (
   select t.*, perspective, not shared and role = perspective as own,

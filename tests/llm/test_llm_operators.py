@@ -79,6 +79,16 @@ def empty_like(df):
 # --- words and lines in bulk ---
 
 
+def test_long_lines_that_clash_under_polynomials_stay_apart(spark):
+    word = [0]
+    while len(word) < 4096:
+        word += [1 - x for x in word]
+    a, b = "".join("ab"[x] for x in word), "".join("ba"[x] for x in word)
+    docs = spark.createDataFrame([(1, f"{a}\n{b}", "en", "s"), (2, f"{a}\n{a}", "en", "s"), (3, " ".join([a, b] * 12), "en", "s")], "doc_id long, text string, lang string, source string")
+    got = {r.doc_id: r.n_dup_lines for r in quality.judged(docs, "doc_id").collect()}
+    assert got == {1: 0, 2: 1, 3: 0}
+
+
 def test_small_runs_split_alike():
     import pyarrow as pa
 
@@ -489,11 +499,20 @@ def test_weak_parts_that_overlap_base_spans(spark):
 # --- 8 ---
 
 
+def test_weak_parts_that_a_base_span_covers(spark):
+    h = "0123456789abcdef01234567"
+    cases = {f"user=meg token={h}.{h}.{h}.Xy9zPq83mNv02LkQaa": ["account", "assign", "hex", "hex", "hex"], f"user=meg token={h}.Xy9zPq83mNv02LkQaa": ["account", "assign", "hex"]}
+    docs = spark.createDataFrame(list(enumerate(cases)), "doc_id long, text string")
+    order = list(credentials.ORDER)
+    got = {r.doc_id: [order[s.kind] for s in r.all_spans] for r in credentials.scan_secrets(docs).collect()}
+    assert [got[i] for i in range(len(cases))] == list(cases.values())
+
+
 def test_perspectives(spark):
     rows = [(1, 0, "system", "Be kind"), (1, 1, "ann", "Hi"), (1, 2, "bob", "Ho <|im_end|>"), (1, 3, "ann", None), (1, 4, None, "?"), (2, 0, "system", "alone"), (None, None, "ann", "x"), (3, 1, "ann", "same"), (3, 1, "ann", "same"), (1, 5, "a b", "")]
     talk = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("part", F.lit(1))
     got = {(r.conv_id, r.perspective, r.part): r for r in perspectives.perspectives(talk).collect()}
-    assert set(got) == {(1, p, 0) for p in ("ann", "bob", "unknown", "a_b")} | {(None, "ann", None), (3, "ann", 0)}
+    assert set(got) == {(1, p, 0) for p in ("ann", "bob", "unknown", "a_b")} | {(None, "ann", 0), (3, "ann", 0)}
     ann = got[1, "ann", 0]
     assert ann.rendered.startswith("<|im_start|>system\nBe kind<|im_end|>\n<|im_start|>assistant\nHi<|im_end|>\n<|im_start|>user name=bob\nHo < |im_end|><|im_end|>\n")
     for r in got.values():
@@ -508,9 +527,43 @@ def test_perspectives(spark):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def test_perspectives_of_hot_conversations(spark):
+    from itertools import groupby
+
+    rows = [(None, 7, "ann", "same")] * 5000 + [(1, i // 1500, "bob" if i % 3 else None, f"t{i % 40}") for i in range(4000)] + [(None, None, "bob", "x")] * 700
+    talk = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(7)
+    got = perspectives.perspectives(talk, part_turns=256).collect()
+    key = lambda r: (r[0] is None, r[0] or 0)
+    for conv, mine in groupby(sorted(rows, key=key), key=lambda r: r[0]):
+        told = sorted(((r[1] is None, r[1] or 0, r[2] or "unknown", r[3]) for r in mine))
+        parts = [told[i : i + 256] for i in range(0, len(told), 256)]
+        for who in {t[2] for t in told}:
+            found = sorted((r for r in got if r.conv_id == conv and r.perspective == who), key=lambda r: r.part)
+            assert [r.n_turns for r in found] == [len(p) for p in parts] and [r.part for r in found] == list(range(len(parts)))
+            assert [r.n_masked for r in found] == [sum(t[2] == who for t in p) for p in parts]
+            assert found[0].rendered == "".join(f"<|im_start|>{'assistant' if t[2] == who else 'user name=' + t[2]}\n{t[3]}<|im_end|>\n" for t in parts[0])
+
+
 # --- 9 ---
 
 
+def test_many_tiny_sources_get_their_words(spark):
+    rows = [(i, " ".join(f"w{j}" for j in range(10)), f"s{i:03}") for i in range(400)]
+    rows += [(1000 + i, "one two three", f"t{i % 7}") for i in range(100)] + [(2000, "word " * 30_000, "u"), (2001, "lone", "v")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    sizes = defaultdict(int)
+    for _, text, source in rows:
+        sizes[source] += len(text.split())
+    wanted, taken = brute.targets(dict(sizes)), defaultdict(int)
+    for r in mixing.mix(docs).collect():
+        assert r.target == pytest.approx(wanted[r.source]) and 0 <= r.taken <= 2 * r.size
+        taken[r.source] += r.taken
+    for s, target in wanted.items():
+        assert abs(taken[s] - target) <= max(2, 0.05 * target), (s, taken[s], target)
+
+
+
+
 def test_mixing(docs, texts):
     rows = docs.select("doc_id", "source").collect()
     size = {i: len(brute.PLAIN.findall(t or "")) for i, t in texts.items()}
@@ -528,7 +581,7 @@ def test_mixing(docs, texts):
         assert 0 <= r.taken <= 2 * r.size
         taken[r.source] += r.taken
     for s in wanted:
-        assert abs(taken[s] - wanted[s]) <= 2 * mixing.SLOT_WORDS
+        assert abs(taken[s] - wanted[s]) <= max(2, min(2 * mixing.SLOT_WORDS, 0.05 * wanted[s]))
 
 
 def test_mixing_in_small_stretches(docs, monkeypatch):
@@ -551,7 +604,7 @@ def test_mixed_documents(spark):
     odd = documents(spark)
     twice = odd.unionByName(odd)
     mixed = mixing.mixed_documents(twice)
-    assert mixed.columns == [c for c in odd.columns if c != "size"] + ["size", "source_size", "target", "taken"]
+    assert mixed.columns == [*odd.columns, "mix_size", "source_size", "target", "taken"]
     expected = Counter((r.doc_id, r.taken) for r in mixing.mix(twice).collect() if r.taken)
     assert Counter((r.doc_id, r.taken) for r in mixed.collect()) == expected
     assert all(r.text == TEXTS[r.doc_id] for r in mixed.collect())
