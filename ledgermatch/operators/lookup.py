@@ -82,28 +82,58 @@ def unmatched_or_null(
     return joined.where(F.coalesce(F.col("__null_seen"), F.lit(True))).drop("__key", "__null_seen")
 
 
+#: Words of a code that its anchor and the words beside that always cover.
+SETTLED_WORDS = 3
+
+
+def _pairs(words: str, prefix: str) -> Column:
+    """Every two words that follow each other, with their place and the words beside them."""
+    named = {"before": -1, "first": 0, "second": 1, "after": 2}
+    # A single word makes a sequence that runs backwards; no pair comes of it.
+    places = F.when(F.size(words) > 1, F.sequence(F.lit(0), F.size(words) - 2))
+    return F.transform(places, lambda i: F.struct(i.alias(f"{prefix}at"), *(F.get(words, i + d).alias(prefix + name) for name, d in named.items())))
+
+
+def _anchored(codes: DataFrame) -> DataFrame:
+    """Per code ``__phrase`` of several words (``__of``) the pair of words it is anchored on: the one that fewest codes hold.
+
+    What a place in a text can meet is kept small, and nothing of the texts has to be counted first.
+    """
+    spread = codes.select("__phrase", F.size("__of").alias("__n"), F.inline(_pairs("__of", "__c_")))
+    held = spread.groupBy("__c_first", "__c_second").agg(F.count("*").alias("__codes"))
+    rarest = F.min(F.struct("__codes", "__c_at", "__c_before", "__c_first", "__c_second", "__c_after", "__n")).alias("__rarest")
+    chosen = spread.join(held, ["__c_first", "__c_second"]).groupBy("__phrase").agg(rarest)
+    return chosen.select("__phrase", "__rarest.*")
+
+
+def _met(texts: DataFrame, codes: DataFrame) -> DataFrame:
+    """Codes of several words, and the places of texts where their anchor and the words beside it stand."""
+    places = texts.select("__id", F.inline(_pairs("__words", "__t_")))
+    same = lambda name: F.col(f"__c_{name}") == F.col(f"__t_{name}")
+    fits = same("first") & same("second") & (F.col("__c_before").isNull() | same("before")) & (F.col("__c_after").isNull() | same("after"))
+    return places.join(_anchored(codes), fits)
+
+
 def contains_words(left: DataFrame, code: str, right: DataFrame, text: str) -> DataFrame:
     """Left rows whose code stands between blanks in some right text.
 
-    Same result as a nested loop over ``' ' + text + ' ' LIKE '% ' + code + ' %'``,
-    as equality joins: every run of words of a text, for each word count that
-    occurs among the codes, is looked up among the codes. When Spark can broadcast the codes it
-    moves the lookup below the distinct step, so runs that are no code are dropped where they are made;
-    otherwise a run leaves each map task once, however many texts hold it.
+    Same result as a nested loop over ``' ' + text + ' ' LIKE '% ' + code + ' %'``. A code of one word is looked up among
+    the words of the texts. A longer one is anchored on the rarest pair of words in it, so a text is asked only
+    for codes whose pair it has, at the places where it has it; the words beside the pair are compared right
+    there, as part of the equality join. That settles codes of up to three words. A longer one is compared as
+    a whole in the texts that have got so far. No run of words is ever written out, and where Spark can broadcast the
+    codes no word of a text is shuffled.
     """
-    word_counts = left.agg(F.collect_set(F.size(F.split(code, " ")))).scalar()
-    words, n = F.col("__words"), F.col("__n")
-    starts = F.sequence(F.lit(1), F.size(words) - n + 1)
-    longer = F.transform(starts, lambda i: F.array_join(F.slice(words, i, n), " "))
-    runs = F.array_distinct(F.when(n == 1, words).otherwise(longer))
-    codes = left.select(F.col(code).alias("__phrase")).distinct()
-    phrases = (
-        right.where(F.col(text).isNotNull())
-        .select(F.split(text, " ").alias("__words"), F.explode(word_counts).alias("__n"))
-        .where(F.size(words) >= n)
-        .select(F.explode(runs).alias("__phrase"))
-        .distinct()
-        .join(codes, "__phrase", "left_semi")
-    )
-    # Phrases are distinct, so this is a semi join; as an inner one it isn't moved into each arm of a union.
+    codes = left.where(F.col(code).isNotNull()).select(F.col(code).alias("__phrase")).distinct()
+    codes = codes.select("__phrase", F.split("__phrase", " ").alias("__of"))
+    texts = right.where(F.col(text).isNotNull()).select(F.xxhash64(text).alias("__id"), F.split(text, " ").alias("__words"))
+    n = F.size("__of")
+    words = texts.select(F.explode(F.array_distinct("__words")).alias("__phrase"))
+    single = words.join(codes.where(n == 1).select("__phrase"), "__phrase").distinct()
+    settled = _met(texts, codes.where((n > 1) & (n <= SETTLED_WORDS))).select("__phrase").distinct()
+    open_ones = _met(texts, codes.where(n > SETTLED_WORDS)).select("__id", "__phrase", (F.col("__t_at") - F.col("__c_at")).alias("__from"), "__n")
+    # Texts with one hash are all looked at, so a clash of hashes changes nothing.
+    whole = texts.join(open_ones.where("__from >= 0").distinct(), "__id")
+    same = F.array_join(F.slice("__words", F.col("__from") + 1, F.col("__n")), " ") == F.col("__phrase")
+    phrases = single.unionByName(settled).unionByName(whole.where(same).select("__phrase").distinct())
     return left.join(phrases, F.col(code) == F.col("__phrase")).drop("__phrase")
