@@ -43,10 +43,12 @@ def labels(
 
     Labels are distinct per (identity, label): two ids with equal labels stay
     two entries. A numeric label is listed in numeric order: by its nearest DOUBLE, then
-    whole numbers beyond 2^53 by the rest.
+    whole numbers and decimals that share it by their whole part and by the rest.
     """
     dtype = df.schema[label].dataType
-    numeric, whole = isinstance(dtype, T.NumericType), isinstance(dtype, T.LongType)
+    numeric, exact = isinstance(dtype, T.NumericType), isinstance(dtype, (T.LongType, T.DecimalType))
+    whole = F.floor(F.col(label)) if exact else F.lit(None)
+    rest = F.col(label) - F.floor(F.col(label)) if isinstance(dtype, T.DecimalType) else F.lit(None)
     position = (F.col(label) if numeric else F.lit(None)).cast("double")
     return df.select(
         *keys,
@@ -54,14 +56,15 @@ def labels(
         F.col(label).cast("string").alias("label"),
         (F.col(identity).cast("string") if identity else F.lit(None).cast("string")).alias("identity"),
         position.alias("position"),
-        (F.col(label) if whole else F.lit(None)).cast("bigint").alias("place"),
+        whole.cast("decimal(38,0)").alias("place"),
+        rest.cast("decimal(38,37)").alias("rest"),
     )
 
 
 def roll_up_distinct(stacked: DataFrame, keys: list[str], rollups: list[Rollup]) -> DataFrame:
     """Aggregate already distinct labels; one row per key."""
     aggregates: list[Column] = []
-    order = [c for c in ("position", "place", "label") if c in stacked.columns]
+    order = [c for c in ("position", "place", "rest", "label") if c in stacked.columns]
     for r in rollups:
         aggregates.append(
             string_agg("label", r.sep, order_by=order, where=f"kind = '{r.kind}'").alias(r.text)

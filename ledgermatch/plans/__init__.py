@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+from collections import Counter
+from collections.abc import Callable, Iterable, Mapping
+from concurrent.futures import ThreadPoolExecutor
 from string import Formatter
 from typing import Any
 
@@ -54,14 +56,74 @@ class Catalog(Mapping[str, DataFrame]):
     def __init__(self, inputs: Relations) -> None:
         self._inputs = inputs
         self._built: dict[str, DataFrame] = {}
+        self._asked: dict[str, set[str]] = {}
+        self._building: list[str] = []
 
     def __getitem__(self, name: str) -> DataFrame:
+        if self._building:
+            self._asked[self._building[-1]].add(name)
+        if name in self._built:
+            return self._built[name]
         if name not in DATASETS:
             return self._inputs[name]
-        if name not in self._built:
+        self._asked[name] = set()
+        self._building.append(name)
+        try:
             self._built[name] = DATASETS[name](self)
+        finally:
+            self._building.pop()
         return self._built[name]
 
+    def rests_on(self, names: Iterable[str]) -> dict[str, set[str]]:
+        """The relations that each of ``names``, and each derived dataset below them, asks for; in order of dependency."""
+        graph: dict[str, set[str]] = {}
+
+        def visit(name: str) -> None:
+            if name in DATASETS and name not in graph:
+                _ = self[name]
+                for other in sorted(self._asked[name]):
+                    visit(other)
+                graph[name] = self._asked[name]
+
+        for name in names:
+            visit(name)
+        return graph
+
+    def materialised(self, folder: str, names: Iterable[str], inputs: bool = False, parallelism: int = 4) -> Catalog:
+        """A catalog in which everything that several of ``names`` rest on has been written below ``folder`` once.
+
+        Shared datasets are those that are asked for twice or more, being one of ``names`` counting as well. They are written as
+        Parquet in order of dependency, a few at a time, each from what is written already; the rest stays lazy.
+        Inputs are read where they are, unless ``inputs`` says that they are costly too.
+        """
+        names = list(names)
+        graph = self.rests_on(names)
+        asked = Counter(other for others in graph.values() for other in others) + Counter(dict.fromkeys(names, 1))
+        out = Catalog(self._inputs)
+
+        def write(name: str) -> None:
+            frame = out[name]
+            frame.write.mode("overwrite").parquet(f"{folder}/{name}")
+            written[name] = frame.sparkSession.read.schema(frame.schema).parquet(f"{folder}/{name}")
+
+        shared = [n for n in graph if asked[n] > 1]
+        waves = [[n for n in asked if n not in DATASETS and asked[n] > 1]] if inputs else []
+        depth: dict[str, int] = {}
+        for name in graph:  # below before above
+            depth[name] = max((depth[o] + (o in shared) for o in graph[name] if o in depth), default=0)
+        waves += [[n for n in shared if depth[n] == level] for level in range(max(depth.values(), default=-1) + 1)]
+        done: dict[str, DataFrame] = {}
+        for wave in filter(None, waves):
+            written: dict[str, DataFrame] = {}
+            for name in wave:
+                _ = out[name]  # plans are built here, in one thread
+            with ThreadPoolExecutor(parallelism) as pool:
+                list(pool.map(write, wave))
+            done |= written
+            out = Catalog(self._inputs)
+            out._built |= done
+        return out
+
     def __iter__(self):
         yield from dict.fromkeys([*self._inputs, *DATASETS])
 

@@ -20,6 +20,7 @@ What others put there has one of three forms, read where there is no manifest:
 from __future__ import annotations
 
 import json
+import re
 import threading
 import uuid
 from dataclasses import dataclass
@@ -257,11 +258,19 @@ class Landing:
         return {name: self.load(side, name) for name in datasets}
 
 
-def write_summary(summary: DataFrame, report_dir: str, check_list: str) -> None:
-    """Append a run's summary rows, stamped with the time and the list's name."""
+def write_summary(summary: DataFrame, report_dir: str, check_list: str, run_id: str | None = None) -> str:
+    """Add a run's summary rows, stamped with the time, the list's name and the run; returns the run's id.
+
+    Each run has a partition of its own (``run_id=...``), so the report reads as one table. A run that is repeated under its
+    id replaces its rows; without an id every call is a run of its own.
+    """
+    run_id = run_id or uuid.uuid4().hex
+    if not re.fullmatch(r"[A-Za-z0-9_.-]+", run_id):
+        raise ValueError(f"'{run_id}' can't name a folder: letters, digits and _ . - only")
     (
         summary.withColumn("check_list", F.lit(check_list))
         .withColumn("run_ts", F.date_format(F.current_timestamp(), "yyyyMMdd_HHmmss"))
-        .write.mode("append")
-        .json(report_dir)
+        .write.mode("overwrite")
+        .json(f"{report_dir}/run_id={run_id}")
     )
+    return run_id

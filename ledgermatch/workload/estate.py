@@ -13,6 +13,7 @@ from ledgermatch.operators.snapshot import write_consolidation
 from ledgermatch.plans import DATASETS, Catalog
 from ledgermatch.qa import column_lists, row_counts
 from ledgermatch.recon.diff import except_rows
+from ledgermatch.recon.report import summary
 from ledgermatch.recon.spec import CheckSpec, CheckSuite
 from ledgermatch.recon.suite import run_suite
 from ledgermatch.recon.verdict import verdict
@@ -33,8 +34,8 @@ def _shared_folder(spark: SparkSession) -> str:
 
 
 def qa_row_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows of every derived dataset."""
-    return row_counts(Catalog(relations(spark, sf_dir)), DATASETS)
+    """Rows of every derived dataset; what several of them rest on is computed once."""
+    return row_counts(Catalog(relations(spark, sf_dir)).materialised(_shared_folder(spark), DATASETS, inputs=True), DATASETS)
 
 
 def qa_table_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -193,7 +194,25 @@ def summary_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.json(f"{path}/report").select("name", "rows_count", "columns", "data", "status", "check_list")
 
 
+def summary_sink_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two runs of a suite, the first repeated under its id: the report holds each run once, as it was last."""
+    orders = relations(spark, sf_dir)["orders"].select("o_orderkey", "o_orderstatus")
+    results = [verdict(orders, trg, CheckSpec("orders")) for trg in (orders, altered_orders(relations(spark, sf_dir)["orders"]).select("o_orderkey", "o_orderstatus"))]
+    report = f"{_shared_folder(spark)}/report"
+    for run_id, result in (("first", results[0]), ("second", results[0]), ("first", results[1])):
+        write_summary(summary(result), report, "data_list", run_id)
+    return spark.read.json(report).select("run_id", "name", "rows_count", "columns", "data", "status", "check_list")
+
+
+def qa_view_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Columns of every derived dataset, in order, next to their number."""
+    lists = column_lists(spark, Catalog(relations(spark, sf_dir)), DATASETS)
+    return lists.withColumn("n_columns", F.size(F.split("columns_list", ", ")).cast("long"))
+
+
 QUERIES = {
+    "summary_sink_runs": summary_sink_runs,
+    "qa_view_columns": qa_view_columns,
     "recon_column_named_side": recon_column_named_side,
     "recon_digest_collated": recon_digest_collated,
     "landing_format_change": landing_format_change,
@@ -219,6 +238,15 @@ _TABLE_COUNTS = "\nUNION ALL ".join(
 )
 
 ORACLE = {
+    "summary_sink_runs": f"""
+SELECT run_id, 'orders' AS name, if(lost > 0 AND run_id = 'first', 'FAIL', 'PASS') AS rows_count, 'PASS' AS columns,
+       if(lost + changed > 0 AND run_id = 'first', 'FAIL', 'PASS') AS data, if(lost + changed > 0 AND run_id = 'first', 'FAIL', 'PASS') AS status, 'data_list' AS check_list
+FROM (SELECT count(*) FILTER (NOT ({_KEPT})) AS lost, count(*) FILTER ({_KEPT} AND {_CHANGED}) AS changed FROM orders),
+     (VALUES ('first'), ('second')) runs(run_id)
+""",
+    "qa_view_columns": "\nUNION ALL ".join(
+        f"SELECT '{name}' AS view_name, string_agg(column_name, ', ') AS columns_list, count(*) AS n_columns FROM (DESCRIBE ({sql}))" for name, sql in DERIVED_SQL.items()
+    ),
     "recon_column_named_side": """
 SELECT 'src' AS __side, o_orderkey, o_orderstatus AS side FROM orders WHERE o_orderkey % 100 = 0 AND o_orderstatus <> 'Z'
 UNION ALL SELECT 'trg', o_orderkey, 'Z' FROM orders WHERE o_orderkey % 100 = 0 AND o_orderstatus <> 'Z'

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import itertools
 import random
+from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
@@ -118,3 +119,20 @@ def test_numeric_labels_of_any_size_in_order(spark):
     assert listed([2e33, 1e33], "double") == "1.0E33, 2.0E33"
     assert listed([1e-7, 2e-8], "double") == "2.0E-8, 1.0E-7"
     assert listed([10, 9, 2**62 + 1, 2**62], "bigint") == f"9, 10, {2**62}, {2**62 + 1}"
+
+
+def test_decimal_labels_are_listed_in_numeric_order(spark):
+    values = ["100000000000000000.01", "99999999999999999.99", "99999999999999999.98", "-100000000000000000.01", "-100000000000000000.02", "9.50", "10.00", "-0.01", "0.00"]
+    for kind in ("decimal(25,2)", "decimal(38,20)"):
+        df = spark.createDataFrame([("k", v) for v in values] * 2, "k string, v string").withColumn("v", F.col("v").cast(kind))
+        listed = roll_up([labels(df, "v", ["k"], "v")], ["k"], [Rollup("v", "listed", "n")]).first()
+        assert [Decimal(x) for x in listed["listed"].split(", ")] == sorted(map(Decimal, values)) and listed["n"] == len(values)
+
+
+def test_long_codes_are_found_word_by_word(spark):
+    text = "a b c d e f g a b c d x a b c d e"
+    codes = ["a b c d e f g a", "b c d x a b", "c d e f", "c d e g", "a b c d e f g b", text, f"{text} y", "d x", "x", "", " ", "a  b", "g a b c d x a b c d e"]
+    texts = spark.createDataFrame([(text,), ("a  b",), (None,), ("",)], "text string")
+    left = spark.createDataFrame([(c,) for c in codes] + [(None,)], "code string")
+    expected = sorted(c for c in codes if any(f" {c} " in f" {t} " for t in (text, "a  b", "")))
+    assert sorted(r[0] for r in contains_words(left, "code", texts, "text").collect()) == expected

@@ -131,3 +131,20 @@ def test_large_lists_are_never_forced_to_broadcast(spark, landed):
         assert "Broadcast" not in plan(contains_words(codes, "code", texts, "text"))
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_shared_datasets_are_written_once_in_order(spark, sf_dir, tmp_path):
+    from ledgermatch.fixtures import RELATIONS, relations
+    from ledgermatch.plans import DATASETS, Catalog
+
+    catalog = Catalog(relations(spark, sf_dir))
+    names = ["nsa_v_all_sc_ref_grouped_1", "nsa_v_all_sc_ref_grouped_2", "nsa_v_news_map_variant"]
+    graph = catalog.rests_on(names)
+    assert set(names) <= set(graph) and "nsa_v_news_map" in graph["nsa_v_news_map_variant"]
+    listed = list(graph)
+    assert all(listed.index(o) < listed.index(n) for n in graph for o in graph[n] if o in DATASETS)
+    done = catalog.materialised(str(tmp_path), [*names, "nsa_v_news_map"], inputs=True)
+    written = {p.name for p in tmp_path.iterdir()}
+    assert "nsa_v_news_map" in written and "nsa_v_news_map_variant" not in written and written <= set(DATASETS) | set(RELATIONS)
+    for name in names:
+        assert done[name].exceptAll(catalog[name]).isEmpty() and done[name].count() == catalog[name].count()

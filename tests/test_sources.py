@@ -291,3 +291,14 @@ def test_documents_that_are_broken_or_hold_other_rows(spark, tmp_path, small_ran
     path.write_text(text, encoding="utf-8")
     with pytest.raises(ValueError, match=message):
         read_json_document(spark, str(path), "d").collect()
+
+
+def test_a_repeated_run_replaces_its_summary(spark, tmp_path):
+    report = str(tmp_path / "report")
+    row = spark.createDataFrame([("a", "PASS"), ("b", "FAIL")], "name string, status string")
+    first = write_summary(row, report, "data_list")
+    write_summary(row, report, "data_list", "night-1")
+    write_summary(row.limit(1), report, "data_list", "night-1")
+    assert {(r["run_id"], r["count"]) for r in spark.read.json(report).groupBy("run_id").count().collect()} == {(first, 2), ("night-1", 1)}
+    with pytest.raises(ValueError, match="can't name a folder"):
+        write_summary(row, report, "data_list", "a/b")
