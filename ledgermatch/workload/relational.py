@@ -24,6 +24,7 @@ from ledgermatch.functions.text import (
     null_text,
     string_agg,
 )
+from ledgermatch.operators.combine import combinations
 from ledgermatch.operators.lookup import (
     contains_words,
     exists,
@@ -586,12 +587,10 @@ LEFT JOIN conversations a ON a.conv_id = c.conv_id AND a.role = 'assistant'
 LEFT JOIN conversations s ON s.conv_id = c.conv_id AND s.role = 'system'
 """)
 def eav_multi_left_join(t: Tables) -> DataFrame:
-    """One left join per attribute; every combination of values is a row."""
-    out = t["conversations"].select("conv_id").distinct()
-    for role in ("user", "assistant", "system"):
-        typed = t["conversations"].where(F.col("role") == role)
-        out = out.join(typed.select("conv_id", F.col("turn").alias(f"{role}_turn")), "conv_id", "left")
-    return out
+    """Every combination of a conversation's turns by role; a role without turns leaves NULL."""
+    talk = t["conversations"]
+    typed = [(talk.where(F.col("role") == role).select("conv_id", F.col("turn").alias(f"{role}_turn")), f"{role}_turn") for role in ("user", "assistant", "system")]
+    return combinations(talk.select("conv_id").distinct(), "conv_id", typed)
 
 
 # --- set operations ---------------------------------------------------------

@@ -9,6 +9,7 @@ from decimal import Decimal
 import pytest
 from pyspark.sql import functions as F
 
+from ledgermatch.operators.combine import combinations
 from ledgermatch.operators.lookup import (
     contains_words,
     left_with,
@@ -136,3 +137,25 @@ def test_long_codes_are_found_word_by_word(spark):
     left = spark.createDataFrame([(c,) for c in codes] + [(None,)], "code string")
     expected = sorted(c for c in codes if any(f" {c} " in f" {t} " for t in (text, "a  b", "")))
     assert sorted(r[0] for r in contains_words(left, "code", texts, "text").collect()) == expected
+
+
+def test_combinations_are_those_of_left_joins(spark):
+    rng = random.Random(9)
+    rows = lambda n: [(rng.choice([None, 1, 2, 3, 4]), rng.choice([None, "a", "b", "c", "d"])) for _ in range(n)]
+    keys = spark.createDataFrame([(k,) for k in (None, 1, 2, 3, 4, 5)], "k int")
+    attributes = [(spark.createDataFrame(rows(n), f"k int, v{n} string"), f"v{n}") for n in (12, 9, 0, 3)]
+    expected = keys
+    for frame, _ in attributes:
+        expected = expected.join(frame, "k", "left")
+    got = combinations(keys, "k", attributes)
+    assert got.columns == expected.columns and values(got) == values(expected)
+
+
+def test_a_hot_key_is_unfolded_by_many_tasks(spark):
+    values_of = lambda name: (spark.range(100).select(F.lit(7).alias("k"), F.col("id").alias(name)), name)
+    keys = spark.createDataFrame([(7,), (8,)], "k int")
+    got = combinations(keys, "k", [values_of("a"), values_of("b"), values_of("c")])
+    rows = got.withColumn("part", F.spark_partition_id()).groupBy("part").agg(F.count("*").alias("n"), F.sum(F.hash("a", "b", "c").cast("long")).alias("h")).collect()
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert sum(r["n"] for r in rows) == 1_000_001 and max(r["n"] for r in rows) < 2 * 1_000_000 / tasks
+    assert got.where("k = 7").distinct().count() == 1_000_000
