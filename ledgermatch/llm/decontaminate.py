@@ -3,7 +3,7 @@
 The benchmark's windows of words form a hash set that every task holds; the
 corpus is scanned once, all windows of a batch of texts hashed together in numpy,
 and each hit is verified word by word. Only sets of a checked size are broadcast
-(``SET_WINDOWS`` windows); a larger benchmark is cut into that many sets and the
+(``SET_BYTES`` bytes); a larger benchmark is cut into that many sets and the
 corpus scanned once per set, with the hits so far written in between. The result is the
 same.
 """
@@ -22,21 +22,30 @@ from ledgermatch.llm.batches import LOWER, STRICT_WORD, Run, runs, windows
 from ledgermatch.llm.shared import materialise
 
 WINDOW_WORDS = 10
-#: Windows in one broadcast set, some 100 bytes each.
-SET_WINDOWS = 500_000
+#: Bytes of one broadcast set at most, as its rows are estimated; a set is one pass over the documents.
+SET_BYTES = 128 << 20
+#: Estimated bytes of a window and of an item's id beside their texts.
+ROW_BYTES, ID_BYTES = 400, 80
+#: Items in a row of a window, about; a window of more has several rows, which may be in several sets.
+ROW_ITEMS = 1000
 
 _UPPER_TEXT, _LOWER_TEXT = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _FILTER = 1 << 22
 
 
-def grams(benchmark: DataFrame, width: int = WINDOW_WORDS) -> DataFrame:
-    """Distinct windows (gram, n_words, items) of the benchmark; an item of fewer words is one window."""
+def grams(benchmark: DataFrame, width: int, row_items: int) -> DataFrame:
+    """Windows (gram, n_words, part, items) of the benchmark; an item of fewer words is one window.
+
+    The items of a window are dealt out to as many rows as ``row_items`` asks for, however many share it.
+    """
     words = F.regexp_extract_all(F.translate("text", _UPPER_TEXT, _LOWER_TEXT), F.lit(_WORD), F.lit(0))
     listed = benchmark.select(F.col("item_id").cast("string").alias("item"), words.alias("words")).where("size(words) > 0")
     at = F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("words") - width + 1)))
     each = listed.select("item", "words", at.alias("at")).select("item", F.slice("words", F.col("at"), F.lit(width)).alias("gram"))
-    return each.groupBy(F.array_join("gram", " ").alias("gram"), F.size("gram").alias("n_words")).agg(
+    parts = max(1, math.ceil(benchmark.count() / row_items))
+    part = F.pmod(F.xxhash64("item"), F.lit(parts)).alias("part")
+    return each.groupBy(F.array_join("gram", " ").alias("gram"), F.size("gram").alias("n_words"), part).agg(
         F.array_sort(F.collect_set("item")).alias("items")
     )
 
@@ -45,7 +54,9 @@ class GramSet:
     """A set of windows with the items of each, to be looked up by hash and then by words."""
 
     def __init__(self, rows: list) -> None:
-        self.items = {row.gram.encode(): list(row["items"]) for row in rows}
+        self.items: dict[bytes, list[str]] = {}
+        for row in rows:
+            self.items.setdefault(row.gram.encode(), []).extend(row["items"])
         self.by_width: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         by_width: dict[int, list[str]] = {}
         for row in rows:
@@ -124,25 +135,28 @@ def _finder(known) -> Column:
     return find(F.col("text"))
 
 
-def find_benchmark(docs: DataFrame, benchmark: DataFrame, *carry: str, width: int = WINDOW_WORDS, set_windows: int = SET_WINDOWS) -> DataFrame:
+def find_benchmark(docs: DataFrame, benchmark: DataFrame, *carry: str, width: int = WINDOW_WORDS, set_bytes: int = SET_BYTES) -> DataFrame:
     """Columns ``carry``, text, n_words, ranges (merged hit ranges of words) and items of every document.
 
-    NULL or empty text: no words, nothing found. A benchmark item without words has
+    Windows are broadcast in sets of ``set_bytes`` at most, a pass over the documents each. NULL or empty text: no words, nothing found. A benchmark item without words has
     no window; one without item_id marks words, but has no id to list. An empty benchmark finds nothing.
     """
     spark = docs.sparkSession
-    table = materialise(grams(benchmark, width), "grams")
-    sets = max(1, math.ceil(table.count() / set_windows))
+    table = materialise(grams(benchmark, width, ROW_ITEMS), "grams")
+    ids = F.aggregate("items", F.lit(0), lambda n, i: n + F.octet_length(i) + ID_BYTES)
+    total = table.agg(F.sum(F.lit(ROW_BYTES) + F.octet_length("gram") + ids)).first()[0] or 0
+    sets = max(1, math.ceil(total / set_bytes))
     out = docs.select(*carry, "text", F.lit(0).cast("long").alias("n_words"), F.array().cast(_RANGES).alias("ranges"), F.array().cast("array<string>").alias("items"))
     for k in range(sets):
-        rows = table.where(F.pmod(F.xxhash64("gram"), F.lit(sets)) == k).collect()
-        found = out.withColumn("found", _finder(spark.sparkContext.broadcast(GramSet(rows))))
+        known = spark.sparkContext.broadcast(GramSet(table.where(F.pmod(F.xxhash64("gram", "part"), F.lit(sets)) == k).collect()))
+        found = out.withColumn("found", _finder(known))
         merged = F.col("found.ranges") if sets == 1 else merge_ranges(F.concat("ranges", "found.ranges"))
         out = found.select(
             *carry, "text", F.col("found.n_words").alias("n_words"), merged.alias("ranges"), F.array_union("items", "found.items").alias("items")
         )
         if k + 1 < sets:
             out = materialise(out, f"found{k}")
+            known.destroy()
     return out
 
 

@@ -375,12 +375,23 @@ def test_decontaminate(spark, sf_dir, docs, texts):
     ids = sorted(texts)
     expected = brute.decontaminate([texts[i] for i in ids], items)
     n_hit = F.aggregate("ranges", F.lit(0).cast("long"), lambda n, r: n + r["hi"] - r["lo"])
-    for size in (500_000, 60):  # one set, several
-        found = decontaminate.find_benchmark(docs, bench, "doc_id", set_windows=size)
+    for size in (decontaminate.SET_BYTES, 40_000):  # one set, several
+        found = decontaminate.find_benchmark(docs, bench, "doc_id", set_bytes=size)
         got = by_id(found, "n_words", n_hit, F.size("items"), F.sha2(F.array_join(F.array_sort("items"), ","), 256), F.size("ranges") > 0)
         assert [got[i] for i in ids] == expected
 
 
+def test_a_passage_of_all_items_is_dealt_out(spark, monkeypatch):
+    passage = "one two three four five six seven eight nine ten eleven"
+    items = [(i, f"{passage} own{i}") for i in range(60)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    assert max(len(r["items"]) for r in decontaminate.grams(bench, 10, 5).collect()) < 20
+    docs = spark.createDataFrame([(1, f"x {passage} y"), (2, "one two three"), (3, f"{passage} own7")], "doc_id long, text string")
+    monkeypatch.setattr(decontaminate, "ROW_ITEMS", 5)
+    found = {r.doc_id: (len(r["items"]), [tuple(x) for x in r.ranges]) for r in decontaminate.find_benchmark(docs, bench, "doc_id", set_bytes=20_000).collect()}
+    assert found == {1: (60, [(1, 12)]), 2: (0, []), 3: (60, [(0, 12)])}
+
+
 def test_decontaminated_documents(spark):
     odd, bench = documents(spark), spark.createDataFrame(ITEMS, "item_id long, text string")
     hit = {i for i, x in enumerate(brute.decontaminate(TEXTS, ITEMS)) if x[-1]}
