@@ -13,17 +13,13 @@ residents are cut into blocks by hash, and each block meets all visitors. Copies
 share a fingerprint, so they take part once. A block reports the forest of its links
 (fewer edges than fingerprints), never all pairs.
 
-``near_duplicates`` links 64-bit fingerprints at three bits. Texts that share 0.8 of their shingles
-lie some ten bits apart, so ``drop_near_copies`` compares fingerprints of 512 bits at a radius
-that loses next to none of this share; there bands of text lengths take the place of population counts.
-These links are candidates only: a second pass over the groups that they make compares the shingles themselves.
+``near_duplicates`` labels documents, ``drop_near_duplicates`` keeps one of each group.
 """
 
 from __future__ import annotations
 
 import itertools
-import math
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +28,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ledgermatch.llm.batches import mix
 from ledgermatch.llm.components import connected_components
 from ledgermatch.llm.shared import materialise
 
@@ -43,23 +38,6 @@ BLOCK_ROWS = 16384
 #: Fingerprints on the other side of one exclusive-or.
 STRIP_ROWS = 1024
 SEED = 42
-_STEP = np.uint64(0x9E3779B97F4A7C15)
-
-#: Near copies of whole texts: words of a shingle, and the least share of common shingles.
-COPY_WORDS = 5
-SIMILARITY = 0.8
-#: Longs of their fingerprints.
-COPY_LONGS = 8
-#: Differing bits of candidates at most. A share of SIMILARITY makes 78 on average, 8 more or less, and at most 83 if
-#: the shorter text has five shingles or more, 96 if it has four; with fewer only equal shingles share so much.
-COPY_RADIUS = 128
-#: Of these in the first long, which is compared first, and in the first two: ten and twenty on average, three and four more or less.
-COPY_FIRST, COPY_SECOND = 25, 42
-#: Residents of a block of these, and their shingles where those are compared.
-COPY_BLOCK_ROWS = 65536
-COPY_BLOCK_SHINGLES = 1 << 22
-#: Pairs whose shingles are compared before trees that have met are left out.
-COPY_PAIRS = 512
 
 
 #: The bits of each byte value, a lane of eight bits for each.
@@ -97,16 +75,13 @@ def _shingle_hashes(texts: list[bytes | None], width: int) -> tuple[np.ndarray,
     return np.array(hashes, np.uint64), np.array(sizes, np.int64)
 
 
-def _fingerprints(hashes: np.ndarray, sizes: np.ndarray, longs: int = 1) -> np.ndarray:
-    """Fingerprint of each text, a row of ``longs``; the first comes of the hashes, the others of mixed ones."""
-    out = np.zeros((len(sizes), longs), np.uint64)
+def _fingerprints(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Fingerprint of each text from its shingles' hashes."""
+    out = np.zeros(len(sizes), np.uint64)
     full = sizes > 0
     if full.any():
         heads = np.concatenate([[0], np.cumsum(sizes[full])[:-1]])
-        for k in range(longs):
-            with np.errstate(over="ignore"):
-                own = mix(hashes + np.uint64(k) * _STEP) if k else hashes
-            out[full, k] = _fingerprint_bits(own, heads, sizes[full])
+        out[full] = _fingerprint_bits(hashes, heads, sizes[full])
     return out
 
 
@@ -118,7 +93,7 @@ def fingerprint(text: Column | str, width: int = SHINGLE_WORDS) -> Column:
         wide, out = column.cast(pa.large_binary()), []
         # In small steps: the hashes of many long texts together would be large.
         for at in range(0, len(wide), 64):
-            out.append(_fingerprints(*_shingle_hashes(wide.slice(at, 64).to_pylist(), width))[:, 0])
+            out.append(_fingerprints(*_shingle_hashes(wide.slice(at, 64).to_pylist(), width)))
         return pa.array(np.concatenate([np.empty(0, np.uint64), *out]).view(np.int64))
 
     return of(text)
@@ -159,26 +134,14 @@ def _join(label: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
             label[:] = label[label]
 
 
-#: For the columns of two strips: the rows of each that are linked.
-Linked = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
-
-
-def _within(radius: int) -> Linked:
-    """Rows whose first values differ in at most ``radius`` bits."""
-    return lambda a, b: np.nonzero(np.bitwise_count(a[:, None, 0] ^ b[None, :, 0]) <= radius)
-
-
 class _Block:
-    """Residents of one block and the trees that links have made of them so far.
-
-    Items are rows of unsigned longs, of which the first names the item.
-    """
+    """Residents (fingerprints) of one block and the trees that links have made of them so far."""
 
-    def __init__(self, linked: Linked, residents: np.ndarray) -> None:
-        self.linked, self.residents, self.label = linked, residents, np.arange(len(residents))
+    def __init__(self, radius: int, residents: np.ndarray) -> None:
+        self.radius, self.residents, self.label = radius, residents, np.arange(len(residents))
 
     def meet(self, visitors: np.ndarray | None) -> Iterator[np.ndarray]:
-        """Compare every resident with every visitor (None: with each other); names (2, n) that links join."""
+        """Compare every resident with every visitor (None: with each other); fingerprints (2, n) that links join."""
         own = visitors is None
         guests = self.residents if own else visitors
         n = len(self.residents)
@@ -187,25 +150,18 @@ class _Block:
             label = self.label if own else np.concatenate([self.label, n + np.arange(len(strip))])
             for lo in range(0, at + len(strip) if own else n, STRIP_ROWS):
                 part = self.residents[lo : lo + STRIP_ROWS]
-                i, j = self.linked(part, strip)
+                i, j = np.nonzero(np.bitwise_count(part[:, None] ^ strip[None, :]) <= self.radius)
                 if own:
                     ordered = lo + i < at + j
                     i, j = i[ordered], j[ordered]
                 if len(i):
-                    kept = self.joins(label, part, strip, i, j, lo, at if own else n)
-                    yield np.stack([part[i[kept], 0], strip[j[kept], 0]]).astype(np.uint64)
+                    kept = _join(label, lo + i, (at if own else n) + j)
+                    yield np.stack([part[i[kept]], strip[j[kept]]])
             self.label = label[:n]
 
-    def joins(self, label: np.ndarray, part: np.ndarray, strip: np.ndarray, i: np.ndarray, j: np.ndarray, lo: int, at: int) -> np.ndarray:
-        """Which of the linked rows (i of ``part``, from ``lo`` on; j of ``strip``, from ``at`` on) join what was apart."""
-        return _join(label, lo + i, at + j)
-
 
-def _compare(linked: Linked, columns: Callable[[pa.RecordBatch], np.ndarray], kind_of_block: type[_Block] = _Block):
-    """mapInArrow over rows sorted by (tile, block, visitor): links (a, b) between items.
-
-    ``columns`` makes rows of unsigned longs (or objects) of a batch's columns after those three.
-    """
+def _compare(radius: int):
+    """mapInArrow over rows (tile, block, visitor, fp), sorted by the first three: links (a, b) between fingerprints."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, at, pending = None, None, []
@@ -221,13 +177,13 @@ def _compare(linked: Linked, columns: Callable[[pa.RecordBatch], np.ndarray], ki
             """The residents are complete: compare them with each other."""
             nonlocal block
             if pending:
-                block = kind_of_block(linked, np.concatenate(pending))
+                block = _Block(radius, np.concatenate(pending))
                 pending.clear()
                 out.extend(block.meet(None))
 
         for batch in batches:
             tile, part, visitor = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
-            items = columns(batch)
+            items = batch.column(3).to_numpy().view(np.uint64)
             kind = np.stack([tile, part, visitor.astype(np.int64)])
             cuts = np.flatnonzero(np.any(kind[:, 1:] != kind[:, :-1], axis=0)) + 1
             for lo, hi in itertools.pairwise([0, *cuts.tolist(), len(items)]):
@@ -249,10 +205,6 @@ def _compare(linked: Linked, columns: Callable[[pa.RecordBatch], np.ndarray], ki
     return run
 
 
-def _one_long(batch: pa.RecordBatch) -> np.ndarray:
-    return batch.column(3).to_numpy().view(np.uint64)[:, None]
-
-
 def links(fingerprints: DataFrame, radius: int = RADIUS) -> DataFrame:
     """A forest (a, b) of the links between distinct fingerprints (column ``fp``) that differ in at most ``radius`` bits.
 
@@ -278,225 +230,59 @@ def links(fingerprints: DataFrame, radius: int = RADIUS) -> DataFrame:
     return (
         met.repartition("tile", "part")
         .sortWithinPartitions("tile", "part", "visitor")
-        .mapInArrow(_compare(_within(radius), _one_long), "a long, b long")
+        .mapInArrow(_compare(radius), "a long, b long")
     )
 
 
-def near_duplicates(docs: DataFrame, width: int = SHINGLE_WORDS, radius: int = RADIUS) -> DataFrame:
-    """(doc_id, fp, component_id) for every document.
+def _marked(docs: DataFrame, width: int) -> DataFrame:
+    """(doc_id, key, fp) of every document, as a table; ``key`` tells the texts of a doc_id apart."""
+    return materialise(docs.select("doc_id", F.xxhash64("text").alias("key"), fingerprint("text", width).alias("fp")), "fingerprints")
 
-    Fingerprints within ``radius`` bits are linked; component_id is the least
-    doc_id that links reach, the own one included. NULL or empty text: fingerprint
-    zero, linked like any other. NULL doc_id: takes part, is never the least;
-    component_id is NULL if no document of the component has an id.
-    Repeated rows come out as often as they came in. An empty table gives an empty one.
+
+def _groups(marked: DataFrame, radius: int) -> DataFrame:
+    """(fp, component, component_id) of every distinct fingerprint, as a table.
+
+    Both sides of the join that follows are plain tables, so a fingerprint of very many copies can be split among tasks.
     """
-    marked = materialise(docs.select("doc_id", fingerprint("text", width).alias("fp")), "fingerprints")
     first = materialise(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct")
     label = connected_components(links(first, radius))
     labelled = first.join(label, first.fp == label.node, "left").select(
         "fp", "first_id", F.coalesce("component", "fp").alias("component")
     )
     least = labelled.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    # Both sides of the join are plain tables, so a fingerprint of very many copies can be split among tasks.
-    ids = materialise(labelled.join(least, "component").select("fp", "component_id"), "ids")
-    return marked.join(ids, "fp").select("doc_id", "fp", "component_id")
-
-
-def _one_each(docs: DataFrame, stays: DataFrame) -> DataFrame:
-    """The row with the least text of each doc_id in ``stays``, and all rows without one."""
-    wide = docs.select(F.struct("*").alias("row"), "doc_id", "text")
-    chosen = wide.where("doc_id is not null").join(stays, F.col("doc_id") == F.col("stays"))
-    order = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_last()))
-    return (
-        chosen.withColumn("turn", order).where("turn = 1").select("row.*")
-        .unionByName(wide.where("doc_id is null").select("row.*"))
-    )
-
-
-def drop_near_duplicates(docs: DataFrame, width: int = 5, radius: int = RADIUS) -> DataFrame:
-    """One document of each component, that with the least doc_id, with all its columns.
-
-    Of rows that share that doc_id the one with the least text stays. Documents
-    without an id can't be told apart and stay as they are.
-    """
-    stays = near_duplicates(docs, width, radius).where("doc_id = component_id").select(F.col("doc_id").alias("stays")).distinct()
-    return _one_each(docs, stays)
-
-
-# Near copies: the same comparison with long fingerprints and a wide radius, then with shingles.
-
-
-def _copy_shingles(texts: list[bytes | None], width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the shingles of all texts, a later place of a repeated one by a hash of its own, and how many each text has.
-
-    So a text is a set, and how far fingerprints lie apart depends on shared shingles only, however often some are repeated.
-    """
-    hashes, sizes = _shingle_hashes(texts, width)
-    row = np.repeat(np.arange(len(sizes)), sizes)
-    order = np.lexsort((hashes, row))
-    ordered, row = hashes[order], row[order]
-    new = np.ones(len(order), bool)
-    new[1:] = (ordered[1:] != ordered[:-1]) | (row[1:] != row[:-1])
-    place = np.arange(len(order))
-    place = place - np.maximum.accumulate(np.where(new, place, 0))
-    with np.errstate(over="ignore"):
-        hashes[order] = np.where(new, ordered, mix(mix(ordered) + place.astype(np.uint64) * _STEP))
-    return hashes, sizes
-
-
-_COPY = "struct<n:long,fp:binary,words:binary"
-
-
-def _copy_columns_of(column: pa.Array, width: int, shingles: bool) -> pa.StructArray:
-    wide, n, prints, names, sets = column.cast(pa.large_binary()), [np.empty(0, np.int64)], [], [], []
-    # In small steps: the hashes of many long texts together would be large.
-    for at in range(0, len(wide), 64):
-        texts = wide.slice(at, 64).to_pylist()
-        hashes, sizes = _copy_shingles(texts, width)
-        n.append(sizes)
-        prints += [row.tobytes() for row in _fingerprints(hashes, sizes, COPY_LONGS)]
-        names += [xxhash.xxh128_digest(b" ".join((t or b"").lower().split()), SEED) for t in texts]
-        if shingles:
-            sets += [np.sort(x).tobytes() for x in np.split(hashes, np.cumsum(sizes)[:-1])]
-    fields = {"n": pa.array(np.concatenate(n)), "fp": pa.array(prints, pa.binary()), "words": pa.array(names, pa.binary())}
-    if shingles:
-        fields["shingles"] = pa.array(sets, pa.binary())
-    return pa.StructArray.from_arrays(list(fields.values()), list(fields))
-
-
-def copy_fingerprint(text: Column | str, width: int = COPY_WORDS) -> Column:
-    """Shingles n, long fingerprint fp (binary) and a hash ``words`` of the words of each whole text; zeros for a text without words."""
-
-    @F.arrow_udf(_COPY + ">")
-    def of(column: pa.Array) -> pa.Array:
-        return _copy_columns_of(column, width, shingles=False)
-
-    return of(text)
+    return materialise(labelled.join(least, "component").select("fp", "component", "component_id"), "ids")
 
 
-def copy_shingles(text: Column | str, width: int = COPY_WORDS) -> Column:
-    """The same, and the sorted hashes of all shingles (binary)."""
-
-    @F.arrow_udf(_COPY + ",shingles:binary>")
-    def of(column: pa.Array) -> pa.Array:
-        return _copy_columns_of(column, width, shingles=True)
-
-    return of(text)
-
-
-def _copies(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Rows (name, n, fingerprint) that may be near copies."""
-    i, j = np.nonzero(np.bitwise_count(a[:, None, 2] ^ b[None, :, 2]) <= COPY_FIRST)
-    if len(i):
-        apart = np.bitwise_count(a[i, 2] ^ b[j, 2]) + np.bitwise_count(a[i, 3] ^ b[j, 3])
-        i, j = i[apart <= COPY_SECOND], j[apart <= COPY_SECOND]
-        x, y = a[i], b[j]
-        alike = np.minimum(x[:, 1], y[:, 1]) >= SIMILARITY * np.maximum(x[:, 1], y[:, 1])
-        near = alike & (np.bitwise_count(x[:, 2:] ^ y[:, 2:]).sum(axis=1, dtype=np.int64) <= COPY_RADIUS)
-        i, j = i[near], j[near]
-    return i, j
-
-
-def _copy_columns(batch: pa.RecordBatch) -> np.ndarray:
-    names, n = (batch.column(i).to_numpy().view(np.uint64) for i in (3, 4))
-    prints = np.frombuffer(b"".join(batch.column(5).to_pylist()), np.uint64).reshape(-1, COPY_LONGS)
-    return np.column_stack([names, n, prints])
-
-
-def _true_copies(a: bytes, b: bytes) -> bool:
-    """Whether two sets of shingles share SIMILARITY, in whole numbers."""
-    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
-    both = len(np.intersect1d(x, y, assume_unique=True))
-    return 100 * both >= round(100 * SIMILARITY) * (len(x) + len(y) - both)
-
-
-class _Verified(_Block):
-    """A block of candidates (name, n, fingerprint, shingles, as objects) whose links need a true share of SIMILARITY."""
-
-    def joins(self, label: np.ndarray, part: np.ndarray, strip: np.ndarray, i: np.ndarray, j: np.ndarray, lo: int, at: int) -> np.ndarray:
-        x, y, kept = lo + i, at + j, [np.empty(0, np.int64)]
-        rest = np.arange(len(i))
-        while len(rest):
-            rest = rest[label[x[rest]] != label[y[rest]]]  # all others are in one tree by now
-            now, rest = rest[:COPY_PAIRS], rest[COPY_PAIRS:]
-            true = now[[_true_copies(part[i[k], -1], strip[j[k], -1]) for k in now]] if len(now) else now
-            kept.append(true[_join(label, x[true], y[true])])
-        return np.concatenate(kept)
-
-
-def _shingled(batch: pa.RecordBatch) -> np.ndarray:
-    rows = _copy_columns(batch)
-    out = np.empty((len(rows), rows.shape[1] + 1), object)
-    out[:, :-1] = rows
-    out[:, -1] = batch.column(6).to_pylist()
-    return out
-
-
-def _candidates_of(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return _copies(a[:, :-1].astype(np.uint64), b[:, :-1].astype(np.uint64))
-
-
-def _blocks(tiled: DataFrame, size: Column, name: str) -> DataFrame:
-    """Number of blocks of each tile, as a table."""
-    return materialise(tiled.groupBy("tile").agg(F.ceil(size).alias("blocks")), name)
-
-
-def _met(tiled: DataFrame, sizes: DataFrame, item: list[str], above: bool) -> DataFrame:
-    """Rows (tile, part, visitor, *item), sorted: residents of each block, and visitors of later blocks of the tile and (``above``) of the next one."""
-    home = tiled.join(sizes, "tile").withColumn("part", F.pmod(F.xxhash64("fp", "words"), F.col("blocks")))
-    others = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    flat = lambda rows, visitor: rows.select("tile", "part", F.lit(visitor).alias("visitor"), *item)
-    beside = home.where("blocks > 1").withColumn("other", others).where("other > part").withColumn("part", F.col("other"))
-    met = flat(home, False).unionByName(flat(beside, True))
-    if above:
-        met = met.unionByName(flat(tiled.withColumn("tile", F.col("tile") + 1).join(sizes, "tile").withColumn("part", others), True))
-    return met.repartition("tile", "part").sortWithinPartitions("tile", "part", "visitor")
-
-
-def copy_candidates(prints: DataFrame) -> DataFrame:
-    """A forest (a, b) of the links between rows (node, n, fp, words) of different texts that may be near copies.
-
-    Texts of which one has less than SIMILARITY of the other's shingles can't share so many. So a tile holds the
-    texts of one band of lengths, a band spans that ratio, and only neighbouring bands meet. Population counts
-    don't rule out pairs at this radius.
-    """
-    # A little more than the ratio, so that rounding puts no pair two bands apart.
-    band = F.when(F.col("n") > 0, F.floor(F.log("n") / -math.log(SIMILARITY - 0.005))).otherwise(-2)
-    tiled = prints.select(band.alias("tile"), "node", "n", "fp", "words")
-    # Some hundred bands exist at most, since a text has less than 2 ** 31 words.
-    sizes = _blocks(tiled, F.count("*") / COPY_BLOCK_ROWS, "bands")
-    return _met(tiled, sizes, ["node", "n", "fp"], above=True).mapInArrow(_compare(_copies, _copy_columns), "a long, b long")
-
-
-def copy_links(items: DataFrame) -> DataFrame:
-    """A forest (a, b) of the links between rows (component, node, n, fp, words, shingles) that share SIMILARITY of their shingles.
+def near_duplicates(docs: DataFrame, width: int = SHINGLE_WORDS, radius: int = RADIUS) -> DataFrame:
+    """(doc_id, fp, component_id) for every document.
 
-    A tile holds the texts that candidates connect, so no link is between two tiles. All candidates of a tile are
-    verified, but for pairs that true links have connected already.
+    Fingerprints within ``radius`` bits are linked; component_id is the least
+    doc_id that links reach, the own one included. NULL or empty text: fingerprint
+    zero, linked like any other. NULL doc_id: takes part, is never the least;
+    component_id is NULL if no document of the component has an id.
+    Repeated rows come out as often as they came in. An empty table gives an empty one.
     """
-    tiled = items.withColumnRenamed("component", "tile")
-    size = F.greatest(F.count("*") / COPY_BLOCK_ROWS, F.sum("n") / COPY_BLOCK_SHINGLES)
-    sizes = _blocks(tiled, size, "groups")
-    return _met(tiled, sizes, ["node", "n", "fp", "shingles"], above=False).mapInArrow(_compare(_candidates_of, _shingled, _Verified), "a long, b long")
+    marked = _marked(docs, width)
+    return marked.join(_groups(marked, radius), "fp").select("doc_id", "fp", "component_id")
 
 
-def drop_near_copies(docs: DataFrame, width: int = COPY_WORDS) -> DataFrame:
-    """One document of each group of near copies, that with the least doc_id, with all its columns.
+def drop_near_duplicates(docs: DataFrame, width: int = SHINGLE_WORDS, radius: int = RADIUS) -> DataFrame:
+    """One document of each component, that with the least doc_id, with all its columns.
 
-    Documents are linked if SIMILARITY or more of their shingles (repeats included) are shared; groups are what links
-    connect. Long fingerprints find the candidates (COPY_RADIUS bits of them differ at most, some five deviations more
-    than that share makes), their shingles decide. Equal words make equal documents; texts without words are
-    one group. Rows that share doc_id are one document, of which the one with the least text stays. Documents without an id can't be told
-    apart and stay as they are. An empty table gives an empty one.
+    Doc_ids may be of any type that can be ordered. Documents that share one are told apart by their texts: each is
+    judged in its own component, and of those of one component the one whose text has the least hash stays. Of rows that share
+    doc_id and text one stays. Documents without an id take part in links and stay as they are. An empty table gives an empty one.
     """
-    named = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("node"), "text")
-    marked = materialise(named.select("node", copy_fingerprint("text", width).alias("c")).select("node", "c.*"), "copies")
-    first = materialise(marked.groupBy("n", "fp", "words").agg(F.min("node").alias("node")), "different")
-    # Texts that have a candidate are few; only they are cut into shingles again.
-    wanted = materialise(first.join(connected_components(copy_candidates(first)), "node").select("node", "words", "component"), "candidates")
-    again = named.join(wanted.select("node").distinct(), "node").distinct().select("node", copy_shingles("text", width).alias("c"))
-    items = materialise(again.select("node", "c.*").join(wanted, ["node", "words"]).dropDuplicates(["node", "words"]), "shingles")
-    label = connected_components(copy_links(items)).where("node <> component").select("node")
-    stays = first.select("node").distinct().join(label, "node", "left_anti")
-    return _one_each(docs, stays.select(F.col("node").alias("stays")))
+    marked = _marked(docs, width)
+    least = marked.join(_groups(marked, radius), "fp").where("doc_id = component_id")
+    stays = least.groupBy("component", "doc_id").agg(F.min("key").alias("key")).select(F.col("doc_id").alias("stays"), "key").distinct()
+    # Maps have neither an order nor a hash; rows that differ in nothing else are taken as equal.
+    hashed = [F.col(f"`{f.name}`") for f in docs.schema if "map<" not in f.dataType.simpleString()]
+    wide = docs.select(F.struct("*").alias("row"), "doc_id", F.xxhash64("text").alias("own"), F.xxhash64(*hashed).alias("rank"))
+    chosen = wide.join(stays, (F.col("doc_id") == F.col("stays")) & (F.col("own") == F.col("key")))
+    # Spark limits the window's groups before the shuffle too, so repeats of one row don't meet in a task.
+    turn = F.row_number().over(Window.partitionBy("doc_id", "own").orderBy("rank"))
+    return (
+        chosen.withColumn("turn", turn).where("turn = 1").select("row.*")
+        .unionByName(wide.where("doc_id is null").select("row.*"))
+    )

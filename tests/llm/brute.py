@@ -61,41 +61,6 @@ def components(ids: list, prints: list[int], radius: int = 3) -> list:
     return [least.get(top(i)) for i in range(len(ids))]
 
 
-def long_fingerprint(text: str | None, width: int = 5, longs: int = 8) -> tuple[int, list[int]]:
-    words, full = PLAIN.findall((text or "").translate(LOWER)), (1 << 64) - 1
-    if not words:
-        return 0, [0] * longs
-    shingles = [" ".join(words[i : i + width]) for i in range(max(1, len(words) - width + 1))]
-    hashes = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
-
-    def mixed(h):
-        h = ((h ^ (h >> 30)) * 0xBF58476D1CE4E5B9) & full
-        h = ((h ^ (h >> 27)) * 0x94D049BB133111EB) & full
-        return h ^ (h >> 31)
-
-    rows = [hashes] + [[mixed((h + k * 0x9E3779B97F4A7C15) & full) for h in hashes] for k in range(1, longs)]
-    return len(hashes), [sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in row) > len(row)) for row in rows]
-
-
-def near_copies(docs: list[tuple]) -> set:
-    """Least ids of the groups of near copies among (doc_id, text) with different ids."""
-    prints = [(i, *long_fingerprint(t)) for i, t in sorted(docs)]
-    label = {i: i for i, _, _ in prints}
-
-    def top(i):
-        while label[i] != i:
-            i = label[i]
-        return i
-
-    for at, (i, n, p) in enumerate(prints):
-        for j, m, q in prints[:at]:
-            bits = [(a ^ b).bit_count() for a, b in zip(p, q, strict=True)]
-            if bits[0] <= 22 and sum(bits) <= 88 and min(n, m) >= 0.8 * max(n, m):
-                a, b = sorted((top(i), top(j)))
-                label[b] = a
-    return {i for i in label if label[i] == i}
-
-
 def decontaminate(texts: list, items: list[tuple], width: int = 10) -> list[tuple]:
     grams = defaultdict(set)
     for item, text in items:

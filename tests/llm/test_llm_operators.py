@@ -281,63 +281,19 @@ def test_near_dedup_keeps_one_of_each(spark, docs):
     assert [r.component_id for r in nameless] == [None, None]
 
 
-def test_near_copies(spark, monkeypatch):
-    words = LONG[:4000].split()
-    texts = [" ".join(words[:k] + ["other"] + words[k + 1 :]) for k in range(0, 300, 30)]  # one word of some 400 is another
-    texts += [" ".join(words[200:]), " ".join(w[::-1] for w in words), *TEXTS]
-    odd = documents(spark, texts)
-    expected = brute.near_copies(list(enumerate(texts)))
-    assert 0 in expected and not expected & set(range(1, 10)) and {10, 11} <= expected
-    for rows in (65536, 2):  # in one block and in many
-        monkeypatch.setattr(simhash, "COPY_BLOCK_ROWS", rows)
-        kept = simhash.drop_near_copies(odd)
-        assert kept.columns == odd.columns and sorted(r.doc_id for r in kept.collect()) == sorted(expected)
-    nameless = odd.limit(3).withColumn("doc_id", F.lit(None).cast("long"))
-    again = Counter(r.doc_id for r in simhash.drop_near_copies(odd.unionByName(odd).unionByName(nameless)).collect())
-    assert again.pop(None) == 3 and again == Counter(expected)
-    assert simhash.drop_near_copies(empty_like(odd)).count() == 0
-
-
-def test_copies_are_found_by_shared_shingles(docs, texts):
-    kept = {r.doc_id for r in simhash.drop_near_copies(docs).collect()}
-    shingles = {}
-    for i, t in texts.items():
-        words = brute.PLAIN.findall((t or "").translate(brute.LOWER))
-        shingles[i] = Counter(tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))) if words else Counter()
-    holders, pairs = defaultdict(set), set()
-    for i, s in shingles.items():
-        for x in s:
-            holders[x].add(i)
-    for i, s in shingles.items():
-        for j in set().union(*(holders[x] for x in s)) if s else ():
-            if j < i and (s & shingles[j]).total() >= 0.85 * (s | shingles[j]).total():
-                pairs.add((j, i))
-    assert pairs and not {i for _, i in pairs} & kept  # the later one of each pair goes
-    near = {i for i, s in shingles.items() for j in set().union(*(holders[x] for x in s)) if j != i and (s & shingles[j]).total() >= 0.5 * (s | shingles[j]).total()}
-    assert {i for i in texts if shingles[i]} - near <= kept  # no text without a similar one goes
-
-
-def test_copies_are_exactly_those_that_share_enough(spark, monkeypatch):
-    """Pairs at, just above and below a share of 0.8, by counted shingles; also with a shingle repeated often."""
-    import numpy as np
+def test_near_dedup_tells_rows_of_one_id_apart(spark):
+    one, other = "alpha beta gamma delta epsilon " * 4, "quite another text about other things altogether"
+    rows = [("7", one, 1), ("7", other, 2), ("8", one, 3), ("9", other, 4), ("7", one, 5), ("7", one + " ", 6), ("x", "a third", 7), (None, one, 8)]
+    kept = simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id string, text string, n int")).collect()
+    assert Counter((r.doc_id, r.text.strip()) for r in kept) == Counter([("7", one.strip()), ("7", other), ("x", "a third"), (None, one.strip())])
+
 
-    rng = np.random.default_rng(11)
-    texts, linked = [], []
-    for common, own in ((8, 1), (16, 2), (16, 3), (64, 8), (64, 9), (64, 12), (200, 25), (200, 26), (200, 40)):
-        for _ in range(30):  # words are shared up to one point, so shingles are too
-            words = rng.integers(0, 1 << 40, common + 4 + 2 * own).astype(str).tolist()
-            start = words[: common + 4]
-            texts += [" ".join(start + words[common + 4 : common + 4 + own]), " ".join(start + words[common + 4 + own :])]
-            linked.append(common >= 0.8 * (common + 2 * own))
-    head = rng.integers(0, 1 << 40, 404).astype(str).tolist()
-    texts += [" ".join(head), " ".join(head + ["again"] * 90)]  # 400 of 490: shared, though one shingle is there 86 times
-    linked.append(True)
-    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    for size in (1 << 22, 300):
-        monkeypatch.setattr(simhash, "COPY_BLOCK_SHINGLES", size)
-        kept = {r.doc_id for r in simhash.drop_near_copies(rows).collect()}
-        assert kept >= set(range(0, len(texts), 2))
-        assert [2 * k + 1 not in kept for k in range(len(linked))] == linked
+def test_near_dedup_of_a_whole_table(docs, texts):
+    """The documents that stay are those of a plain comparison of all pairs."""
+    ids = sorted(texts)
+    expected = set(brute.components(ids, [brute.fingerprint(texts[i]) for i in ids]))
+    assert Counter(r.doc_id for r in simhash.drop_near_duplicates(docs).collect()) == Counter(expected)
+    assert 1 < len(expected) < len(ids)
 
 
 def test_forest_of_dense_and_sparse_edges():
