@@ -2,8 +2,8 @@
 
 Alternating large-star and small-star steps: each is one minimum per node,
 combined before the shuffle, and one equality join back. The number of edges never
-grows, and no neighbourhood is ever gathered in one place. Every step is cut
-with ``checkpoint()`` in the shared folder.
+grows, and no neighbourhood is ever gathered in one place. Every step is written
+as a table in the shared folder.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgermatch.llm.shared import shared_dir
+from ledgermatch.llm.shared import materialise
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -34,19 +34,14 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
     Repeated edges and edges of a node to itself change nothing. An empty table gives an empty one.
     """
-    shared_dir(edges.sparkSession)
-    now = (
-        edges.where("a <> b")
-        .select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        .distinct()
-        .checkpoint()
-    )
+    apart = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    now = materialise(apart.distinct(), "edges")
     while True:
         # Converged when the edges are stars around their least node: no node is both a centre and a leaf.
         rest = now.select("b").distinct().join(now.select(F.col("a").alias("b")).distinct(), "b", "left_semi")
         manifold = now.groupBy("a").agg(F.count("*").alias("n")).where("n > 1")
         if rest.isEmpty() and manifold.isEmpty():
             break
-        now = _star(_star(now, large=True), large=False).checkpoint()
+        now = materialise(_star(_star(now, large=True), large=False), "edges")
     centres = now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(centres)

@@ -4,12 +4,17 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Folders chosen here, by application, where the session names none.
 _OWN: dict[str, str] = {}
+#: Paths handed out within ``scratch``.
+_SCRATCH: ContextVar[list[str] | None] = ContextVar("scratch", default=None)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,8 +39,40 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
-    """A path below the shared folder that no other run uses."""
-    return f"{shared_dir(spark)}/llm-{uuid.uuid4().hex}/{name}"
+    """A path below the shared folder that no other run uses; within ``scratch`` it is removed at the end."""
+    path = f"{shared_dir(spark)}/llm-{uuid.uuid4().hex}/{name}"
+    if (paths := _SCRATCH.get()) is not None:
+        paths.append(path)
+    return path
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Remove a path of ``fresh_path`` with the folder made for it."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path).getParent()
+    folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Intermediate tables of the operators called inside are removed at the end, also after an error.
+
+    DataFrames of these operators read such tables, so what is wanted of them must be written inside,
+    to a path that was taken before.
+    """
+    paths: list[str] = []
+    before = _SCRATCH.set(paths)
+    try:
+        yield
+    finally:
+        _SCRATCH.reset(before)
+        for path in paths:
+            remove(spark, path)
+
+
+def written(df: DataFrame, path: str) -> DataFrame:
+    """Write ``df`` to ``path`` and read it back."""
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
@@ -44,9 +81,7 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     This cuts the lineage at files that outlive a lost executor, and gives the
     optimizer the true size of the table for what follows.
     """
-    path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return written(df, fresh_path(df.sparkSession, name))
 
 
 def text_key(text: Column | str = "text") -> list[Column]:

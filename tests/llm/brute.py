@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from collections import Counter, defaultdict
 
@@ -33,6 +34,40 @@ def quality(text: str | None) -> tuple:
     return len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text), dup, len(covered), failed
 
 
+def kept(rows: list[tuple], own: int = 50, accuracy: float = 0.02) -> list[bool]:
+    """Verdicts on (lang, source, text): all six rates against the fences of each row's group."""
+    rates, groups = [], defaultdict(list)
+    for lang, source, text in rows:
+        n_words, chars, symbols, dup, repeated, failed = quality(text)
+        if failed:
+            rates.append(None)
+            continue
+        lines = sum(1 for line in text.split("\n") if PLAIN.search(line))
+        capitals, marks = (sum(c in of for c in text) for of in ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "!?"))
+        rate = [chars / n_words, symbols / n_words, dup / lines, repeated / n_words, capitals / chars, marks / n_words]
+        rates.append(rate)
+        for key in ((lang, source), (lang,), ()):
+            groups[key].append(rate)
+
+    def fence(key, i):
+        def binned(x):
+            return (1 + accuracy) ** math.ceil(math.log(x) / math.log1p(accuracy)) * 2 / (2 + accuracy) if x else 0.0
+
+        values = sorted(binned(r[i]) for r in groups[key])
+        at = lambda q: next(v for k, v in enumerate(values, 1) if k >= len(values) * q)
+        slack = 0.02 if i else 1.0
+        low = (at(0.25) - 1.5 * (at(0.25) - at(0.02))) * (1 - accuracy) - slack if i == 0 else -math.inf
+        return low, (at(0.75) + 1.5 * (at(0.98) - at(0.75))) * (1 + accuracy) + slack
+
+    fences, out = {}, []
+    for (lang, source, _), rate in zip(rows, rates, strict=True):
+        key = next(k for k in ((lang, source), (lang,), ()) if not k or len(groups[k]) >= own)
+        if rate and key not in fences:
+            fences[key] = [fence(key, i) for i in range(6)]
+        out.append(bool(rate) and all(lo <= x <= hi for x, (lo, hi) in zip(rate, fences[key], strict=True)))
+    return out
+
+
 def fingerprint(text: str | None, width: int = 3) -> int:
     words = PLAIN.findall((text or "").translate(LOWER))
     if not words:
@@ -135,3 +170,33 @@ def targets(sizes: dict, share: float = 1.5, most: int = 2) -> dict:
         if not over:
             return held | given
         held |= {s: most * sizes[s] for s in over}
+
+
+def taken(docs: list[tuple]) -> list[int]:
+    """Words that the mix takes of each of (source, size, place in the shuffle)."""
+    sizes = Counter()
+    for source, size, _ in docs:
+        sizes[source] += size
+    goals = targets(sizes)
+    ranked = [s for s in sorted(goals, key=lambda s: (s is None, s or "")) if goals[s] > 0]
+    slot_words = {s: 1 << min(6, max(0, math.floor(math.log2(max(1.0, goals[s]) / 32)))) for s in ranked}
+    out = [0] * len(docs)
+    for tier in set(slot_words.values()):
+        its = [s for s in ranked if slot_words[s] == tier]
+        total = sum(goals[s] for s in its)
+        bits = max(1, math.ceil(math.log2(max(2.0, total / tier))))
+        length = max(1, math.ceil(total / (1 << bits) * 1024))  # of a slot, in 1024ths of a word
+        ends, owner = [], []
+        for s in its:
+            ends.append((ends[-1] if ends else 0.0) + goals[s])
+        for slot in range(1 << bits):
+            point = int(f"{slot:0{bits}b}"[::-1], 2)
+            owner.append(next((s for s, e in zip(its, ends, strict=True) if point < math.ceil(e / total * (1 << bits))), its[-1]))
+        for s in its:
+            blocks, times = (sizes[s] - 1) * 1024 // length + 1, Counter()
+            for turn in range(min(owner.count(s), 2 * blocks)):
+                times[turn % blocks] += 1
+            line = [i for _, i in sorted((place, i) for i, (of, _, place) in enumerate(docs) if of == s) for _ in range(docs[i][1])]
+            for word, i in enumerate(line):
+                out[i] += times[word * 1024 // length]
+    return out
