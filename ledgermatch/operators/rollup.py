@@ -15,7 +15,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -98,6 +98,27 @@ def list_all(df: DataFrame, keys: list[str], value: str, sep: str, alias: str) -
     return pieces.groupBy(*keys).agg(string_agg("__piece", sep, order_by=[value]).alias(alias))
 
 
+def list_limited(df: DataFrame, keys: list[str], value: str, sep: str, alias: str, max_len: int) -> DataFrame:
+    """The first ``max_len`` characters of the ordered list of a key's values, repeats included.
+
+    A value shows ``max_len`` characters at most, so it is cut first; values that are equal up to there
+    stay in order, as the first of them fills the list. Each further value takes its separator and one character or more, so no more than
+    ``max_len / (len(sep) + 1)`` of them (and NULL, and the empty text) can show. Spark cuts a key to
+    that number in every map task before it shuffles by key (up to ``spark.sql.optimizer.windowGroupLimitThreshold``, 1000
+    by default; beyond it the cut comes after the shuffle). So the task of a hot key reads as many rows a map task at
+    most, however many values there are. Repeats are counted before.
+    """
+    counted = df.groupBy(*keys, F.left(value, F.lit(max_len)).alias("__shown")).agg(F.count("*").alias("__copies"))
+    width = F.greatest(F.length("__shown") + len(sep), F.lit(1))
+    copies = F.least(F.col("__copies"), F.floor(F.lit(max_len) / width) + 2)
+    piece = F.left(written_out(F.col("__shown"), copies, sep), F.lit(max_len))
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy("__shown"))
+    first = counted.select(*keys, "__shown", piece.alias("__piece"), rank.alias("__rank")).where(
+        F.col("__rank") <= max_len // (len(sep) + 1) + 3
+    )
+    return first.groupBy(*keys).agg(string_agg("__piece", sep, order_by=["__shown"], max_len=max_len).alias(alias))
+
+
 def attach(base: DataFrame, rolled: DataFrame, keys: list[str], counts: list[str]) -> DataFrame:
     """Left join roll-ups to their base rows; a key without entries counts 0."""
     return base.join(rolled, keys, "left").withColumns(

@@ -18,7 +18,7 @@ from ledgermatch.operators.lookup import (
     not_in,
     unmatched_or_null,
 )
-from ledgermatch.operators.rollup import Rollup, attach, labels, last_row, roll_up
+from ledgermatch.operators.rollup import Rollup, attach, labels, last_row, list_all, list_limited, roll_up
 from ledgermatch.operators.snapshot import at_latest, in_latest, write_consolidation
 
 
@@ -159,3 +159,23 @@ def test_a_hot_key_is_unfolded_by_many_tasks(spark):
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     assert sum(r["n"] for r in rows) == 1_000_001 and max(r["n"] for r in rows) < 2 * 1_000_000 / tasks
     assert got.where("k = 7").distinct().count() == 1_000_000
+
+
+def test_limited_lists(spark):
+    """Equal to the cut of the whole list, for separators, limits, repeats, NULLs and long texts of any kind."""
+    texts = ["", "", "", "b", "a" * 50, "a" * 50 + "x", "a" * 50 + "w", None, "é", "zz"] * 3 + [f"v{i:04d}" for i in range(300)]
+    rows = [(1, t) for t in texts] + [(2, None), (3, ""), (3, ""), (None, "q"), (None, "p")] + [(4, "r")] * 40
+    df = spark.createDataFrame(rows, "k int, v string")
+    for sep in (", ", ",", ""):
+        whole = {r.k: r.s for r in list_all(df, ["k"], "v", sep, "s").collect()}
+        for limit in (1, 2, 7, 49, 51, 200, 1024):
+            got = {r.k: r.s for r in list_limited(df, ["k"], "v", sep, "s", limit).collect()}
+            assert got == {k: s and s[:limit] if s is not None else None for k, s in whole.items()}, (sep, limit)
+
+
+def test_limited_lists_cut_before_the_shuffle(spark):
+    df = spark.range(0, 200_000, 1, 4).select((F.col("id") % 1).alias("k"), F.col("id").cast("string").alias("v"))
+    limited = list_limited(df, ["k"], "v", ",", "s", 1024)
+    plan = limited._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("WindowGroupLimit") == 2  # one before the shuffle by key and one after it
+    assert limited.first().s == ",".join(sorted(str(i) for i in range(200_000)))[:1024]
