@@ -2,15 +2,45 @@
 
 from __future__ import annotations
 
+import datetime
+from collections import Counter
+from collections.abc import Sequence
 from dataclasses import dataclass, field
+from decimal import Decimal
+from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # How the two database families write a relation name.
 MYSQL_RELATION = "{name}"
 SQLSERVER_RELATION = "[dbo].[{name}]"
 
 
+def _literal(value: Any) -> str:
+    """A value as a SQL literal that both database families and Spark read."""
+    if isinstance(value, bool) or not isinstance(value, (int, float, Decimal, str, datetime.date)):
+        raise TypeError(f"no literal for a bound of type {type(value).__name__}")
+    if isinstance(value, (int, float, Decimal)):
+        return str(value)
+    text = value.isoformat(" ") if isinstance(value, datetime.datetime) else str(value)
+    if "\\" in text:  # an escape sign for one database and for Spark, a plain character for the other
+        raise ValueError("no literal for a bound with a backslash")
+    return "'" + text.replace("'", "''") + "'"
+
+
+def depth_bounds(df: DataFrame, column: str, partitions: int, accuracy: int = 10_000) -> list:
+    """Lower bounds of ``partitions`` ranges of about as many rows each; a value that fills several comes that often.
+
+    For a frame, such as an earlier landing of the dataset. The quantiles come from mergeable sketches of bounded size,
+    one a map task; each is off by one ``accuracy``-th of the rows at most. The column holds numbers, dates or times.
+    NULLs have no place; without any value there are no bounds.
+    """
+    shares = [i / partitions for i in range(partitions)]
+    row = df.agg(F.percentile_approx(column, shares, accuracy).alias("bounds")).first()
+    return list(row["bounds"] or [])
+
+
 @dataclass(frozen=True)
 class RangeSplit:
     """Split a scan into ``partitions`` equal ranges of a numeric or time column.
@@ -48,6 +78,30 @@ class PredicateSplit:
         tests[0] = f"({tests[0]} OR {column} IS NULL)"
         return cls(tuple(tests))
 
+    @classmethod
+    def by_bounds(cls, column: str, bounds: Sequence[Any], within: str | None = None) -> PredicateSplit:
+        """Ranges between ``bounds``, the lower bounds of ranges of equal depth in order of the column.
+
+        A bound that comes r times is a value that fills r - 1 ranges or more: it is read by itself, and split into r
+        parts by the remainder of the whole-numbered column ``within`` if that is given. Rows below the first
+        bound and NULLs are one more part, so every row is read once whatever the bounds are. Without bounds there is one part.
+        """
+        if not bounds:
+            return cls(("1 = 1",))
+        often = Counter(bounds)
+        values = list(often)
+        tests = [f"({column} < {_literal(values[0])} OR {column} IS NULL)"]
+        for value, after in zip(values, [*values[1:], None], strict=True):
+            upto = "" if after is None else f" AND {column} < {_literal(after)}"
+            if often[value] == 1:
+                tests.append(f"{column} >= {_literal(value)}{upto}")
+                continue
+            alone = f"{column} = {_literal(value)}"
+            parts = cls.by_remainder(within, often[value]).predicates if within else ()
+            tests += [f"{alone} AND {p}" for p in parts] or [alone]
+            tests.append(f"{column} > {_literal(value)}{upto}")
+        return cls(tuple(tests))
+
 
 @dataclass(frozen=True)
 class JdbcSource:
@@ -99,3 +153,14 @@ class JdbcSource:
         if row["lo"] is None:
             return RangeSplit(column, 0, 1, 1)
         return RangeSplit(column, row["lo"], row["hi"], partitions)
+
+    def depth_sql(self, dataset: str, column: str, partitions: int) -> str:
+        """The query by which the database itself finds the bounds of ranges of equal depth."""
+        table = self.relation.format(name=dataset)
+        tiles = f"SELECT {column} AS v, NTILE({partitions}) OVER (ORDER BY {column}) AS tile FROM {table} WHERE {column} IS NOT NULL"
+        return f"SELECT tile, MIN(v) AS bound FROM ({tiles}) x GROUP BY tile"
+
+    def depth_split(self, spark: SparkSession, dataset: str, column: str, partitions: int, within: str | None = None) -> PredicateSplit:
+        """A split into ranges of equal depth, for columns that are unevenly spread; one bound a partition is fetched."""
+        rows = self.query(spark, self.depth_sql(dataset, column, partitions)).collect()
+        return PredicateSplit.by_bounds(column, [r["bound"] for r in sorted(rows, key=lambda r: r["tile"])], within)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,9 +43,11 @@ from ledgermatch.operators.rollup import (
     labels,
     last_row,
     list_all,
+    list_limited,
     roll_up,
 )
 from ledgermatch.operators.snapshot import at_latest, greatest, in_latest
+from ledgermatch.sources.jdbc import PredicateSplit, depth_bounds
 from ledgermatch.workload.registry import Registry, Tables
 
 registry = Registry()
@@ -111,8 +115,25 @@ SELECT l_orderkey, left(string_agg(l_returnflag, ',' ORDER BY l_returnflag), 7)
 """)
 def listagg_length_limited(t: Tables) -> DataFrame:
     """The list as a database with a length limit would return it."""
-    whole = list_all(t["lineitem"], ["l_orderkey"], "l_returnflag", ",", "s")
-    return whole.withColumn("s", F.left("s", F.lit(7)))
+    return list_limited(t["lineitem"], ["l_orderkey"], "l_returnflag", ",", "s", 7)
+
+
+@query("""
+SELECT lang, left(string_agg(text, '; ' ORDER BY text), 1024) AS texts FROM documents GROUP BY 1
+""")
+def listagg_limited_hot_key(t: Tables) -> DataFrame:
+    """A list over whole texts for a few keys that hold all rows; only what can show is shuffled by key."""
+    return list_limited(t["documents"], ["lang"], "text", "; ", "texts", 1024)
+
+
+@query("SELECT user_id, count(*) AS n, max(event_id) AS last_event FROM events GROUP BY 1")
+def ranges_of_equal_depth(t: Tables) -> DataFrame:
+    """A table read range by range, as a database scan would be with the bounds of an equi-depth histogram."""
+    events = t["events"]
+    split = PredicateSplit.by_bounds("user_id", depth_bounds(events, "user_id", 16), within="event_id")
+    parts = [events.where(p) for p in split.predicates]
+    whole = reduce(DataFrame.unionAll, parts)
+    return whole.groupBy("user_id").agg(F.count("*").alias("n"), F.max("event_id").alias("last_event"))
 
 
 @query("""

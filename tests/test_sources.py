@@ -13,7 +13,7 @@ from ledgermatch.qa import column_lists
 from ledgermatch.recon.spec import CheckSuite
 from ledgermatch.recon.suite import run_suite
 from ledgermatch.sources.extract import FrameSource, check_sources, extract
-from ledgermatch.sources.jdbc import SQLSERVER_RELATION, JdbcSource, PredicateSplit, RangeSplit
+from ledgermatch.sources.jdbc import SQLSERVER_RELATION, JdbcSource, PredicateSplit, RangeSplit, depth_bounds
 from ledgermatch.sources.landing import Landing, path_exists, read_json_document, write_summary
 
 
@@ -302,3 +302,46 @@ def test_a_repeated_run_replaces_its_summary(spark, tmp_path):
     assert {(r["run_id"], r["count"]) for r in spark.read.json(report).groupBy("run_id").count().collect()} == {(first, 2), ("night-1", 1)}
     with pytest.raises(ValueError, match="can't name a folder"):
         write_summary(row, report, "data_list", "a/b")
+
+
+def test_ranges_of_equal_depth(spark):
+    """A value of a third of the rows and a long tail: even parts, every row once."""
+    skewed = spark.range(30_000).select(
+        F.col("id").alias("n"),
+        F.when(F.col("id") % 3 == 0, 7).when(F.col("id") % 100 == 1, None).otherwise(F.pow(F.col("id") % 1000, 3)).cast("long").alias("k"),
+    )
+    bounds = depth_bounds(skewed, "k", 12)
+    assert len(bounds) == 12 and bounds == sorted(bounds) and bounds.count(7) >= 3
+    for within, most in (("n", 30_000 / 12 * 1.5), (None, 10_100)):
+        split = PredicateSplit.by_bounds("k", bounds, within)
+        sizes = [skewed.where(p).count() for p in split.predicates]
+        assert sum(sizes) == 30_000 and max(sizes) <= most
+    # Bounds of other data still read every row once.
+    stale = PredicateSplit.by_bounds("k", [5, 5, 900, 10**12])
+    assert sum(skewed.where(p).count() for p in stale.predicates) == 30_000
+    assert depth_bounds(skewed.where("k is null"), "k", 4) == [] and PredicateSplit.by_bounds("k", []).predicates == ("1 = 1",)
+
+
+def test_bounds_as_literals(spark):
+    days = spark.sql("SELECT DATE'2024-01-01' + make_interval(0, 0, 0, CAST(id AS INT)) AS d, CAST(id AS DECIMAL(10, 2)) AS x FROM range(100)").selectExpr("CAST(d AS DATE) AS d", "CAST(d AS TIMESTAMP_NTZ) AS t", "x")
+    for column in ("d", "t", "x"):
+        split = PredicateSplit.by_bounds(column, [r[0] for r in days.where("x % 25 = 0").select(column).orderBy(column).collect()])
+        assert [days.where(p).count() for p in split.predicates] == [0, 25, 25, 25, 25]
+    texts = spark.createDataFrame([("it's",), ("b",), (None,)], "s string")
+    assert [texts.where(p).count() for p in PredicateSplit.by_bounds("s", ["b", "it's"]).predicates] == [1, 1, 1]
+    for bad in (True, b"x", "a\\b"):
+        with pytest.raises((TypeError, ValueError)):
+            PredicateSplit.by_bounds("s", [bad])
+
+
+def test_the_database_finds_bounds(spark, monkeypatch):
+    asked = []
+
+    def query(self, spark, sql):
+        asked.append(sql)
+        return spark.createDataFrame([(2, 7), (1, 1), (3, 7)], "tile int, bound int")
+
+    monkeypatch.setattr(JdbcSource, "query", query)
+    split = JdbcSource("jdbc:mysql://h").depth_split(spark, "t", "k", 3)
+    assert "NTILE(3) OVER (ORDER BY k)" in asked[0] and "FROM t WHERE k IS NOT NULL" in asked[0]
+    assert split.predicates == ("(k < 1 OR k IS NULL)", "k >= 1 AND k < 7", "k = 7", "k > 7")
