@@ -116,6 +116,27 @@ def row_groups(src: DataFrame, trg: DataFrame) -> DataFrame:
     return _copies(*comparable(src, trg))
 
 
+def written_groups(src: DataFrame, trg: DataFrame, path: str, bag: bool = False) -> DataFrame:
+    """``row_groups`` written to ``path`` and read back, so that counts and samples come from one pass over both sides.
+
+    Only rows that are differences (see ``except_rows``) keep their data. All others are NULLs and two counts, a few bits each
+    in a column store, so the table grows with what differs.
+    """
+    groups = row_groups(src, trg)
+    src_only, trg_only = side_excess(bag)
+    differs = (src_only > 0) | (trg_only > 0)
+    types = {f.name: f.dataType for f in groups.schema}
+
+    def storable(name: str) -> Column:
+        return column(name).cast("string") if isinstance(types[name], T.NullType) else column(name)
+
+    # Names of the data may be anything; in the table they are numbers.
+    data = [F.when(differs, storable(c)).alias(f"c{i}") for i, c in enumerate(src.columns)]
+    table = groups.select(*data, SRC_COPIES, TRG_COPIES)
+    table.write.mode("overwrite").parquet(path)
+    return src.sparkSession.read.schema(table.schema).parquet(path).toDF(*src.columns, SRC_COPIES, TRG_COPIES)
+
+
 def row_digest(df: DataFrame) -> Column:
     """SHA-256 of a comparable row.
 
@@ -184,12 +205,12 @@ def side_excess(bag: bool) -> tuple[Column, Column]:
     )
 
 
-def _differences(src: DataFrame, trg: DataFrame, bag: bool, most: int | None = None) -> DataFrame:
+def _differences(src: DataFrame, trg: DataFrame, bag: bool, most: int | None = None, groups: DataFrame | None = None) -> DataFrame:
     """SIDE ('src' / 'trg') and the data of rows on one side only; ``most`` bounds the copies of a row."""
     src_only, trg_only = side_excess(bag)
     surplus = src_only + trg_only if most is None else F.least(src_only + trg_only, F.lit(most))
     diff = (
-        row_groups(src, trg)
+        (row_groups(src, trg) if groups is None else groups)
         .withColumn(SIDE, F.when(src_only > 0, "src").when(trg_only > 0, "trg"))
         .withColumn("__surplus", surplus)
         .where(F.col(SIDE).isNotNull())
@@ -234,14 +255,14 @@ def text_keys(df: DataFrame, columns: list[str]) -> list[Column]:
     return [sort_text(column(c), types[c]) for c in columns]
 
 
-def sample_rows(src: DataFrame, trg: DataFrame, k: int, bag: bool = False) -> DataFrame:
+def sample_rows(src: DataFrame, trg: DataFrame, k: int, bag: bool = False, groups: DataFrame | None = None) -> DataFrame:
     """The first ``k`` differing rows per side in text order, as JSON text.
 
     Columns: side, rank (from 1), row_json. Each side is a top-k over the same
     grouped shuffle, so a task keeps at most ``k`` rows and the exchange is
-    computed once and read twice.
+    computed once and read twice. ``groups`` are the groups of both sides if they have been written already.
     """
-    diff = _differences(src, trg, bag, most=k)
+    diff = _differences(src, trg, bag, most=k, groups=groups)
     keys = text_keys(diff, src.columns)
     as_json = F.to_json(
         F.struct(*[key.alias(c) for key, c in zip(keys, src.columns)]), {"ignoreNullFields": "false"}

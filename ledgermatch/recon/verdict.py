@@ -58,12 +58,13 @@ def _counts_only(src: DataFrame, trg: DataFrame) -> DataFrame:
     )
 
 
-def verdict(src: DataFrame, trg: DataFrame, spec: CheckSpec) -> DataFrame:
+def verdict(src: DataFrame, trg: DataFrame, spec: CheckSpec, groups: DataFrame | None = None) -> DataFrame:
     """Compare two sides; one lazy row in ``RESULT_SCHEMA``.
 
     Everything comes out of one grouped aggregate: the counts decide whether a
     side is empty, and expressions on that one row pick the outcome. Row counts
     are of the bags, so merging rows by an excluded column does not change them.
+    ``groups`` are the groups of both prepared sides if they have been written already.
     """
     require_unique_columns(src, f"source of '{spec.name}'")
     require_unique_columns(trg, f"target of '{spec.name}'")
@@ -72,7 +73,8 @@ def verdict(src: DataFrame, trg: DataFrame, spec: CheckSpec) -> DataFrame:
 
     if names.passed:
         src_only, trg_only = side_excess(spec.bag)
-        groups = digest_groups(s, t) if spec.digest else row_groups(s, t)
+        if groups is None:
+            groups = digest_groups(s, t) if spec.digest else row_groups(s, t)
         totals = groups.agg(
             _total(SRC_COPIES).alias("n_src"),
             _total(TRG_COPIES).alias("n_trg"),

@@ -8,10 +8,10 @@ import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
-from ledgermatch.recon import report
+from ledgermatch.recon import diff, report
 from ledgermatch.recon.diff import apply_mapping, differing_rows, except_rows, sample_rows, subtract
 from ledgermatch.recon.spec import CheckSpec, CheckSuite
-from ledgermatch.recon.suite import run_suite
+from ledgermatch.recon.suite import check_dataset, run_suite
 from ledgermatch.recon.verdict import RESULT_SCHEMA, verdict
 
 SCHEMA = "id int, name string, score double"
@@ -302,3 +302,43 @@ def test_one_broken_dataset_is_an_error_verdict(spark):
     assert result.samples.count() == 0
     config["run_mode"]["debug"] = 1
     assert run_suite(spark, Source(), CheckSuite.from_config(config)).samples.count() == 1
+
+
+@pytest.mark.parametrize("bag", [False, True])
+def test_one_pass_gives_verdict_and_samples(spark, tmp_path, bag):
+    """With a folder, each row of either side is read once, and nothing is left behind."""
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(len(batch))
+            yield batch
+
+    def side(rows):
+        plain = spark.createDataFrame(rows, "a int, b string, c double")
+        return plain.mapInPandas(counted, plain.schema).toDF("a b", "c.d", "__src_copie")
+
+    src = [(i, f"t{i % 7}", None if i % 5 == 0 else float(i)) for i in range(300)] + [(1, "t1", 1.0)] * 3 + [(None, None, None)] * 2
+    trg = [r for r in src if (r[0] or 0) % 50 != 7] + [(1000 + i, "new", 0.5) for i in range(4)]
+    source = Sides({"x": side(src)}, {"x": side(trg)})
+    spec = CheckSpec("x", sample_rows=5, bag=bag)
+    expected = check_dataset(spark, source, spec)
+    in_two, whole = read.value, len(src) + len(trg)
+    got = check_dataset(spark, source, spec, str(tmp_path))
+    assert got == expected and len(got[1]) == 9
+    # Beside the one pass, a few rows may be read to see that no side is empty.
+    assert in_two == 2 * whole and whole <= read.value - in_two < 1.5 * whole
+    assert not list(tmp_path.iterdir())
+
+
+def test_written_groups_are_all_that_is_read(spark, base, tmp_path):
+    changed = base.withColumn("score", F.lit(0.5)).withColumn("none", F.lit(None))
+    spec, own = CheckSpec("x"), base.withColumn("none", F.lit(None))
+    groups = diff.written_groups(own, changed, str(tmp_path / "g"))
+    assert diff.row_groups(own, changed).columns == groups.columns
+    for df in (verdict(own, changed, spec, groups), diff.sample_rows(own, changed, 3, groups=groups)):
+        leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves().toString()
+        assert "Relation" in leaves and "LocalRelation" not in leaves and "LogicalRDD" not in leaves
+    assert verdict(own, changed, spec, groups).first() == verdict(own, changed, spec).first()
+    same = diff.written_groups(own, own, str(tmp_path / "s"))
+    assert same.where("score is not null").count() == 0 and verdict(own, own, spec, same).first()["data"]["passed"]
