@@ -445,9 +445,9 @@ JOIN (SELECT DISTINCT code, industry, consolidation_id FROM nsa_v_code_industry)
 ON v.code = c.code AND v.consolidation_id = c.consolidation_id
 """)
 def join_inner_composite(t: Tables) -> DataFrame:
-    """Join on a code and its consolidation; the many-sided input is made distinct first."""
+    """Join on a code and its consolidation; the many-sided input is made distinct first and hashed, so the other isn't sorted."""
     named = t["nsa_v_code_industry"].select("code", "industry", "consolidation_id").distinct()
-    return t["t_feed_codes"].join(named, ["code", "consolidation_id"]).select(
+    return t["t_feed_codes"].join(named.hint("shuffle_hash"), ["code", "consolidation_id"]).select(
         "code", "industry", "feed_code", "consolidation_id"
     )
 

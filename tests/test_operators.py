@@ -18,6 +18,7 @@ from ledgermatch.operators.lookup import (
     not_in,
     unmatched_or_null,
 )
+from ledgermatch.operators.pairing import linked, linked_and
 from ledgermatch.operators.rollup import Rollup, attach, labels, last_row, list_all, list_limited, roll_up
 from ledgermatch.operators.snapshot import at_latest, in_latest, write_consolidation
 
@@ -179,3 +180,22 @@ def test_limited_lists_cut_before_the_shuffle(spark):
     plan = limited._jdf.queryExecution().executedPlan().toString()
     assert plan.count("WindowGroupLimit") == 2  # one before the shuffle by key and one after it
     assert limited.first().s == ",".join(sorted(str(i) for i in range(200_000)))[:1024]
+
+
+def test_linked_pairs_are_those_of_a_plain_join(spark):
+    left = spark.sql("select if(id % 7 = 0, null, 'f' || id) f, if(id < 600, 'hot', if(id % 5 = 0, null, 's' || id % 40)) s, id % 2 c from range(900)")
+    left = left.union(left)
+    right = spark.sql("select if(id % 6 = 0, null, 'p' || id % 30) p, if(id < 20, 'hot', if(id % 9 = 0, null, 's' || id % 40)) s, id % 2 c from range(300)")
+    more = spark.sql("select 'p1' p, 1L c, 'f1' f union all select null, null, 'x' union all select 'f2', 0, null")
+    plain = left.join(right, ["s", "c"]).select("p", "c", "f").distinct()
+    found = linked(left, "f", right, "p", ["s", "c"], ["c"])
+    assert found.columns == ["p", "c", "f"] and found.exceptAll(plain).isEmpty() and plain.exceptAll(found).isEmpty()
+    both, expected = linked_and(more, left, "f", right, "p", ["s", "c"], ["c"]), plain.union(more).distinct()
+    assert both.exceptAll(expected).isEmpty() and expected.exceptAll(both).isEmpty()
+
+
+def test_texts_are_stacked_without_columns_of_numbers(spark):
+    texts, numbers = spark.sql("select 1 k, 'b' v"), spark.sql("select 1 k, 10L v union all select 1, 9L")
+    assert labels(texts, "T", ["k"], "v").columns == ["k", "kind", "label"]
+    rolled = roll_up([labels(texts, "T", ["k"], "v")], ["k"], [Rollup("T", "t", "n"), Rollup("N", "u", "m")], apart=[labels(numbers, "N", ["k"], "v")])
+    assert rolled.first() == (1, "b", 1, "9, 10", 2)
