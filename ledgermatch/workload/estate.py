@@ -35,7 +35,7 @@ def _shared_folder(spark: SparkSession) -> str:
 
 def qa_row_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of every derived dataset; what several of them rest on is computed once."""
-    return row_counts(Catalog(relations(spark, sf_dir)).materialised(_shared_folder(spark), DATASETS, inputs=True), DATASETS)
+    return row_counts(Catalog(relations(spark, sf_dir)).materialised(_shared_folder(spark), DATASETS), DATASETS)
 
 
 def qa_table_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -148,3 +148,35 @@ def test_shared_datasets_are_written_once_in_order(spark, sf_dir, tmp_path):
     assert "nsa_v_news_map" in written and "nsa_v_news_map_variant" not in written and written <= set(DATASETS) | set(RELATIONS)
     for name in names:
         assert done[name].exceptAll(catalog[name]).isEmpty() and done[name].count() == catalog[name].count()
+
+
+def test_feed_codes_are_in_place_for_the_join_on_their_code(spark, sf_dir):
+
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as with large tables
+    try:
+        rel = relations(spark, sf_dir)
+        join = workload.QUERIES["join_inner_composite"](spark, sf_dir)
+        named = rel["nsa_v_code_industry"].select("code", "industry", "consolidation_id").distinct()
+        # The ids may be dealt once more; the feeds' codes are not.
+        assert exchanges(join) <= exchanges(rel["t_feed_codes"]) + exchanges(named) + 1
+        products = exchanges(rel["t_feed_product_code"])
+        assert exchanges(rel["t_feed_product_code"].select("product_code", "consolidation_id", "feed_code").distinct()) == products
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+
+
+def test_short_codes_ask_no_text_twice(spark):
+    texts = spark.createDataFrame([("a b c d e",)], "text string")
+    short, long = (spark.createDataFrame([(c,)], "code string") for c in ("b c d", "b c d e"))
+    found = contains_words(short, "code", texts, "text")
+    assert found.count() == 1 and contains_words(long, "code", texts, "text").count() == 1
+    assert "xxhash64(text" not in plan(found) and "Exchange hashpartitioning(__t_first" not in plan(found)
+
+
+def test_row_counts_write_no_input(spark, sf_dir, tmp_path, monkeypatch):
+    from ledgermatch.workload import estate
+
+    monkeypatch.setattr(estate, "_shared_folder", lambda spark: str(tmp_path))
+    estate.qa_row_counts(spark, sf_dir)
+    assert not {p.name for p in tmp_path.iterdir()} & set(RELATIONS)
