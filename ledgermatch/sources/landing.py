@@ -25,6 +25,7 @@ import threading
 import uuid
 from dataclasses import dataclass
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -225,7 +226,12 @@ class Landing:
         for old in self._manifests(side, dataset):
             if old < number - 1:
                 path = self._manifest_path(side, dataset, old)
-                version = json.loads(_read_text(self._spark, path))["version"]
+                try:
+                    version = json.loads(_read_text(self._spark, path))["version"]
+                except Py4JJavaError:
+                    if path_exists(self._spark, path):
+                        raise
+                    continue  # a writer at the same time has removed it
                 _remove(self._spark, path)  # first, so that no manifest names what is gone
                 _remove(self._spark, f"{self.path(side, dataset, '.versions')}/{version}")
 

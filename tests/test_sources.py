@@ -229,6 +229,16 @@ def test_writers_at_the_same_time_publish_versions_of_their_own(spark, tmp_path)
     assert sorted(p.number for p in done) == [1, 2, 3, 4] and landing.load("src", "d").count() == last.rows
 
 
+def test_a_version_that_another_writer_has_removed_is_passed_over(spark, tmp_path, monkeypatch):
+    landing = Landing(spark, str(tmp_path))
+    for n in range(3):
+        landing.publish("src", "d", spark.range(n))
+    listed = landing._manifests("src", "d")
+    monkeypatch.setattr(landing, "_manifests", lambda side, dataset: [min(listed) - 1, *listed])
+    landing._retire("src", "d", max(listed))
+    assert landing.load("src", "d").count() == 2
+
+
 def test_json_versions_keep_columns_and_types(spark, tmp_path):
     landing = Landing(spark, str(tmp_path))
     frame = spark.sql("select 2 b, 'x' a, cast(null as string) c, named_struct('t', timestamp_ntz'2024-01-02 03:04:05') s, cast(null as int) n")
