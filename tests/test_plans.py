@@ -180,3 +180,46 @@ def test_row_counts_write_no_input(spark, sf_dir, tmp_path, monkeypatch):
     monkeypatch.setattr(estate, "_shared_folder", lambda spark: str(tmp_path))
     estate.qa_row_counts(spark, sf_dir)
     assert not {p.name for p in tmp_path.iterdir()} & set(RELATIONS)
+
+
+def test_product_and_source_pairs_are_neither_sorted_nor_made_distinct_at_the_end(spark, sf_dir):
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as with large tables
+    try:
+        text = plan(workload.QUERIES["nsa_v_all_product_code_source_code"](spark, sf_dir))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert "SortMergeJoin" not in text and text.count("ShuffledHashJoin") == 4
+    assert "HashAggregate" not in text[: text.index("ShuffledHashJoin")]
+
+
+def test_product_and_source_pairs_with_repeats_and_nulls(spark):
+    bpsa = [("S1", "P1"), ("S1", "P1"), ("S1", None), (None, "P1"), ("S2", "P2"), ("S9", "P1")]
+    rcs = [("NP:P1", "NS:S1"), ("P2", "S1"), ("NP:P2", None), ("NP:P2", "NS:S2")]
+    sources = [("NS:S1", "S1", 653), ("NS:S1", "S1", 653), ("NS:S1", "S1", 654), ("NS:X", "S1", 654), (None, "S2", 654), (None, "S2", 654), ("NS:N", None, 654), ("NS:S2", "S2", None)]
+    products = [("NP:P1", "P1", 653), ("NP:P1", "P1", 654), ("NP:P1", "P1", 654), (None, "P2", 654), (None, "P2", 654), ("NP:P2", "P2", None)]
+    rel = {
+        "bpsa_v_product_code_source_code": spark.createDataFrame(bpsa, "source_code string, product_code string"),
+        "rcs_v_product_code_source_code": spark.createDataFrame(rcs, "product_code string, source_code string"),
+        "t_all_source_code": spark.createDataFrame(sources, "source_code string, mnemonic string, consolidation_id int"),
+        "t_all_product_code": spark.createDataFrame(products, "product_code string, mnemonic string, consolidation_id int"),
+    }
+    bare = lambda x, prefix: x if x is None else x.removeprefix(prefix)
+    pairs = {*bpsa, *((bare(s, "NS:"), bare(p, "NP:")) for p, s in rcs)}
+    expected = {
+        (p, s, pm, sm, c) for s, sm, c in sources for p, pm, d in products if c == d and c is not None and (sm, pm) in pairs and None not in (sm, pm)
+    }
+    rows = [tuple(r) for r in Catalog(rel)["nsa_v_all_product_code_source_code"].collect()]
+    assert len(rows) == len(set(rows)) and set(rows) == expected
+
+
+def test_pair_relations_hold_the_rows_of_their_query(spark, sf_dir):
+    from ledgermatch.fixtures import BUILT, for_spark
+
+    rel = relations(spark, sf_dir)
+    for name in ("bpsa_v_product_code_source_code", "rcs_v_product_code_source_code"):
+        for table in ("lineitem", "orders", "customer"):
+            rel[table].createOrReplaceTempView(table)
+        plain = spark.sql(for_spark(RELATIONS[name]))
+        assert name in BUILT and rel[name].schema == plain.schema
+        assert rel[name].exceptAll(plain).isEmpty() and plain.exceptAll(rel[name]).isEmpty()
