@@ -8,6 +8,8 @@ two amounts. So each range is summed up once for both cases, the sums (a row per
 hundred megabytes) are composed in order by the driver, and then every piece knows its own state. Pieces
 between two ends of a row make a row's text.
 
+A document may stand in several files, its parts, which many tasks can write; the states are then composed across them.
+
 Rows are objects in the document's array, or in an array that is a member of the document's
 object. Only text at the depth of members is looked at token by token.
 """
@@ -74,12 +76,20 @@ def _effects(counted: DataFrame) -> DataFrame:
     )
 
 
-def _entries(spark: SparkSession, effects: DataFrame) -> DataFrame:
-    """The state in which each block is entered, and which piece no brace closes; composed in order of blocks."""
+def in_order(name: str) -> tuple[int, str]:
+    """Parts are in order of their names; a number in front of one may outgrow its places."""
+    return len(name), name
+
+
+def _entries(spark: SparkSession, effects: DataFrame, whole: str | None) -> DataFrame:
+    """The document of each block and its place in it, the state in which it is entered, and which piece no brace closes.
+
+    Composed in order of blocks. A file is a document, or all are parts of the one called ``whole``.
+    """
     rows, flips, depth, total = [], 0, 0, 0
-    listed = effects.orderBy(*RANGE).collect()
+    listed = sorted(effects.collect(), key=lambda r: (*in_order(r["file"]), r["block"]))
     for now, following in zip(listed, [*listed[1:], None], strict=True):
-        rows.append([now["file"], now["block"], flips, depth, -1])
+        rows.append([now["file"], now["block"], whole or now["file"], len(rows), flips, depth, -1])
         depth += now["if_inside"] if flips % 2 else now["if_outside"]
         flips += now["block_quotes"]
         total += now["bytes"]
@@ -87,21 +97,24 @@ def _entries(spark: SparkSession, effects: DataFrame) -> DataFrame:
             # The last piece has no brace unless the bytes say so; the reader drops a mark of three bytes at the beginning.
             if (now["file_size"] - total) % 3:
                 rows[-1][-1] = now["last_at"]
-            flips = depth = total = 0
-    return spark.createDataFrame(rows, "file string, block long, block_flips long, block_depth long, open_at long")
+                depth += flips % 2 == 0  # its effect has a brace that isn't there
+            total = 0
+            if whole is None:
+                flips = depth = 0
+    return spark.createDataFrame(rows, "file string, block long, document string, place long, block_flips long, block_depth long, open_at long")
 
 
-def _placed(pieces: DataFrame) -> DataFrame:
-    """Pieces with the depth after each, whether a string is open then, and whether a brace closes it."""
+def _placed(pieces: DataFrame, whole: str | None) -> DataFrame:
+    """Pieces with their document, the depth after each, whether a string is open then, and whether a brace closes it."""
     counted = _counted(pieces)
-    rows = counted.join(_entries(pieces.sparkSession, _effects(counted)), RANGE)
+    rows = counted.join(_entries(pieces.sparkSession, _effects(counted), whole), RANGE)
     upto = Window.partitionBy(*RANGE).orderBy("at")
     outside = (F.col("block_flips") + F.col("flips")) % 2 == 0
     open_end = F.col("at") == F.col("open_at")
     after_outside = (F.col("block_flips") + F.col("flips") + F.col("quotes")) % 2 == 0
     change = F.when(outside, F.col("outer")).otherwise(F.col("inner")) + (open_end & after_outside).cast("int")
     return rows.withColumn("change", change).select(
-        *RANGE, "at", "value",
+        *RANGE, "document", "place", "at", "value",
         (F.col("block_depth") + F.sum("change").over(upto)).alias("depth"),
         (~after_outside).alias("in_string"), (~open_end).alias("braced"),
     )
@@ -115,15 +128,15 @@ def _elements(placed: DataFrame, base: int) -> DataFrame:
     ends = F.col("braced") & ~F.col("in_string") & (F.col("depth") == base)
     rows = placed.withColumn("ends", ends.cast("int"))
     blocks, before = [], Counter()
-    for r in rows.groupBy(*RANGE).agg(F.sum("ends").alias("n")).orderBy(*RANGE).collect():
-        blocks.append((r["file"], r["block"], before[r["file"]]))
-        before[r["file"]] += r["n"]
+    for r in sorted(rows.groupBy(*RANGE, "document", "place").agg(F.sum("ends").alias("n")).collect(), key=lambda r: r["place"]):
+        blocks.append((r["file"], r["block"], before[r["document"]]))
+        before[r["document"]] += r["n"]
     known = placed.sparkSession.createDataFrame(blocks, "file string, block long, block_element long")
     upto = Window.partitionBy(*RANGE).orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
     numbered = rows.withColumn("element", F.coalesce(F.sum("ends").over(upto), F.lit(0))).join(known, RANGE)
     said = F.concat("value", F.when(F.col("braced"), END).otherwise(""))
-    part = F.struct("block", "at", said.alias("said"), "ends", "depth", "in_string")
-    grouped = numbered.groupBy("file", (F.col("block_element") + F.col("element")).alias("element")).agg(F.array_sort(F.collect_list(part)).alias("parts"))
+    part = F.struct("place", "at", said.alias("said"), "ends", "depth", "in_string")
+    grouped = numbered.groupBy(F.col("document").alias("file"), (F.col("block_element") + F.col("element")).alias("element")).agg(F.array_sort(F.collect_list(part)).alias("parts"))
     last = F.element_at("parts", -1)
     return grouped.select(
         "file", "element", F.array_join(F.transform("parts", lambda p: p["said"]), "").alias("text"),
@@ -156,14 +169,15 @@ def _members(elements: DataFrame) -> DataFrame:
     )
 
 
-def row_texts(spark: SparkSession, path: str, dataset: str, wrapped: bool) -> DataFrame | None:
+def row_texts(spark: SparkSession, path: str, dataset: str, wrapped: bool, parts: bool = False) -> DataFrame | None:
     """A column ``value`` with the text of each row, in no order; None if the array holds no object.
 
     ``wrapped``: the rows stand in a member of the document's object, the one called as the dataset, or the only one. The
-    document is plain JSON in UTF-8 with strings in double quotes. If ``path`` is a folder each of its files is a document.
+    document is plain JSON in UTF-8 with strings in double quotes. If ``path`` is a folder each of its files is a document;
+    with ``parts`` they are one document, in order of their names, cut at ends of lines.
     Anything that isn't an object among the rows is an error, and so is a document that ends too early.
     """
-    elements = _elements(_placed(_pieces(spark, path)), 2 if wrapped else 1)
+    elements = _elements(_placed(_pieces(spark, path), path if parts else None), 2 if wrapped else 1)
     text = F.col("text")
     if not wrapped:
         following, first, end = r"^\s*,\s*(?=\{)", r"^\uFEFF?\s*\[\s*(?=\{)", r"^(\uFEFF?\s*\[)?\s*\]\s*$"

@@ -9,12 +9,14 @@ A version is written to a fresh folder; the manifest appears by one rename once
 follow the manifest with the greatest number and nothing else, so a run that breaks at any point leaves the dataset
 as it was published before. The version before the last stays for readers that still have it open.
 
-What others put there has one of three forms, read where there is no manifest:
+What others put there has one of four forms, read where there is no manifest:
 
 * ``<dir>/<side>/<name>``        Parquet folder; keeps column order and types
 * ``<dir>/<side>/<name>.jsonl``  folder of JSON lines; splits across tasks
 * ``<dir>/<side>/<name>.json``   one JSON document: an array of rows, or an
   object that wraps the array
+* ``<dir>/<side>/<name>.json.parts``  folder with the text of one JSON document in parts: its
+  files, one after the other in order of their names, cut at ends of lines
 """
 
 from __future__ import annotations
@@ -32,7 +34,7 @@ from pyspark.sql import types as T
 
 from ledgermatch.functions.canonical import canonical_text, fold_nan_inside
 from ledgermatch.recon.diff import column, require_unique_columns
-from ledgermatch.sources.json_split import row_texts
+from ledgermatch.sources.json_split import in_order, row_texts
 
 SIDES = ("src", "trg")
 #: Held by threads of one session while they number a version.
@@ -122,6 +124,14 @@ def _no_rows(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([], T.StructType([]))
 
 
+def _parts(spark: SparkSession, path: str) -> list[str]:
+    """The files of a document in parts, in order; without the marks that a writer leaves beside them."""
+    where, system = _file_system(spark, path)
+    files = [status.getPath() for status in system.listStatus(where) if status.getLen()]
+    named = {file.getName(): file.toString() for file in files if not file.getName().startswith(("_", "."))}
+    return [named[name] for name in sorted(named, key=in_order)]
+
+
 def _first_character(spark: SparkSession, path: str) -> str:
     """The first character that is no blank, of what stands before the first closing brace."""
     character = F.regexp_extract("value", r"[^\s\uFEFF]", 0).alias("c")
@@ -130,19 +140,20 @@ def _first_character(spark: SparkSession, path: str) -> str:
 
 
 def read_json_document(
-    spark: SparkSession, path: str, dataset: str, schema: T.StructType | None = None
+    spark: SparkSession, path: str, dataset: str, schema: T.StructType | None = None, parts: bool = False
 ) -> DataFrame:
-    """Rows of one JSON document.
+    """Rows of one JSON document; with ``parts`` the files of a folder are its text, in order of their names.
 
     An array is the rows themselves. An object holds them under the dataset's
     name, or as its only member. Anything else is an error. The document is read in
     byte ranges, by as many tasks as it has. Without ``schema``
     Spark infers the columns and orders them by name.
     """
-    first = _first_character(spark, path)
+    files = _parts(spark, path) if parts else [path]
+    first = next(filter(None, (_first_character(spark, file) for file in files)), "")
     if first not in ("[", "{"):
         raise ValueError(f"the JSON of '{dataset}' is neither a list nor an object")
-    rows = row_texts(spark, path, dataset, wrapped=first == "{")
+    rows = row_texts(spark, path, dataset, wrapped=first == "{", parts=parts)
     if rows is None:
         return _no_rows(spark)  # an empty array has no row type
     reader = spark.read.option("mode", "FAILFAST")
@@ -164,7 +175,7 @@ class Landing:
         return f"{self._dir}/{side}/{dataset}{suffix}"
 
     def _found(self, side: str, dataset: str) -> str | None:
-        for suffix in ("", ".jsonl", ".json"):
+        for suffix in ("", ".jsonl", ".json", ".json.parts"):
             if path_exists(self._spark, self.path(side, dataset, suffix)):
                 return suffix
         return None
@@ -255,8 +266,8 @@ class Landing:
             return reader.options(**_JSON_OPTIONS).json(folder) if now.form == "json" else reader.parquet(folder)
         suffix = self._found(side, dataset)
         path = self.path(side, dataset, suffix or "")
-        if suffix == ".json":
-            return read_json_document(self._spark, path, dataset, schema)
+        if suffix in (".json", ".json.parts"):
+            return read_json_document(self._spark, path, dataset, schema, parts=suffix == ".json.parts")
         reader = self._spark.read if schema is None else self._spark.read.schema(schema)
         return reader.json(path) if suffix == ".jsonl" else reader.parquet(path)
 

@@ -165,7 +165,7 @@ def json_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def json_document_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents as one JSON array, written line by line and read back in byte ranges."""
+    """All documents as one JSON array, written line by line, a part a task, and read back in byte ranges."""
     docs = relations(spark, sf_dir)["documents"].select("doc_id", "source", "text")
     first, last = (docs.agg(end("doc_id")).scalar() for end in (F.min, F.max))
     opening = F.when(F.col("doc_id") == first, '{"about": {"n": [1, {"}": "]"}]}, "documents": [').otherwise(", ")
@@ -173,7 +173,7 @@ def json_document_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     row = F.to_json(F.struct("doc_id", "source", "text"))
     lines = docs.select("doc_id", F.concat(opening, row, closing).alias("line"))
     landing = Landing(spark, _shared_folder(spark), {"documents": docs.schema})
-    lines.orderBy("doc_id").select("line").coalesce(1).write.text(landing.path("src", "documents", ".json"))
+    lines.orderBy("doc_id").select("line").write.text(landing.path("src", "documents", ".json.parts"))
     return landing.load("src", "documents").select("doc_id", "source", F.md5(F.encode("text", "UTF-8")).alias("digest"))
 
 

@@ -355,3 +355,54 @@ def test_the_database_finds_bounds(spark, monkeypatch):
     split = JdbcSource("jdbc:mysql://h").depth_split(spark, "t", "k", 3)
     assert "NTILE(3) OVER (ORDER BY k)" in asked[0] and "FROM t WHERE k IS NOT NULL" in asked[0]
     assert split.predicates == ("(k < 1 OR k IS NULL)", "k >= 1 AND k < 7", "k = 7", "k > 7")
+
+
+CUT = [
+    '{"about": {"n": [1,\n', ' {"}": "]"}]},\n', '"d": [{"id": 0, "s": "a}\\\\"},\n', '{"id": 1,\n', '"s": "é{\\""\n', '}\n', ", \n", '{"id": 2, "s": null}, {"id": 3, "s": "x"}', ', {"id": 4, "s": "\\"}"}', '], "rest":\n', ' [{"id": 9}]}\n',
+]
+
+
+def put_parts(folder, parts, name="part-{:05d}-c000.txt"):
+    path = folder / "src" / "d.json.parts"
+    path.mkdir(parents=True)
+    for i, text in enumerate(parts):
+        (path / name.format(99995 + i)).write_text(text, encoding="utf-8")
+    (path / "_SUCCESS").write_text("")
+    return str(path)
+
+
+@pytest.mark.parametrize("wrap", [True, False])
+def test_a_document_in_parts_is_one_document(spark, tmp_path, small_ranges, wrap):
+    parts = CUT if wrap else ["\n", "[\n", CUT[2][6:], *CUT[3:9], "\n]", "\n"]
+    given = json.loads("".join(parts))
+    path = put_parts(tmp_path, parts)
+    back = Landing(spark, str(tmp_path), {"d": spark.createDataFrame([], "id long, s string").schema}).load("src", "d")
+    assert sorted(map(tuple, back.collect())) == [(r["id"], r["s"]) for r in (given["d"] if wrap else given)]
+    assert read_json_document(spark, path, "d", parts=True).columns == ["id", "s"]
+
+
+@pytest.mark.parametrize("lost, message", [(-1, "not complete"), (1, "can be taken"), (2, "not complete|something else|can be taken")])
+def test_a_document_that_lacks_a_part(spark, tmp_path, lost, message):
+    parts = [part for i, part in enumerate(CUT) if i != lost % len(CUT)]
+    path = put_parts(tmp_path, parts)
+    with pytest.raises(ValueError, match=message):
+        read_json_document(spark, path, "d", parts=True).collect()
+
+
+def test_no_task_writes_a_whole_document(spark, tmp_path, monkeypatch):
+    from ledgermatch.workload import estate
+
+    docs = spark.range(400).selectExpr("id doc_id", "'src' source", "repeat(concat('}\\\\n\"', id), 400) text")
+    monkeypatch.setattr(estate, "_shared_folder", lambda spark: str(tmp_path))
+    monkeypatch.setattr(estate, "relations", lambda spark, sf_dir: {"documents": docs})
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # the table is small
+    try:
+        back = estate.json_document_split(spark, "")
+        expected = docs.selectExpr("doc_id", "source", "md5(encode(text, 'UTF-8')) digest")
+        assert back.exceptAll(expected).isEmpty() and back.count() == 400
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    files = sorted((tmp_path / "src").glob("documents.json*/part-*"))
+    sizes = [f.stat().st_size for f in files]
+    assert len(sizes) == 4 and max(sizes) < sum(sizes) / 2
+    assert [r["doc_id"] for r in json.loads("".join(f.read_text(encoding="utf-8") for f in files))["documents"]] == list(range(400))
