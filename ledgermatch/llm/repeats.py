@@ -29,11 +29,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgermatch.llm.batches import mix, runs
+from ledgermatch.llm.batches import PLAIN_WORD, Run, mix, runs, windows
 from ledgermatch.llm.shared import materialise, text_key
 
 WIDTH = 400
 DIGIT = 128
+#: Words of a passage, and of its anchors.
+PASSAGE = 51
+PASSAGE_DIGIT = 12
 #: Places of one anchor that are sorted in one task.
 GROUP_ROWS = 50_000
 #: Parts that a range of windows around a place of a more frequent anchor is cut into at a time.
@@ -74,6 +77,17 @@ def _least(x: np.ndarray, width: int, pick: np.ufunc, fill: int) -> np.ndarray:
     return pick(tail[:n], head[width - 1 : width - 1 + n])
 
 
+def _chosen(h: np.ndarray, bounds: np.ndarray, width: int, digit: int) -> np.ndarray:
+    """Places of the least hash of every window that lies within one row; ``h`` are the hashes of ``digit`` symbols each."""
+    span = width - digit + 1
+    least = _least(h, span, np.minimum, 0xFFFFFFFFFFFFFFFF)
+    ends = np.repeat(bounds[1:], np.diff(bounds))  # of the row of each symbol
+    least[np.arange(len(least)) + width > ends[: len(least)]] = 0
+    reach = np.zeros(len(h) + span - 1, np.uint64)
+    reach[span - 1 : span - 1 + len(least)] = least
+    return np.flatnonzero((_least(reach, span, np.maximum, 0) == h) & (np.arange(len(h)) + digit <= ends[: len(h)]))
+
+
 def _anchors(data: np.ndarray, bounds: np.ndarray, width: int, digit: int) -> tuple[np.ndarray, np.ndarray]:
     """Places and hashes of all anchors of the windows that lie within one row."""
     n = len(data)
@@ -82,13 +96,7 @@ def _anchors(data: np.ndarray, bounds: np.ndarray, width: int, digit: int) -> tu
     sums = _sums(data)
     with np.errstate(over="ignore"):
         h = mix((sums[digit:] - sums[:-digit]) * _powers(_BACK, n - digit + 1))
-    span = width - digit + 1
-    least = _least(h, span, np.minimum, 0xFFFFFFFFFFFFFFFF)
-    ends = np.repeat(bounds[1:], np.diff(bounds))  # of the row of each byte
-    least[np.arange(len(least)) + width > ends[: len(least)]] = 0
-    reach = np.zeros(len(h) + span - 1, np.uint64)
-    reach[span - 1 : span - 1 + len(least)] = least
-    chosen = np.flatnonzero((_least(reach, span, np.maximum, 0) == h) & (np.arange(len(h)) + digit <= ends[: len(h)]))
+    chosen = _chosen(h, bounds, width, digit)
     return chosen, h[chosen]
 
 
@@ -271,6 +279,111 @@ def _descend(hot: DataFrame, width: int, digit: int) -> list[DataFrame]:
         rows = parts.join(materialise(_twice(parts, "c1", "c2"), f"shared{step}"), ["c1", "c2"], "left_semi")
 
 
+def _words(column: pa.Array, width: int, digit: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Of each run of rows: word hashes, each row's first word, places of the anchors of ``width`` words, hashes of ``digit`` words each."""
+    for run in runs(column, PIECE):
+        if len(run.data) <= PIECE:
+            words = run.pieces(PLAIN_WORD[run.data])
+            hashes, bounds = words.hashes(), words.firsts()
+        else:  # one long text: its words are hashed in parts that end at a blank
+            blanks = np.flatnonzero(~PLAIN_WORD[run.data])
+            cuts = blanks[np.searchsorted(blanks, np.arange(PIECE, blanks[-1], PIECE))] if len(blanks) else blanks
+            parts = [Run(x, np.array([0, len(x)])) for x in np.split(run.data, np.unique(cuts))]
+            hashes = np.concatenate([x.pieces(PLAIN_WORD[x.data]).hashes() for x in parts])
+            bounds = np.array([0, len(hashes)])
+        if len(hashes) < width:
+            yield hashes, bounds, np.empty(0, np.int64), np.empty(0, np.uint64)
+        else:
+            short = windows(hashes, digit)
+            yield hashes, bounds, _chosen(short, bounds, width, digit), short
+
+
+def _lists(parts: list[np.ndarray], sizes: list[np.ndarray]) -> tuple[pa.Array, np.ndarray]:
+    """Offsets of the rows' lists, and what they hold."""
+    return pa.array(np.concatenate([[0], np.cumsum(np.concatenate([*sizes, np.empty(0, np.int64)]))]).astype(np.int32)), np.concatenate([np.empty(0, np.uint64), *parts])
+
+
+def word_anchors(text: Column | str, width: int, digit: int) -> Column:
+    """Hashes of the anchors of each whole text's windows of ``width`` words; none for fewer words."""
+
+    @F.arrow_udf("array<long>")
+    def of(column: pa.Array) -> pa.Array:
+        parts, sizes = [], []
+        for _, bounds, places, short in _words(column, width, digit):
+            parts.append(short[places])
+            sizes.append(np.diff(np.searchsorted(places, bounds)))
+        offsets, found = _lists(parts, sizes)
+        return pa.ListArray.from_arrays(offsets, pa.array(found.view(np.int64)))
+
+    return of(text)
+
+
+def word_windows(text: Column | str, digits: Column | str, width: int, digit: int, middle: bool) -> Column:
+    """Hashes (h1, h2) of the windows of ``width`` words around those anchors of a text whose hash is in ``digits``.
+
+    With ``middle`` one window of each anchor, that with the anchor in its middle (or as near as the text allows).
+    """
+    reach = width - digit
+
+    @F.arrow_udf("array<struct<h1:long,h2:long>>")
+    def of(column: pa.Array, wanted: pa.Array) -> pa.Array:
+        ends = np.concatenate([[0], np.cumsum(wanted.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))])
+        asked = wanted.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+        first, second, sizes, row = [], [], [], 0
+        for hashes, bounds, places, short in _words(column, width, digit):
+            rows = len(bounds) - 1
+            cut = np.searchsorted(places, bounds)
+            own, stay = np.repeat(np.arange(rows), np.diff(cut)), np.zeros(len(places), bool)
+            for r in np.flatnonzero(np.diff(cut)):
+                stay[cut[r] : cut[r + 1]] = np.isin(short[places[cut[r] : cut[r + 1]]], asked[ends[row + r] : ends[row + r + 1]])
+            row += rows
+            places, own = places[stay], own[stay]
+            lo, hi = np.maximum(bounds[own], places - reach), np.minimum(places, bounds[own + 1] - width)
+            if middle:
+                starts = np.unique(np.clip(places - reach // 2, lo, hi))
+            else:
+                n = hi - lo + 1
+                starts = np.unique(np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n))
+            sizes.append(np.diff(np.searchsorted(starts, bounds)))
+            if len(starts):
+                first.append(windows(hashes, width)[starts])
+                second.append(short[starts])
+        offsets, h1 = _lists(first, sizes)
+        h2 = np.concatenate([np.empty(0, np.uint64), *second])
+        return pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays([pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64))], ["h1", "h2"]))
+
+    return of(text, digits)
+
+
+_TEXT = ["key1", "key2"]
+
+
+def _in_two(rows: DataFrame, *columns: str) -> DataFrame:
+    """Values that rows of different texts have."""
+    different = (F.min("key1") != F.max("key1")) | (F.min("key2") != F.max("key2"))
+    return rows.groupBy(*columns).agg(different.alias("different")).where("different").select(*columns)
+
+
+def _sharing(candidates: DataFrame, width: int, digit: int) -> DataFrame:
+    """Texts (key1, key2) that have ``width`` consecutive words of another text, of those with repeated anchors (digits).
+
+    One window of each anchor tells it of most texts. All windows are compared only around anchors of texts that
+    are still open, in whichever texts these anchors are.
+    """
+    some = candidates.where("digits is not null")
+
+    def found(rows: DataFrame, middle: bool) -> DataFrame:
+        hashed = materialise(rows.select(*_TEXT, F.inline(word_windows("text", "digits", width, digit, middle))), "windows")
+        return materialise(hashed.join(materialise(_in_two(hashed, "h1", "h2"), "both"), ["h1", "h2"], "left_semi").select(*_TEXT).distinct(), "sharing")
+
+    known = found(some, True)
+    listed = some.select(*_TEXT, F.explode("digits").alias("digit"))
+    asked = materialise(listed.join(known, _TEXT, "left_anti").select("digit").distinct(), "asked")
+    narrowed = listed.join(asked, "digit", "left_semi").groupBy(*_TEXT).agg(F.collect_set("digit").alias("digits"))
+    rest = some.drop("digits").join(materialise(narrowed, "narrowed"), _TEXT)
+    return known.unionByName(found(rest, False)).distinct()
+
+
 _SPANS = "array<struct<lo:long,hi:long>>"
 
 
@@ -295,11 +408,14 @@ def cut_out(text: pa.Array, spans: pa.Array) -> pa.Array:
 
 
 def repeated_bytes(docs: DataFrame, width: int = WIDTH, digit: int = DIGIT, group_rows: int = GROUP_ROWS) -> DataFrame:
-    """doc_id, n_bytes, n_removed, spans (of bytes, united, end exclusive) and kept_sha256 of every document.
+    """doc_id, n_bytes, n_removed, spans (of bytes, united, end exclusive), kept_sha256 and shares_passage of every document.
 
     A byte is removed if a string of ``width`` bytes that covers it also starts anywhere else, in another
     text or the same. NULL text counts as empty. NULL doc_id changes nothing. Repeated rows are copies
     of each other and lose all bytes if there are ``width`` of them or more.
+
+    ``shares_passage`` tells whether ``PASSAGE`` consecutive words stand in another document too, however few
+    bytes they have; nothing is removed for it.
     """
     if not 0 < digit <= width:
         raise ValueError("digit lies between 1 and width")
@@ -318,12 +434,20 @@ def repeated_bytes(docs: DataFrame, width: int = WIDTH, digit: int = DIGIT, grou
     # Both sides of the join are plain tables, so an anchor with very many places can be split among tasks.
     chosen = every.join(materialise(often, "often"), "digit").groupBy("key1", "key2").agg(F.collect_set(F.struct("at", "digit")).alias("anchors"))
 
+    # The same over words, for passages: anchors that two texts have.
+    worded = materialise(keyed.where(F.octet_length("text") >= 2 * PASSAGE - 1).select(*_TEXT, word_anchors("text", PASSAGE, PASSAGE_DIGIT).alias("digits")), "words")
+    every_word = worded.select(*_TEXT, F.explode("digits").alias("digit"))
+    in_two = materialise(_in_two(every_word, "digit"), "in_two")
+    chosen = chosen.join(every_word.join(in_two, "digit").groupBy(*_TEXT).agg(F.collect_set("digit").alias("digits")), _TEXT, "full")
+
     # One row of each text that has any, fetched by the doc_id of that row, so copies don't meet in one task.
     wanted = chosen.join(texts.drop("copies"), ["key1", "key2"]).select(
-        F.col("key1").alias("of1"), F.col("key2").alias("of2"), "one", "anchors"
+        F.col("key1").alias("of1"), F.col("key2").alias("of2"), "one", "anchors", "digits"
     )
     same = (F.col("key1") == F.col("of1")) & (F.col("key2") == F.col("of2")) & F.col("doc_id").eqNullSafe(F.col("one"))
-    candidates = materialise(keyed.join(wanted, same).select("key1", "key2", "text", "anchors"), "candidates")
+    candidates = materialise(keyed.join(wanted, same).select("key1", "key2", "text", "anchors", "digits"), "candidates")
+    copied = worded.where(F.size("digits") > 0).groupBy(*_TEXT).count().where("count > 1").select(*_TEXT)
+    sharing = _sharing(candidates, PASSAGE, PASSAGE_DIGIT).unionByName(copied).distinct().withColumn("shares", F.lit(True))
 
     # Second and third pass: the bytes around each such anchor.
     left = F.least(F.col("a.at"), F.lit(width - digit).cast("long"))
@@ -346,7 +470,7 @@ def repeated_bytes(docs: DataFrame, width: int = WIDTH, digit: int = DIGIT, grou
     cut = candidates.select("key1", "key2", "text").join(spans, ["key1", "key2"]).select("key1", "key2", cut_out("text", "spans").alias("cut"))
     cut = materialise(cut.dropDuplicates(["key1", "key2"]), "cut")
 
-    per_text = texts.select("key1", "key2", "copies").join(cut, ["key1", "key2"], "left")
+    per_text = texts.select("key1", "key2", "copies").join(cut, ["key1", "key2"], "left").join(sharing, _TEXT, "left")
     all_gone = (F.col("copies") > 1) & (F.col("n_bytes") >= width)
     whole = F.array(F.struct(F.lit(0).cast("long").alias("lo"), F.col("n_bytes").alias("hi")))
     pick = lambda gone, some, none: F.when(all_gone, gone).when(F.col("cut").isNotNull(), some).otherwise(none)
@@ -356,4 +480,5 @@ def repeated_bytes(docs: DataFrame, width: int = WIDTH, digit: int = DIGIT, grou
         pick(F.col("n_bytes"), F.col("cut.n_removed"), F.lit(0).cast("long")).alias("n_removed"),
         pick(whole, F.col("cut.spans"), F.array().cast(_SPANS)).alias("spans"),
         pick(F.sha2(F.lit(""), 256), F.col("cut.kept_sha256"), F.col("sha")).alias("kept_sha256"),
+        F.coalesce("shares", F.lit(False)).alias("shares_passage"),
     )

@@ -129,6 +129,13 @@ def repeats(texts: list, width: int = 400) -> list[tuple]:
     return out
 
 
+def shares_passage(texts: list, width: int = 51) -> list[bool]:
+    rows = [re.findall(r"[^\x20\x09-\x0D]+", t or "") for t in texts]
+    found = [{tuple(w[i : i + width]) for i in range(len(w) - width + 1)} for w in rows]
+    often = Counter(x for of_row in found for x in of_row)
+    return [any(often[x] > 1 for x in of_row) for of_row in found]
+
+
 def repeated_lines(docs: list[tuple], width: int = 3) -> dict:
     """docs: (doc_id, text) with different ids, none NULL."""
     seen, out = set(), {}

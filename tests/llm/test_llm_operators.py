@@ -386,6 +386,27 @@ def test_repeats_in_pieces_and_batches(spark, monkeypatch):
     assert Counter(r.n_removed for r in repeats.repeated_bytes(nameless).collect()) == Counter(x[1] for x in brute.repeats([*texts, texts[2]]))
 
 
+def test_short_passages_of_other_documents(spark, monkeypatch):
+    words = LONG.split()[:40_000]
+    say = lambda a, n, blank=" ": blank.join(words[a : a + n])
+    texts = [
+        "q " + say(0, 51) + " r", say(0, 51, "\n\t"),  # 51 words, too few bytes to be removed
+        say(100, 50) + " s", "t " + say(100, 50),  # one word less
+        say(200, 60) + " u " + say(200, 60),  # repeated, but in one document only
+        say(300, 51), say(300, 51), "v " + say(400, 50), "v " + say(400, 50), say(450, 50), say(450, 50),  # copies
+        "of " * 300, "the of " * 30 + "of " * 60, "w " + say(10_000, 20_000), say(29_960, 60), say(1000, 500), "x " + say(1300, 300), None, "", " \n",
+    ]
+    texts += [f"y{i} {say(2000 + i % 3, 55)} z{i}" for i in range(40)] + [say(3000 + 10 * i, 70) for i in range(30)] + [f"{say(5000 + 40 * i, 90)}" for i in range(9)]
+    expected = brute.shares_passage(texts)
+    assert expected[:5] == [True, True, False, False, False] and len(set(expected[5:])) == 2
+    rows = documents(spark, texts)
+    for piece in (repeats.PIECE, 1000):
+        monkeypatch.setattr(repeats, "PIECE", piece)
+        got = by_id(repeats.repeated_bytes(rows), "n_removed", "shares_passage")
+        assert [got[i][1] for i in range(len(texts))] == expected, piece
+    assert got[0][0] == got[1][0] == 0
+
+
 # --- 6 ---
 
 
