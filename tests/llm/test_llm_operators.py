@@ -588,6 +588,15 @@ def test_schedule_is_spread_evenly(spark):
             assert abs(sum(r["rank"] == s for r in rows[:n]) - n * share / 256) <= 3
 
 
+def test_schedule_broadcasts_no_slots(spark, tmp_path):
+    rows = [(i, float(i % 7)) for i in range(40)]
+    spark.createDataFrame(rows, "rank long, target double").write.parquet(f"{tmp_path}/sources")
+    slots = mixing.schedule(spark.read.parquet(f"{tmp_path}/sources"), 18)
+    # The file of sources is far below the threshold, the slots made of it need not be.
+    assert "BroadcastHashJoin" not in slots._jdf.queryExecution().executedPlan().toString()
+    assert slots.select("slot").distinct().count() == slots.count() == 1 << 18
+
+
 def test_mixed_documents(spark):
     odd = documents(spark)
     twice = odd.unionByName(odd)
