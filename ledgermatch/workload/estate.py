@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ledgermatch.fixtures import TABLES, relations
 from ledgermatch.operators.snapshot import write_consolidation
 from ledgermatch.plans import DATASETS, Catalog
-from ledgermatch.qa import column_lists, row_counts
+from ledgermatch.qa import column_lists, row_counts, row_counts_apart, shuffles_removed
 from ledgermatch.recon.diff import except_rows
 from ledgermatch.recon.report import summary
 from ledgermatch.recon.spec import CheckSpec, CheckSuite
@@ -34,8 +34,10 @@ def _shared_folder(spark: SparkSession) -> str:
 
 
 def qa_row_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows of every derived dataset; what several of them rest on is computed once."""
-    return row_counts(Catalog(relations(spark, sf_dir)).materialised(_shared_folder(spark), DATASETS), DATASETS)
+    """Rows of every derived dataset; derived datasets that several of them rest on are computed once."""
+    with shuffles_removed(spark):
+        catalog = Catalog(relations(spark, sf_dir)).materialised(_shared_folder(spark), DATASETS)
+    return row_counts_apart(spark, catalog, DATASETS)
 
 
 def qa_table_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -182,6 +183,26 @@ def test_row_counts_write_no_input(spark, sf_dir, tmp_path, monkeypatch):
     assert not {p.name for p in tmp_path.iterdir()} & set(RELATIONS)
 
 
+def _shuffle_files(spark) -> set[str]:
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("|")
+    return {f for f in files.split("|") if "/shuffle_" in f}
+
+
+def test_row_counts_leave_no_shuffle_behind(spark, sf_dir):
+    from ledgermatch.workload import estate
+
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, setting = _shuffle_files(spark), spark.conf.get(key, None)
+    counted = estate.qa_row_counts(spark, sf_dir)
+    for _ in range(20):  # files are removed in the background
+        left = _shuffle_files(spark) - before
+        if not left:
+            break
+        time.sleep(0.5)
+    assert not left and spark.conf.get(key, None) == setting
+    assert "Join" not in plan(counted) and {r.view_name for r in counted.collect()} == set(DATASETS)
+
+
 def test_product_and_source_pairs_are_neither_sorted_nor_made_distinct_at_the_end(spark, sf_dir):
     threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as with large tables
