@@ -18,8 +18,8 @@ from ledgermatch.operators.lookup import (
     not_in,
     unmatched_or_null,
 )
-from ledgermatch.operators.pairing import linked, linked_and
-from ledgermatch.operators.rollup import Rollup, attach, labels, last_row, list_all, list_limited, roll_up
+from ledgermatch.operators.pairing import SEPARATOR, linked, linked_and
+from ledgermatch.operators.rollup import Rollup, attach, distinct_ids, labels, last_row, list_all, list_limited, roll_up
 from ledgermatch.operators.snapshot import at_latest, in_latest, write_consolidation
 
 
@@ -199,3 +199,35 @@ def test_texts_are_stacked_without_columns_of_numbers(spark):
     assert labels(texts, "T", ["k"], "v").columns == ["k", "kind", "label"]
     rolled = roll_up([labels(texts, "T", ["k"], "v")], ["k"], [Rollup("T", "t", "n"), Rollup("N", "u", "m")], apart=[labels(numbers, "N", ["k"], "v")])
     assert rolled.first() == (1, "b", 1, "9, 10", 2)
+
+
+def test_lists_of_partners_travel_as_texts(spark):
+    odd = [None, "", " ", "a", f"a{SEPARATOR}b", SEPARATOR, "é", "b"]
+    left = spark.createDataFrame([(f, s) for s, some in enumerate([odd, odd[1:4], odd[3:5], odd[:2], odd[5:], ["", ""]]) for f in some], "f string, s int")
+    right = spark.createDataFrame([(p, s) for p in ("p", None) for s in range(6)], "p string, s int")
+    for partner, rows in (("f", left), ("n", left.select(F.length("f").alias("n"), "s"))):
+        plain = rows.join(right, "s").select("p", "s", partner).distinct()
+        found = linked(rows, partner, right, "p", ["s"], ["s"])
+        assert found.exceptAll(plain).isEmpty() and plain.exceptAll(found).isEmpty()
+        more = plain.select("p", "s", partner).union(spark.createDataFrame([("q", 9, None)], plain.schema))
+        both, expected = linked_and(more, rows, partner, right, "p", ["s"], ["s"]), plain.union(more).distinct()
+        assert both.exceptAll(expected).isEmpty() and expected.exceptAll(both).isEmpty()
+        assert ("array_join" in found._jdf.queryExecution().executedPlan().toString()) == (partner == "f")
+
+
+@pytest.mark.parametrize("dtype", ["long", "int", "string", "double"])
+def test_distinct_ids(spark, dtype):
+    numbers = [None, 0, 1, 63, 64, 65, -1, -64, -65, 2**31 - 1, -(2**31)] + ([2**63 - 1, -(2**63)] if dtype == "long" else [])
+    rows = [(k, kind, n) for k in ("a", None) for kind in ("X", "Y") for n in numbers if n != 1 or kind == "X"] * 2
+    df = spark.createDataFrame(rows, "k string, kind string, n long").withColumn("n", F.col("n").cast(dtype))
+    plain = df.select("k", "kind", "n").distinct()
+    for found in (distinct_ids(df, ["k", "kind"], "n"), distinct_ids(df, ["k"], "n", ["X", "Y"]), distinct_ids(df, ["k"], "n", ["X", "Y", "Z"], deal=["k"])):
+        assert found.schema["n"].dataType == df.schema["n"].dataType
+        assert found.columns == plain.columns and found.exceptAll(plain).isEmpty() and plain.exceptAll(found).isEmpty()
+
+
+def test_whole_numbers_travel_as_sets(spark):
+    df = spark.range(40_000, numPartitions=4).select((F.col("id") % 10).alias("k"), (F.col("id") % 60).alias("n"))
+    found = distinct_ids(df, ["k"], "n")
+    assert found.count() == df.distinct().count() == 60
+    assert "bit_or" in found._jdf.queryExecution().executedPlan().toString()

@@ -203,6 +203,38 @@ def test_row_counts_leave_no_shuffle_behind(spark, sf_dir):
     assert "Join" not in plan(counted) and {r.view_name for r in counted.collect()} == set(DATASETS)
 
 
+def test_ids_of_feeds_travel_as_sets(spark, sf_dir):
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as with large tables
+    try:
+        for kind in ("country", "region", "industry"):
+            assert "bit_or" in plan(Catalog(relations(spark, sf_dir))[f"nsa_v_feed_{kind}"])
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+
+
+@pytest.mark.parametrize("name", ["t_product_code_source_code", "t_ref_data_relations", "t_feed_codes"])
+def test_built_relations_hold_the_rows_of_their_query_on_odd_tables(spark, tmp_path, name):
+    from ledgermatch.fixtures import BUILT, for_spark, needed
+
+    n = 60
+    spark.sql(f"select id c_custkey, 'c'||id c_name, 'M' c_mktsegment, id%3 c_nationkey, id-20.0 c_acctbal from range({n})").write.parquet(f"{tmp_path}/customer.parquet")
+    orders = spark.sql(f"select if(id%13=0,null,id%90) o_orderkey, if(id%11=0,null,id%{n}) o_custkey from range(200)")
+    orders.union(orders).write.parquet(f"{tmp_path}/orders.parquet")
+    lines = spark.sql("select if(id%17=0,null,id%90) l_orderkey, if(id%19=0,null,id%40) l_partkey, if(id%7=0,null,id%5) l_suppkey from range(500)")
+    lines.union(lines.limit(90)).write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.sql("select id event_id, if(id%23=0,null,id%30) user_id, 'view' event_type from range(400)").write.parquet(f"{tmp_path}/events.parquet")
+    rel = relations(spark, str(tmp_path))
+    for table in ("customer", "orders", "lineitem", "events"):
+        rel[table].createOrReplaceTempView(table)
+    for other in needed([name]):
+        spark.sql(for_spark(RELATIONS[other])).createOrReplaceTempView(other)
+    plain = spark.sql(for_spark(RELATIONS[name]))
+    built = BUILT[name](rel)
+    assert [(f.name, f.dataType) for f in built.schema] == [(f.name, f.dataType) for f in plain.schema] and plain.count() > 50
+    assert built.exceptAll(plain).isEmpty() and plain.exceptAll(built).isEmpty()
+
+
 def test_product_and_source_pairs_are_neither_sorted_nor_made_distinct_at_the_end(spark, sf_dir):
     threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as with large tables
