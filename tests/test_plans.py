@@ -213,6 +213,15 @@ def test_ids_of_feeds_travel_as_sets(spark, sf_dir):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
 
 
+def test_labels_of_references_are_listed_where_the_codes_were_dealt(spark, sf_dir):
+    listed = plan(Catalog(relations(spark, sf_dir))["nsa_v_all_pc_ref_grouped"])
+    lists = next(line for line in listed.splitlines() if "listagg" in line)
+    assert "bit_or" in listed and "partial_listagg" not in lists
+    below = listed[listed.index("partial_listagg") :]
+    # The join with the labels comes next, not a shuffle of lists.
+    assert "Exchange" not in listed[listed.index("listagg") : listed.index("partial_listagg")] and "Join" in below
+
+
 @pytest.mark.parametrize("name", ["t_product_code_source_code", "t_ref_data_relations", "t_feed_codes"])
 def test_built_relations_hold_the_rows_of_their_query_on_odd_tables(spark, tmp_path, name):
     from ledgermatch.fixtures import BUILT, for_spark, needed
