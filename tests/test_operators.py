@@ -19,7 +19,7 @@ from ledgermatch.operators.lookup import (
     unmatched_or_null,
 )
 from ledgermatch.operators.pairing import SEPARATOR, linked, linked_and
-from ledgermatch.operators.rollup import Rollup, attach, distinct_ids, labels, last_row, list_all, list_limited, roll_up
+from ledgermatch.operators.rollup import Rollup, attach, distinct_ids, labels, last_row, list_all, list_distinct, list_limited, roll_up
 from ledgermatch.operators.snapshot import at_latest, in_latest, write_consolidation
 
 
@@ -231,3 +231,14 @@ def test_whole_numbers_travel_as_sets(spark):
     found = distinct_ids(df, ["k"], "n")
     assert found.count() == df.distinct().count() == 60
     assert "bit_or" in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_list_distinct_is_a_roll_up_in_one_aggregate(spark):
+    rows = [(k, v) for k in (1, 2, None) for v in ("b", "a", None, "", "é", "B")] * 2 + [(3, None), (4, "x")]
+    for df in (spark.createDataFrame(rows, "k int, v string"), spark.sql("select * from values (1, 10L), (1, 9L), (1, 9L), (2, null) t(k, v)")):
+        rollup = Rollup("T", "t", "n", "; ")
+        plain, found = roll_up([labels(df, "T", ["k"], "v")], ["k"], [rollup]), list_distinct(df, ["k"], "v", rollup)
+        assert found.schema["n"].dataType == plain.schema["n"].dataType and found.columns == plain.columns
+        assert found.exceptAll(plain).isEmpty() and plain.exceptAll(found).isEmpty()
+    dealt = spark.createDataFrame(rows, "k int, v string").repartition("k")
+    assert list_distinct(dealt, ["k"], "v", rollup)._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1

@@ -222,7 +222,18 @@ def test_labels_of_references_are_listed_where_the_codes_were_dealt(spark, sf_di
     assert "Exchange" not in listed[listed.index("listagg") : listed.index("partial_listagg")] and "Join" in below
 
 
-@pytest.mark.parametrize("name", ["t_product_code_source_code", "t_ref_data_relations", "t_feed_codes"])
+def test_products_of_feeds_are_listed_in_place(spark, sf_dir):
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as with large tables
+    try:
+        products, keys = relations(spark, sf_dir)["t_feed_product_code"], ["feed_code", "consolidation_id"]
+        assert exchanges(products.groupBy(*keys).count()) == exchanges(products)
+        assert "collect_set(product_code" in plan(Catalog(relations(spark, sf_dir))["tmp_nsa_v_feed_all_grouped"])
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+
+
+@pytest.mark.parametrize("name", ["t_product_code_source_code", "t_ref_data_relations", "t_feed_product_code", "t_feed_codes"])
 def test_built_relations_hold_the_rows_of_their_query_on_odd_tables(spark, tmp_path, name):
     from ledgermatch.fixtures import BUILT, for_spark, needed
 
