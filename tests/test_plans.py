@@ -233,6 +233,17 @@ def test_products_of_feeds_are_listed_in_place(spark, sf_dir):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
 
 
+def test_truncated_lists_are_compared_without_a_shuffle_of_list_entries(spark, sf_dir):
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as with large tables
+    try:
+        text = plan(workload.QUERIES["recon_truncated_lists"](spark, sf_dir))
+        sent = [below for line, below in zip(text.splitlines(), text.splitlines()[1:], strict=False) if "Exchange" in line]
+        assert "collect_set(product_code" in text and not any("collect_set(product_code" in line for line in sent)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+
+
 @pytest.mark.parametrize("name", ["t_product_code_source_code", "t_ref_data_relations", "t_feed_product_code", "t_feed_codes"])
 def test_built_relations_hold_the_rows_of_their_query_on_odd_tables(spark, tmp_path, name):
     from ledgermatch.fixtures import BUILT, for_spark, needed
